@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import decontaminate, host_rules, mixing, quality
+from vellum.llm import decontaminate, host_rules, mixing, ngram_join, quality
 from vellum.llm.tables import table
 
 
@@ -27,8 +27,12 @@ def op8_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.mix_sources(table(spark, sf_dir, "documents")))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.digest(ngram_join.ngram_join(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_crf, op4_decontaminate, op6_host_rules, op8_entropy_mix)}
+    return {f.__name__: f for f in (op1_quality_crf, op4_decontaminate, op6_host_rules, op8_entropy_mix, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:

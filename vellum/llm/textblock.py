@@ -138,10 +138,10 @@ def shingles(first: np.ndarray, hashes: np.ndarray, size: int = 5) -> list[np.nd
             s = np.sort(total[a : b - size + 1])
             out.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
         elif b > a:
-            h = U(b - a)
-            for x in hashes[a:b]:
-                h = mix(np.array([h * _PLACE[1] + x]))[0]
-            out.append(np.array([h], U))
+            h = np.array([b - a], U)
+            for k in range(a, b):
+                h = mix(h * _PLACE[1] + hashes[k : k + 1])
+            out.append(h)
         else:
             out.append(np.zeros(0, U))
     return out
