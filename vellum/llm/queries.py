@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellum.llm import decontaminate, host_rules, mixing, ngram_join, quality
+from vellum.llm import decontaminate, host_rules, mixing, ngram_join, quality, suffix_dedup
 from vellum.llm.tables import table
 
 
@@ -23,6 +23,10 @@ def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.digest(host_rules.host_rules(table(spark, sf_dir, "documents")))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents")))
+
+
 def op8_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.mix_sources(table(spark, sf_dir, "documents")))
 
@@ -32,7 +36,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_crf, op4_decontaminate, op6_host_rules, op8_entropy_mix, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_quality_crf, op4_decontaminate, op6_host_rules, op7_suffix_dedup, op8_entropy_mix, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
