@@ -6,14 +6,17 @@ matrix with its transpose holds every overlap; it is computed in blocks, without
 1. Equal rows (texts with equal shingle sets) become one class.
 2. Columns held by one class drop out (``sharing``). A class needs a partner for ceil(0.8 n) of its n shingles, so a
    class with fewer shared columns has no link. What remains are the candidate rows.
-3. Every candidate is multiplied with the pivots of its min-hash groups, one product a pair; groups, however large, cost one pair a
-   member. Links found so already connect the large groups of near copies.
-4. What is left is the product over prefix columns: with columns ordered from rare to common, linked rows share one of their first
-   n - ceil(0.8 n) + 1. Column blocks accumulate the pairs of rows of different components whose sizes allow
-   0.8; each such pair is multiplied out in full. Pairs within a component say nothing new and are not formed.
-
-Steps 1 to 3 only save work: every link between different components is found in step 4, so components are those of all
-links, and the operator returns them for each document (copies and near copies need not be expanded into pairs).
+3. Prefix columns find families. With columns ordered from rare to common, linked rows share one of their first
+   n - ceil(0.8 n) + 1. A column block joins the rows that share one of its columns, as far as their sizes allow 0.8, each to one
+   of them (not to each other); the connected parts are the families, and no link leaves its family.
+4. A family of more than ``BLOCK_ROWS`` rows is first multiplied with the pivots of its min-hash groups, one product a row and
+   pivot, so that most of a large group of near copies becomes one component at once.
+5. Each family is multiplied out in full, in pairs of row blocks, whose rows are kept together by component; blocks of one and the same
+   component say nothing new and are not multiplied. Overlap counts accumulate row by row inside the task; pairs below
+   the bound that follows from their sizes are dropped there, and of the others one link for each two components joined is returned.
+
+Every link is in a family, and every pair of a family that may join two components is multiplied, so components are those of all
+links. The operator returns them for each document; copies and near copies are not expanded into pairs.
 
 Words are runs of characters other than space and U+0009-U+000D, A-Z lower-cased. With fewer than five words the whole
 sequence is the only shingle; without words (or text) the set is empty and links with nothing, and the document is its own component. Shingles
@@ -27,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.llm import sharing
@@ -38,6 +41,7 @@ from vellum.llm.textblock import NOT_SPACE, U, blocks, mix, shingles, words
 PERCENT = 80
 PIVOTS = 4
 BUCKET_TEXT = 8 << 20
+BLOCK_ROWS = 1000
 SEEDS = mix(np.arange(1, PIVOTS + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
 
 
@@ -53,15 +57,15 @@ def set_key(s: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, chunk, n (set size) and node (hash of the set)."""
+    """doc_id, chunk, r (hash of the row), n (set size) and node (hash of the set)."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [(len(s), set_key(s)) for s in shingle_sets(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("chunk"), pa.array([x[0] for x in sets], pa.int64()), pa.array([x[1] for x in sets], pa.int64())], names=["doc_id", "chunk", "n", "node"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("chunk"), batch.column("r"), pa.array([x[0] for x in sets], pa.int64()), pa.array([x[1] for x in sets], pa.int64())], names=["doc_id", "chunk", "r", "n", "node"])
 
-    return docs.mapInArrow(run, f"doc_id {id_type}, chunk int, n bigint, node bigint")
+    return docs.mapInArrow(run, f"doc_id {id_type}, chunk int, r bigint, n bigint, node bigint")
 
 
 def chosen_sets(left: pa.Table, nodes: set[int]) -> tuple[list[int], list[np.ndarray]]:
@@ -150,7 +154,7 @@ def linked(pairs: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def pivot_pairs(rows: DataFrame) -> DataFrame:
-    """Step 3: each row with the pivot (least node by another hash) of each of its min-hash groups, if the sizes allow a link."""
+    """Step 4: each row with the pivot (least node by another hash) of each of its min-hash groups, if the sizes allow a link."""
     keys = rows.select("node", "n", F.posexplode("mh").alias("j", "key"))
     groups = keys.groupBy("j", "key").agg(F.min_by(F.struct("node", "n"), F.xxhash64("node", "j")).alias("pivot"), F.count(F.lit(1)).alias("members"))
     pairs = keys.join(groups.where("members > 1"), ["j", "key"]).where("node <> pivot.node")
@@ -168,7 +172,7 @@ def spread(n_buckets: int):
             if not length.sum():
                 continue
             token = np.concatenate(parts)
-            cols = {"token": token, **{c: np.repeat(batch.column(c).to_numpy(), length) for c in ("node", "label", "n")}}
+            cols = {"token": token, **{c: np.repeat(batch.column(c).to_numpy(), length) for c in ("node", "n")}}
             bucket = (token % U(n_buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             at = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
@@ -179,57 +183,116 @@ def spread(n_buckets: int):
     return run
 
 
-def block_pairs(table: pa.Table) -> pa.Table:
-    """One column block: pairs of rows of different components that share a column and whose sizes allow a link."""
-    cat = {c: np.concatenate([np.frombuffer(x.as_buffer(), t) for x in table.column(c)]) for c, t in (("token", U), ("node", np.int64), ("label", np.int64), ("n", np.int64))}
-    order = np.lexsort((cat["n"], cat["token"]))
-    token, node, label, n = (cat[c][order] for c in ("token", "node", "label", "n"))
-    start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-    end = np.append(start[1:], len(token))
-    a, b = [], []
-    mixed = np.maximum.reduceat(label, start) != np.minimum.reduceat(label, start)
-
-    def flush() -> None:
-        if len(a) > 1:
-            both = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
-            a[:], b[:] = [both[0]], [both[1]]
-
-    for s, e in zip(start[mixed].tolist(), end[mixed].tolist(), strict=True):
-        for i in range(s, e - 1):  # sizes ascend: partners of row i are a run behind it
-            stop = int(np.searchsorted(n[i + 1 : e], 100 * n[i] // PERCENT, "right")) + i + 1
-            other = np.flatnonzero(label[i + 1 : stop] != label[i]) + i + 1
-            if len(other):
-                a.append(np.minimum(node[i], node[other]))
-                b.append(np.maximum(node[i], node[other]))
-        if len(a) > 4096:
-            flush()
-    flush()
-    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-    return pa.table([pa.array(a), pa.array(b)], names=["a", "b"])
-
-
-def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: doc_id, n_shingles, class_id (least id with the same set) and component_id (least id reachable)."""
+def relatives(table: pa.Table) -> pa.Table:
+    """One column block: rows that share a column and follow each other in size within the bound, each with the first such row."""
+    token, node, n = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in table.column(c)]) for c, t in (("token", U), ("node", np.int64), ("n", np.int64)))
+    order = np.lexsort((n, token))
+    token, node, n = token[order], node[order], n[order]
+    near = np.concatenate([[False], (token[1:] == token[:-1]) & (100 * n[:-1] >= PERCENT * n[1:])])
+    head = np.maximum.accumulate(np.where(near, 0, np.arange(len(node))))
+    pairs = np.unique(np.stack([node[head[near]], node[near]]), axis=1)
+    return pa.table([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+
+def multiply(table: pa.Table) -> pa.Table:
+    """Some families, or a pair of row blocks of one: overlaps of all pairs of rows of different components (in a pair of
+    blocks, of rows on both sides); links that join components."""
+    a, b, overlap = [], [], []
+    family, node, label, n, side = (table.column(c).to_numpy() for c in ("family", "node", "label", "n", "side"))
+    sets = [np.frombuffer(x.as_buffer(), U) for x in table.column("sh")]
+    order = np.lexsort((node, family))
+    edge = np.flatnonzero(np.concatenate([[True], family[order][1:] != family[order][:-1]]))
+    for rows in np.split(order, edge[1:]):
+        own = label[rows].copy()
+        if (own == own[0]).all():
+            continue
+        size, part = n[rows], side[rows]
+        lengths = np.array([len(sets[r]) for r in rows])
+        _, column = np.unique(np.concatenate([sets[r] for r in rows]), return_inverse=True)
+        holder = np.repeat(np.arange(len(rows)), lengths)[np.argsort(column, kind="stable")]
+        count = np.bincount(column)
+        start = np.cumsum(count) - count
+        stop = np.cumsum(lengths)
+        for i in range(1, len(rows)):
+            mine = column[stop[i] - lengths[i] : stop[i]]
+            many = count[mine]
+            at = np.repeat(start[mine] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+            total = np.bincount(holder[at], minlength=len(rows))[:i]
+            good = (100 * total >= PERCENT * (size[i] + size[:i] - total)) & (own[:i] != own[i]) & ((part[:i] != part[i]) | (part[i] == 2))
+            for k in np.flatnonzero(good):
+                if own[k] != own[i]:
+                    a.append(node[rows[k]])
+                    b.append(node[rows[i]])
+                    overlap.append(total[k])
+                    own[own == own[k]] = own[i]
+    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(overlap, pa.int64())], names=["a", "b", "overlap"])
+
+
+def family_links(rows: DataFrame, total: int) -> DataFrame:
+    """Steps 3 to 5: links (a, b, overlap) whose components are those of all links."""
+    n_blocks = chunks_for(total, BUCKET_TEXT)
+    shared_columns = rows.select("node", "n", "prefix").mapInArrow(spread(n_blocks), "bucket int, token binary, node binary, n binary")
+    families = connected_components(shared_columns.groupBy("bucket").applyInArrow(relatives, "a bigint, b bigint"))
+    members = families.withColumnRenamed("label", "family")
+    sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("rows"))
+    members = written(members.join(sizes, "family"), "families")
+    small = members.where(F.col("rows") <= BLOCK_ROWS).select("node", "family", F.concat(F.lit("p"), F.pmod(F.xxhash64("family"), F.lit(n_blocks))).alias("task"), F.lit(2).alias("side"), F.col("node").alias("label"))
+    large = members.where(F.col("rows") > BLOCK_ROWS).select("node", "family")
+    links = None
+    if large.limit(1).count():
+        some = written(rows.join(large, "node"), "large")
+        links = written(linked(pivot_pairs(some), some), "links")
+        labels = connected_components(links)
+        large = written(large.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+        small = small.unionByName(block_pairs(large))
+    work = rows.select("node", "n", "sh").join(small, "node")
+    found = work.select("task", "family", "node", "label", "n", "side", "sh").groupBy("task").applyInArrow(multiply, "a bigint, b bigint, overlap bigint")
+    return found if links is None else found.unionByName(links)
+
+
+def block_pairs(large: DataFrame) -> DataFrame:
+    """Rows of large families with the pairs of blocks they take part in. A component of many rows has blocks of its own."""
+    of_label = large.groupBy("family", "label").agg(F.count(F.lit(1)).alias("n"))
+    alone = of_label.where(F.col("n") > BLOCK_ROWS // 2)
+    rest = of_label.where(F.col("n") <= BLOCK_ROWS // 2)
+    loose = rest.groupBy("family").agg(F.sum("n").alias("loose"))
+    parts = lambda c: F.ceil(F.col(c) / BLOCK_ROWS).cast("int")
+    own = large.join(alone.select("family", "label", "n"), ["family", "label"]).withColumn("block", F.concat_ws("/", F.col("label").cast("string"), F.pmod(F.xxhash64("node"), parts("n")).cast("string"))).withColumn("pure", F.col("label"))
+    mixed = large.join(rest.select("family", "label"), ["family", "label"]).join(loose, "family").withColumn("block", F.concat_ws("/", F.lit("mixed"), F.pmod(F.xxhash64("label"), parts("loose")).cast("string"))).withColumn("pure", F.lit(None).cast("bigint"))
+    dealt = written(own.select("family", "node", "label", "block", "pure").unionByName(mixed.select("family", "node", "label", "block", "pure")), "blocks")
+    blocks_of = dealt.select("family", "block", "pure").distinct()
+    left, right = (blocks_of.select("family", F.col("block").alias(x), F.col("pure").alias(f"{x}_pure")) for x in ("x", "y"))
+    # pairs of blocks, not of rows; a component is never multiplied with itself
+    pairs = left.join(right, "family").where("x <= y and (x_pure is null or y_pure is null or x_pure <> y_pure)")
+    task = F.concat_ws("|", F.col("family").cast("string"), "x", "y").alias("task")
+    one = pairs.select("family", task, F.col("x").alias("block"), F.when(F.col("x") == F.col("y"), 2).otherwise(0).alias("side"))
+    two = pairs.where("x < y").select("family", task, F.col("y").alias("block"), F.lit(1).alias("side"))
+    return dealt.join(one.unionByName(two), ["family", "block"]).select("node", "family", "task", "side", "label")
+
+
+def with_components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, r, n, node, class_id, label (a name of the component, null without words) and component_id of every document."""
     n_rows, total = text_bytes(docs, text_col)
     n_chunks = chunks_for(total + 64 * n_rows, sharing.CHUNK_BYTES)
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), sharing.chunk_of(n_chunks, id_col, text_col).alias("chunk"))
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), sharing.chunk_of(n_chunks, id_col, text_col).alias("chunk"), row_hash(id_col, text_col).alias("r"))
     sets = written(fingerprints(docs), "sets")
     classes = written(sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("class_id"), F.min("chunk").alias("any_chunk"), F.min_by("chunk", "doc_id").alias("chunk")).withColumn("chunk", F.coalesce("chunk", "any_chunk")), "classes")
-    rows = written(candidates(docs, classes, total), "candidates")
-    links = written(linked(pivot_pairs(rows), rows), "links")
-    labels = connected_components(links)
-    small = rows.select("node", "n", "prefix").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    n_blocks = chunks_for(total, BUCKET_TEXT)
-    blocks_ = small.select("node", "label", "n", "prefix").mapInArrow(spread(n_blocks), "bucket int, token binary, node binary, label binary, n binary")
-    pairs = written(blocks_.groupBy("bucket").applyInArrow(block_pairs, "a bigint, b bigint").distinct(), "pairs")
-    more = written(linked(pairs, rows), "links")
-    labels = connected_components(links.select("a", "b").union(more.select("a", "b")))
+    rows = written(candidates(docs.select("chunk", "text"), classes, total), "candidates")
+    labels = connected_components(written(family_links(rows, total), "links"))
     classes = classes.select("node", "class_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = classes.groupBy("label").agg(F.min("class_id").alias("component_id"))
-    classes = classes.join(least, "label").select("node", "class_id", "component_id")
-    out = sets.join(classes, "node", "left")
+    classes = classes.join(least, "label").select("node", "label", "class_id", "component_id")
+    return sets.join(classes, "node", "left")
+
+
+def row_hash(id_col: str, text_col: str):
+    return F.xxhash64(F.lit(3), id_col, text_col)
+
+
+def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a document: doc_id, n_shingles, class_id (least id with the same set) and component_id (least id reachable)."""
     alone = lambda c: F.when(F.col("n") > 0, F.col(c)).otherwise(F.col("doc_id")).alias(c)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), alone("class_id"), alone("component_id"))
+    return with_components(docs, id_col, text_col).select("doc_id", F.col("n").alias("n_shingles"), alone("class_id"), alone("component_id"))
 
 
 def digest(joined: DataFrame) -> DataFrame:
@@ -238,7 +301,11 @@ def digest(joined: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that give their component its id, and those without words; their own columns. Of repeated rows of an id all stay."""
-    joined = ngram_join(docs, id_col=id_col, text_col=text_col)
-    kept = joined.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept"]), "left_semi")
+    """One document of each component, the one with the least id (null ids last), and all without words; their own columns."""
+    found = written(with_components(docs, id_col, text_col), "components")
+    first = found.where("n > 0").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "r")).alias("x")).select(F.col("x.r").alias("_kept"), F.lit(1).alias("_single"))
+    kept = first.unionByName(found.where("n = 0").select(F.col("r").alias("_kept"), F.lit(0).alias("_single")).distinct())
+    # repeated rows have one hash; the join has put them together, so numbering them moves nothing
+    joined = docs.withColumn("_row", row_hash(id_col, text_col)).join(kept, F.col("_row") == F.col("_kept"))
+    joined = joined.withColumn("_no", F.row_number().over(Window.partitionBy("_row").orderBy("_row")))
+    return joined.where("_single = 0 or _no = 1").select(*docs.columns)
