@@ -1,16 +1,15 @@
 """Suffix arrays by induced sorting, and permuted common prefixes cut at a length.
 
 The first level works on bytes: the alphabet is small, so a whole bucket is induced with a few numpy operations (once more for each
-repetition in a run of one byte). Deeper levels have large alphabets and a third of the length; they run as plain loops.
+repetition in a run of one byte). Deeper levels have large alphabets and a third of the length; they are induced a window at a time,
+short ones in plain loops.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-from vellum.llm.textblock import U, cut, mix, power
-
-_SYMBOL = mix(np.arange(1, 259, dtype=np.uint64))
+from vellum.llm.textblock import U
 
 
 def smaller_types(s: np.ndarray) -> np.ndarray:
@@ -121,17 +120,110 @@ def induce(larger: list[int], smaller: list[int], symbols: list[int], lms: list[
     return sa
 
 
-def names(lms: np.ndarray, ordered: np.ndarray, key: np.ndarray, n: int) -> tuple[np.ndarray, int]:
-    """Number the leftmost-smaller substrings in their order; equal ones (by length and hash) share a number."""
-    at = np.empty(n, np.int64)
-    at[lms] = np.arange(len(lms))
-    length = np.append(np.diff(lms), 1)[at[ordered]]
-    h = key[at[ordered]]
-    new = np.concatenate([[False], (h[1:] != h[:-1]) | (length[1:] != length[:-1])])
-    out = np.empty(len(lms), np.int64)
-    name = np.cumsum(new)
-    out[at[ordered]] = name
-    return out, int(name[-1]) + 1
+def induce_wide(s: np.ndarray, types: np.ndarray, lms: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The same, a window of the array at a time. A window ends before the first place that its own suffixes fill, so all it
+    reads is final. Where windows stay short (many equal neighbours), ``induce`` does the work instead."""
+    n = len(s)
+    before = np.append(s[:-1], -1)  # by position - 1
+    larger, smaller = np.full(n + 1, -1, np.int64), np.full(n + 1, -1, np.int64)
+    larger[1:n] = np.where(types[:-1], -1, before[:-1])
+    smaller[1:n] = np.where(types[:-1], before[:-1], -1)
+    sa = np.full(n, n, np.int64)
+    end = np.cumsum(size)
+    sym = s[lms]
+    order = np.argsort(sym, kind="stable")
+    count = np.bincount(sym, minlength=len(size))
+    first = np.cumsum(count) - count
+    c = sym[order]
+    sa[end[c] - count[c] + np.arange(len(lms)) - first[c]] = lms[order]
+    wide = max(64, int(2 * n**0.5))
+    for source, place, step in ((larger, end - size, 1), (smaller, end.copy(), -1)):
+        at, turns, most = 0, 0, n // 24 + 64
+        while at < n:
+            turns += 1
+            if turns > most:
+                return np.array(induce(larger.tolist(), smaller.tolist(), s.tolist(), lms.tolist(), size))
+            stop = min(at + wide, n)
+            p = sa[at:stop] if step > 0 else sa[n - stop : n - at][::-1]
+            c = source[p]
+            have = np.flatnonzero(c >= 0)
+            if len(have):
+                c = c[have]
+                o = np.argsort(c, kind="stable")
+                c, have = c[o], have[o]
+                new = np.concatenate([[True], c[1:] != c[:-1]])
+                k = np.arange(len(c))
+                rank = k - np.maximum.accumulate(np.where(new, k, 0))
+                q = place[c] + rank if step > 0 else n - place[c] + rank  # as counted from the side where the scan starts
+                limit = int(q.min())
+                if limit < stop:
+                    stop = limit
+                    keep = have < stop - at
+                    c, have, q = c[keep], have[keep], q[keep]
+                v = p[have] - 1
+                if step > 0:
+                    sa[q] = v
+                    place[c] = q + 1
+                else:
+                    sa[n - 1 - q] = v
+                    place[c] = n - 1 - q
+            at = stop
+        sa[0] = n - 1
+    return sa
+
+
+def names(s: np.ndarray, types: np.ndarray, lms: np.ndarray, k: int) -> tuple[np.ndarray, int]:
+    """Number the leftmost-smaller substrings in their order; equal ones share a number.
+
+    Symbols are compared with their types, several packed in a word; words after the first are read only where substrings tie.
+    With types no substring is a prefix of another, so ties are of equal length until they are equal throughout.
+    """
+    bits = int(2 * k).bit_length()
+    pack = 64 // bits
+    both = np.concatenate([2 * s + types, np.zeros(pack, np.int64)]).astype(U)
+    length = np.append(np.diff(lms) + 1, 1)
+
+    def word(which: np.ndarray, j: int) -> np.ndarray:
+        out = np.zeros(len(which), U)
+        for t in range(j * pack, (j + 1) * pack):
+            out <<= U(bits)
+            live = t < length[which]
+            out |= np.where(live, both[np.minimum(lms[which] + t, len(both) - 1)], U(0))
+        return out
+
+    def places(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort(keys) if len(keys) > 1 else np.argsort(keys[0])
+        new = np.zeros(len(order), bool)
+        new[:1] = True
+        for key in keys:
+            new[1:] |= key[order][1:] != key[order][:-1]
+        return order, new
+
+    everyone = np.arange(len(lms))
+    order, new = places(word(everyone, 0))
+    rank = np.empty(len(lms), np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new, everyone, 0))
+    j = 1
+    open_ = everyone
+    while True:
+        tied = np.bincount(rank, minlength=len(lms))[rank[open_]] > 1
+        open_ = open_[tied & (length[open_] > j * pack)]
+        if not len(open_):
+            break
+        order, new = places(word(open_, j), rank[open_])
+        at = open_[order]
+        group = np.concatenate([[True], rank[at][1:] != rank[at][:-1]])
+        k_ = np.arange(len(at))
+        offset = np.maximum.accumulate(np.where(new, k_, 0)) - np.maximum.accumulate(np.where(group, k_, 0))
+        rank[at] = rank[at] + offset
+        j += 1
+    seen = np.zeros(len(lms), bool)
+    seen[rank] = True
+    return (np.cumsum(seen) - 1)[rank], int(seen.sum())
+
+
+#: below this length plain loops are faster than windows
+WIDE = 20_000
 
 
 def suffix_array(s: np.ndarray, k: int, first: bool = True) -> np.ndarray:
@@ -140,32 +232,21 @@ def suffix_array(s: np.ndarray, k: int, first: bool = True) -> np.ndarray:
     if n == 1:
         return np.zeros(1, np.int64)
     types = smaller_types(s)
-    lms = leftmost(types)
+    order = lms = leftmost(types)
     size = np.bincount(s, minlength=k)
-    if first:
-        run = lambda order: induce_bytes(s, types, order, size)
-        symbol = _SYMBOL[s]
-    else:
-        larger = [-1, *np.where(types[:-1], -1, s[:-1]).tolist(), -1]
-        smaller = [-1, *np.where(types[:-1], s[:-1], -1).tolist(), -1]
-        plain = s.tolist()
-        run = lambda order: np.array(induce(larger, smaller, plain, order.tolist(), size))
-        symbol = mix(s.astype(U) + U(1))
     if len(lms) > 1:
-        sa = run(lms)
-        is_lms = np.zeros(n, bool)
-        is_lms[lms] = True
-        prefix = np.zeros(n + 1, U)
-        np.cumsum(symbol * power("up", n), out=prefix[1:])
-        key = cut(prefix, lms, np.append(lms[1:] + 1, n))
-        reduced, count = names(lms, sa[is_lms[sa]], key, n)
+        reduced, count = names(s, types, lms, k)
         if count == len(lms):
             order = np.empty(count, np.int64)
             order[reduced] = lms
         else:
             order = lms[suffix_array(reduced, count, first=False)]
-        return run(order)
-    return run(lms)
+    if first:
+        return induce_bytes(s, types, order, size)
+    if n >= WIDE:
+        return induce_wide(s, types, order, size)
+    before = np.where(types[:-1], -1, s[:-1]).tolist()
+    return np.array(induce([-1, *before, -1], [-1, *np.where(types[:-1], s[:-1], -1).tolist(), -1], s.tolist(), order.tolist(), size))
 
 
 def common_prefixes(raw: np.ndarray, at: np.ndarray, before: np.ndarray, length: int) -> np.ndarray:

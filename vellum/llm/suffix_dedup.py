@@ -37,7 +37,7 @@ LENGTH = 50
 ANCHOR, SHARD_PIECE = 24, 12
 CHUNK_TEXT, BUCKET_TEXT, SHARD_TEXT = 4 << 20, 16 << 20, 4 << 20
 #: distinct text in one suffix array
-ARRAY_TEXT = 400_000
+ARRAY_TEXT = 250_000
 LAST = np.iinfo(np.int64).max
 SENT = "chunk int, shard int, text binary, lengths binary, parts binary, earliest binary"
 SENT_NAMES = ["chunk", "shard", "text", "lengths", "parts", "earliest"]
@@ -182,7 +182,7 @@ def send_segments(length: int, n_buckets: int, n_shards: int):
         chunk = read_chunk(left, length, True)
         g = cut_segments(chunk, levels_of(chunk, right, n_buckets), length, n_shards)
         full, at = np.unique(g.shard, return_index=True)
-        end = np.append(at[1:], len(g.shard))
+        end = np.append(at[1:], len(g.shard))[: len(at)]
         rows = list(zip(at.tolist(), end.tolist(), strict=True))
         return pa.table([
             pa.array(np.full(len(full), key[0].as_py(), np.int32)), pa.array(full.astype(np.int32)),
