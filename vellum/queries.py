@@ -684,3 +684,94 @@ def regression_gate(spark, sf_dir):
     t = table(spark, sf_dir, "events").select(F.col("event_type").alias("workload"), F.col("value").alias("seconds"))
     base = t.groupBy("workload").agg(F.percentile("seconds", 0.5).alias("m")).select("workload", F.when(F.col("workload") < "m", F.col("m") * 0.5).otherwise(F.col("m") * 2).alias("base"))
     return audit.regression_gate(base.unionByName(spark.createDataFrame([("absent", 1.0)], "workload string, base double")), t).select("workload")
+
+
+# --- codecs, content streams, files ---------------------------------------------------------------------------------------------
+
+
+def round_trip(*names: str):
+    from vellum.functions import codecs
+
+    def run(spark, sf_dir):
+        d = docs_of(spark, sf_dir).withColumn("packed", codecs.encode(F.encode("text", "UTF-8"), list(names)))
+        return d.select("doc_id", F.decode(codecs.decode(F.col("packed"), list(reversed(names))), "UTF-8").alias("text"))
+
+    return run
+
+
+for _name, _filters in {"ascii85_roundtrip": ["A85"], "runlength_roundtrip": ["RL"], "lzw_roundtrip": ["LZW"], "flate_roundtrip": ["FlateDecode"], "chained_roundtrip": ["FlateDecode", "A85", "AHx"]}.items():
+    QUERIES[_name], SQL[_name] = round_trip(*_filters), "select doc_id, text from documents"
+
+
+@query("select doc_id, lower(hex(encode(text))) || '>' packed, text from documents")
+def ascii_hex_roundtrip(spark, sf_dir):
+    from vellum.functions import codecs
+
+    d = docs_of(spark, sf_dir).withColumn("packed", codecs.ascii_hex_encode(F.encode("text", "UTF-8")))
+    return d.select("doc_id", "packed", F.decode(codecs.ascii_hex_decode(F.col("packed")), "UTF-8").alias("text"))
+
+
+@query("select doc_id, text from documents where strlen(text) % 4 = 0")
+def predictor_roundtrip(spark, sf_dir):
+    from vellum.functions import codecs
+
+    d = docs_of(spark, sf_dir).where("octet_length(text) % 4 = 0").withColumn("tiff", codecs.predict(F.encode("text", "UTF-8"), 2, 4))
+    back = codecs.predict(codecs.predict(codecs.predict(F.col("tiff"), 2, 4, back=True), 12, 4), 12, 4, back=True)
+    return d.select("doc_id", F.decode(back, "UTF-8").alias("text"))
+
+
+@query("select * from (values (1, 'png'), (2, 'jpeg'), (3, 'bmp'), (4, 'jpeg2000'), (5, 'unknown')) v(id, kind)")
+def image_types(spark, sf_dir):
+    from vellum.functions import codecs
+
+    heads = [(1, "89504E470D0A1A0A00"), (2, "FFD8FFE0"), (3, "424D3600"), (4, "FF4FFF51"), (5, "00")]
+    return spark.createDataFrame(heads, "id int, h string").select("id", codecs.image_type(F.unhex("h")).alias("kind"))
+
+
+@query(f"with {GRID} select doc_id, page_index, chunk_index, txt as text, x0, x1, y, round(y - 2, 6) b, round(y + 8, 6) t from ch")
+def content_roundtrip(spark, sf_dir):
+    """The grid written as content streams, tokenized and extracted again."""
+    from vellum.sources import content, pdf
+
+    back = content.content_chunks(pdf.page_streams(chunks_of(spark, sf_dir)))
+    return back.select("doc_id", "page_index", "chunk_index", "text", "x0", F.round("x1", 6).alias("x1"), "y", F.round("bbox.b", 6).alias("b"), F.round("bbox.t", 6).alias("t"))
+
+
+@query(f"with {GRID} select doc_id, page_index, kind, n from (select doc_id, page_index, count(*)::bigint c from ch group by all), lateral (values ('begin_text', 1::bigint), ('end_text', 1), ('set_font', 1), ('text_state', 1), ('set_matrix', c), ('show_text', c)) v(kind, n)")
+def content_event_counts(spark, sf_dir):
+    from vellum.sources import content, pdf
+
+    return content.content_events(pdf.page_streams(chunks_of(spark, sf_dir))).groupBy("doc_id", "page_index", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"with {GRID}, {LINES.format(c='ch')} select doc_id, page_index, 612.0::double width, 0 rotation, t as text from ptx")
+def pdf_roundtrip(spark, sf_dir):
+    """Documents written as PDF files, read again, their pages' text built from the content streams."""
+    from vellum.sources import content, pdf
+
+    pages = pdf.read_pages(pdf.write_files(pdf.page_streams(chunks_of(spark, sf_dir))))
+    text = layout.page_text(content.content_chunks(pages.select("doc_id", "page_index", "content")))
+    return pages.select("doc_id", "page_index", F.col("media_box")[2].alias("width"), "rotation").join(text, ["doc_id", "page_index"])
+
+
+@query(f"with {GRID}, n as (select doc_id, max(page_index) + 1 n from ch group by doc_id) select doc_id, '1.7' as version, n page_count, 5 + 2 * n xref_count, 'document ' || doc_id title from n")
+def pdf_documents(spark, sf_dir):
+    from vellum.sources import pdf
+
+    return pdf.read_documents(pdf.write_files(pdf.page_streams(chunks_of(spark, sf_dir)))).select("doc_id", "version", "page_count", "xref_count", "title")
+
+
+@query(f"with {GRID}, n as (select doc_id, max(page_index) + 1 n from ch group by doc_id) select doc_id, obj_type, c from n, lateral (values ('dictionary', (4 + n)::bigint), ('stream', n::bigint)) v(obj_type, c)")
+def pdf_objects(spark, sf_dir):
+    from vellum.sources import pdf
+
+    return pdf.read_objects(pdf.write_files(pdf.page_streams(chunks_of(spark, sf_dir)))).groupBy("doc_id", "obj_type").agg(F.count(F.lit(1)).alias("c"))
+
+
+@query("select * from (values (1, 'בא', 'ﺑﺖ', 'é', 'aaa|bb cc'), (2, 'ABC', 'x', 'z', 'abcde|f')) v(id, bidi, arabic, nfc, wrapped)")
+def shaping_samples(spark, sf_dir):
+    from vellum.functions import shaping
+
+    rows = [(1, "אב", "بت", "é", "aaa bb cc"), (2, "ABC", "x", "z", "abcdef")]
+    s = spark.createDataFrame(rows, "id int, a string, b string, c string, d string")
+    return s.select("id", shaping.reorder_bidi(F.col("a")).alias("bidi"), shaping.shape_arabic(F.col("b")).alias("arabic"), shaping.normalize_nfc(F.col("c")).alias("nfc"), F.array_join(shaping.word_wrap(F.col("d"), 5), "|").alias("wrapped"))
