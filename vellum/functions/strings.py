@@ -47,7 +47,7 @@ ACCENTS_TO = "".join(k * len(v) for k, v in ACCENTED.items())
 
 #: combining marks that join a grapheme; those that stay with their base in truncation and are stripped with marks
 GRAPHEME_MARKS = "̀-ͯ᪰-᫿᷀-᷿⃐-⃿"
-MARKS = GRAPHEME_MARKS + "︀-️‌‍﻿"
+MARKS = GRAPHEME_MARKS + "︀-️‍‌﻿"
 SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 
 

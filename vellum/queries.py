@@ -58,7 +58,7 @@ def sql_plain(x: str) -> str:
 
 
 #: texts with what the documents lack: marks, Unicode spaces, carriage returns, Extended-A, long s
-SAMPLES = ["héllo wörld", "   café　", "a\r\nb\n\nc\rd", "ſtraße İıłŁ", "́̂x", "", "  ", "hELLO wORLD", "Ærø Þð Ÿÿ"]
+SAMPLES = ["héllo wörld", "   café　", "a\r\nb\n\nc\rd", "ſtraße İıłŁ", "́̂x", "", "  ", "hELLO wORLD", "Ærø Þð Ÿÿ", "abcdéf", "abc‍d"]
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
