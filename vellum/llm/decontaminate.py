@@ -200,5 +200,20 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return found.select(
         F.col(id_col).alias("doc_id"), "n_words", "n_hit", F.size(items).cast("long").alias("n_items"),
         F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
-        F.coalesce(F.array_max(F.transform("matches", lambda m: m["words"])), F.lit(0)).cast("long").alias("longest_match"),
     )
+
+
+ORACLE = r"""
+with lo as (select 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' a, 'abcdefghijklmnopqrstuvwxyz' z),
+dw as (select row_number() over () rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), a, z), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents, lo),
+iw as (select coalesce(item_id::varchar, '') item, regexp_extract_all(translate(coalesce(text, ''), a, z), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark, lo),
+ip as (select item, w, least(len(w), 10) n, unnest(range(1, greatest(len(w) - 9, 1) + 1)) p from iw where len(w) > 0),
+win as (select distinct item, n, array_to_string(w[p:p + n - 1], ' ') k from ip),
+sz as (select distinct n from win),
+dp as (select rid, w, n, unnest(range(1, len(w) - n + 2)) p from dw, sz where len(w) >= n),
+hit as (select rid, p, d.n, item from (select rid, p, n, array_to_string(w[p:p + n - 1], ' ') k from dp) d join win on d.n = win.n and d.k = win.k),
+wd as (select rid, count(distinct q)::bigint n_hit from (select rid, unnest(range(p, p + n)) q from hit) group by rid),
+it as (select rid, count(distinct item)::bigint n_items, string_agg(distinct item, ',' order by item) items from hit group by rid)
+select doc_id, len(w)::bigint n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(items, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+from dw left join wd using (rid) left join it using (rid)
+"""

@@ -309,3 +309,16 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     joined = docs.withColumn("_row", row_hash(id_col, text_col)).join(kept, F.col("_row") == F.col("_kept"))
     joined = joined.withColumn("_no", F.row_number().over(Window.partitionBy("_row").orderBy("_row")))
     return joined.where("_single = 0 or _no = 1").select(*docs.columns)
+
+
+ORACLE = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+p as (select doc_id, w, least(len(w), 5) n, unnest(range(1, greatest(len(w) - 4, 1) + 1)) p from w where len(w) > 0),
+s as (select distinct doc_id, n, array_to_string(w[p:p + n - 1], ' ') k from p),
+c as (select doc_id, count(*)::bigint n from s group by doc_id),
+o as (select a.doc_id x, b.doc_id y, count(*) o from s a join s b on a.n = b.n and a.k = b.k and a.doc_id <> b.doc_id group by all),
+l as (select x, y from o join c a on a.doc_id = x join c b on b.doc_id = y where 100 * o >= 80 * (a.n + b.n - o)),
+r as (select x, y from l union select r.x, l.y from r join l on r.y = l.x)
+select w.doc_id, coalesce(c.n, 0)::bigint n_shingles, least(w.doc_id, coalesce(m.y, w.doc_id)) component_id
+from w left join c using (doc_id) left join (select x doc_id, min(y) y from r group by x) m using (doc_id)
+"""
