@@ -354,3 +354,17 @@ def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 def digest(result: DataFrame) -> DataFrame:
     """What op7 returns."""
     return result.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+ORACLE = """
+with h as (select doc_id, hex(encode(coalesce(text, ''))) x, octet_length(encode(coalesce(text, '')))::bigint n from documents),
+pc as (select doc_id, n, j, substr(x, 1000 * j + 1, 1098) s from (select doc_id, n, x, unnest(range(0, n // 500 + 1)) j from h)),
+w as (select doc_id, 500 * j + i p, hash(substr(s, 2 * i - 1, 100)) k from (select doc_id, n, j, s, unnest(range(1, 501)) i from pc) where 500 * j + i <= n - 49),
+f as (select k, min(doc_id) m from w group by k),
+g as (select doc_id, p from w join f using (k) where m < doc_id),
+y as (select doc_id, unnest(range(1, n + 1)) q, unnest(regexp_extract_all(x, '..')) v from h),
+c as (select y.*, coalesce(max(case when g.p is not null then 1 end) over (partition by y.doc_id order by q rows between 49 preceding and current row), 0) gone from y left join g on y.doc_id = g.doc_id and y.q = g.p),
+e as (select *, gone = 1 and coalesce(lag(gone) over (partition by doc_id order by q), 0) = 0 opens from c),
+r as (select doc_id, sum(gone)::bigint n_removed, count(*) filter (where opens)::bigint n_spans, coalesce(string_agg(v, '' order by q) filter (where gone = 0), '') kept from e group by doc_id)
+select doc_id, n n_bytes, coalesce(n_removed, 0) n_removed, coalesce(n_spans, 0) n_spans, sha256(unhex(coalesce(kept, ''))) kept_sha256 from h left join r using (doc_id)
+"""
