@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from vellum.llm.textblock import IS_ALNUM, Block, U, blocks, mix, words
 
 WINDOW = 10
-PIECE_BYTES = 32 << 20
+#: windows of a piece take some hundred times its bytes while they are built
+PIECE_BYTES = 2 << 20
 #: shards are some blocks of text; longer shards make fewer searches
 SHARD_BYTES = 2 << 20
 
