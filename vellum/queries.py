@@ -775,3 +775,52 @@ def shaping_samples(spark, sf_dir):
     rows = [(1, "אב", "بت", "é", "aaa bb cc"), (2, "ABC", "x", "z", "abcdef")]
     s = spark.createDataFrame(rows, "id int, a string, b string, c string, d string")
     return s.select("id", shaping.reorder_bidi(F.col("a")).alias("bidi"), shaping.shape_arabic(F.col("b")).alias("arabic"), shaping.normalize_nfc(F.col("c")).alias("nfc"), F.array_join(shaping.word_wrap(F.col("d"), 5), "|").alias("wrapped"))
+
+
+@query("select event_id % 1000 doc_id, (row_number() over (partition by event_id % 1000 order by event_id // 1000) - 1)::int ordinal, 'Highlight' subtype, 3 page_index, (event_id % 7)::double l, event_type || '\"<&' title, 'c>' || event_id as contents from events")
+def xfdf_roundtrip(spark, sf_dir):
+    """Annotations exported as XFDF and imported again."""
+    from vellum.sources import xfdf
+
+    e, k = table(spark, sf_dir, "events"), F.col("event_id")
+    corner = (k % 7).cast("double")
+    a = e.select((k % 1000).alias("doc_id"), F.lit(3).alias("page_index"), F.floor(k / 1000).alias("ordinal"), F.lit("Highlight").alias("subtype"), geo.rect(corner, F.lit(1.0), corner + 2, F.lit(5.0)).alias("rect"), F.concat("event_type", F.lit('"<&')).alias("title"), F.concat(F.lit("c>"), k.cast("string")).alias("contents"))
+    other = a.limit(0).withColumn("subtype", F.lit("Widget"))
+    back = xfdf.import_xfdf(xfdf.export_xfdf(a.unionByName(other)))
+    return back.select("doc_id", "ordinal", "subtype", "page_index", F.col("rect.l").alias("l"), "title", "contents")
+
+
+@query("select p_partkey, 'X' || chr(65 + (p_partkey % 5)::int) || 'fi' || 'Z' || 'a' v from part")
+def cmap_decode(spark, sf_dir):
+    from vellum.sources import cmap
+
+    text = "1 beginbfchar <0010> <00660069> endbfchar 2 beginbfrange <0041> <0045> <0041> <20> <20> [<005A>] endbfrange"
+    data = F.unhex(F.concat(F.lit("58004"), (F.col("p_partkey") % 5 + 1).cast("string"), F.lit("00102061FF")))
+    return table(spark, sf_dir, "part").select("p_partkey", cmap.decode(data, F.lit(text)).alias("v"))
+
+
+@query(f"with {GRID}, {LINES.format(c='ch')}, dt as (select doc_id, string_agg(coalesce(t, ''), ' ' order by page_index) t, count(*) n from pgs left join ptx using (doc_id, page_index) group by doc_id) select doc_id, 'pages' || chr(9) || n || chr(10) || 'page_text' || chr(9) || regexp_replace(t, '[\\t\\r\\n]', ' ', 'g') report from dt")
+def inspector_report(spark, sf_dir):
+    """A tab-separated report of each document; white space in values becomes a blank."""
+    docs = docs_of(spark, sf_dir)
+    pages = grid.pages(docs)
+    text = layout.document_text(pages, layout.page_text(grid.chunks(docs)))
+    n = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return text.join(n, "doc_id").select("doc_id", F.concat(F.lit("pages\t"), F.col("n").cast("string"), F.lit("\npage_text\t"), F.regexp_replace("text", "[\t\r\n]", " ")).alias("report"))
+
+
+@query("select doc_id, sha256(text[1:20] || text[41:60]) digest from documents")
+def signature_digest(spark, sf_dir):
+    """The digest over the two byte ranges that a signature leaves out of its own value (characters here)."""
+    d = docs_of(spark, sf_dir)
+    return d.select("doc_id", F.sha2(F.concat(F.substring("text", 1, 20), F.substring("text", 41, 20)), 256).alias("digest"))
+
+
+@query("select p_partkey, 'abc' as text, ['P', 'Span'] as marked, 7 as mcid from part where p_partkey < 50")
+def marked_content(spark, sf_dir):
+    """Chunks with the marked spans open around them, and the number of the innermost."""
+    from vellum.sources import content
+
+    p = table(spark, sf_dir, "part").where("p_partkey < 50").select("p_partkey", F.encode(F.lit("/P <</MCID 3>> BDC /Span <</MCID 7>> BDC BT /F1 9 Tf (abc) Tj ET EMC EMC"), "UTF-8").alias("content"))
+    ids = p.select("p_partkey", F.array_max(F.transform(F.regexp_extract_all(F.decode("content", "UTF-8"), F.lit(r"(/MCID \d+)"), F.lit(1)), st.parse_mcid)).alias("mcid"))
+    return content.content_chunks(p).select("p_partkey", "text", "marked").join(ids, "p_partkey")
