@@ -554,7 +554,7 @@ def pixel_sizes(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", geo.pixel_size(n * 12, 96, 2).alias("px"), geo.keep_aspect(n + 7, n, F.lit(100)).alias("fit"))
 
 
-@query("select p_partkey, round((p_size * 5) * 0.2126 + (p_partkey % 256) * 0.7152 + 7 * 0.0722)::int gray, round(((p_partkey * 4099) % 256) / 255.0, 9) red from part")
+@query("select p_partkey, round((p_size * 5) * 0.2126::double + (p_partkey % 256) * 0.7152::double + 7 * 0.0722::double)::int gray, round(((p_partkey * 4099) % 256) / 255.0, 9) red from part")
 def grayscale(spark, sf_dir):
     p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
     color = F.concat(F.lpad(F.hex((k * 4099) % 256), 2, "0"), F.lit("00zz"))
