@@ -21,3 +21,11 @@ def texts_dir(spark, tmp_path_factory):
 def test_predictor_takes_partial_rows(spark, texts_dir):
     got = queries.QUERIES["predictor_roundtrip_all"](spark, texts_dir).collect()
     assert sorted(map(tuple, got)) == list(enumerate(TEXTS))
+
+
+def test_marked_content_of_every_row(spark, tmp_path):
+    parts = [(0, "ECONOMY", "red (x)"), (49, "SMALL", "b\\"), (50, "LARGE", "c"), (12345, "PROMO", "d")]
+    spark.createDataFrame(parts, "p_partkey bigint, p_type string, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    got = queries.QUERIES["marked_content_all"](spark, str(tmp_path)).collect()
+    want = [x for k, t, n in parts for x in ((k, t, ["P"], 2 * k), (k, n, ["P", "Span"], 2 * k + 1))]
+    assert sorted(map(tuple, got)) == sorted(want)

@@ -834,3 +834,14 @@ def marked_content(spark, sf_dir):
     p = table(spark, sf_dir, "part").where("p_partkey < 50").select("p_partkey", F.encode(F.lit("/P <</MCID 3>> BDC /Span <</MCID 7>> BDC BT /F1 9 Tf (abc) Tj ET EMC EMC"), "UTF-8").alias("content"))
     ids = p.select("p_partkey", F.array_max(F.transform(F.regexp_extract_all(F.decode("content", "UTF-8"), F.lit(r"(/MCID \d+)"), F.lit(1)), st.parse_mcid)).alias("mcid"))
     return content.content_chunks(p).select("p_partkey", "text", "marked").join(ids, "p_partkey")
+
+
+@query("select p_partkey, text, marked, mcid::int mcid from part, lateral (values (p_type, ['P'], p_partkey * 2), (p_name, ['P', 'Span'], p_partkey * 2 + 1)) v(text, marked, mcid)")
+def marked_content_all(spark, sf_dir):
+    """marked_content over the whole table, the stream built from each row: its texts, and its numbers at two depths."""
+    from vellum.sources import content
+
+    k = F.col("p_partkey")
+    parts = [F.lit("/P <</MCID "), k * 2, F.lit(">> BDC BT /F1 9 Tf "), st.escape_literal(F.col("p_type")), F.lit(" Tj ET /Span <</MCID "), k * 2 + 1, F.lit(">> BDC BT "), st.escape_literal(F.col("p_name")), F.lit(" Tj ET EMC EMC")]
+    p = table(spark, sf_dir, "part").select("p_partkey", F.encode(F.concat(*(x.cast("string") for x in parts)), "UTF-8").alias("content"))
+    return content.content_chunks(p).select("p_partkey", "text", "marked", "mcid")

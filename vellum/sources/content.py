@@ -19,6 +19,7 @@ TOKEN = re.compile(
     rb"|(?P<num>[+-]?(?:\d+\.?\d*|\.\d+))(?=[\x00\t\n\x0c\r ()<>\[\]{}/%]|\Z)|(?P<mark>[\[\](])|(?P<op>[^\x00\t\n\x0c\r ()<>\[\]{}/%]+)"
 )
 ESCAPE = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+MCID = re.compile(r"/MCID\s*(\d+)")
 SHOW, PATH = {"Tj", "TJ", "'", '"'}, set("m l c v y h re S s f F f* B B* b b* n W W*".split())
 
 
@@ -120,12 +121,19 @@ def events(data: bytes) -> Iterator[tuple[int, str, str, str, list[float]]]:
         k += 1
 
 
+def mcid(args: list) -> int | None:
+    """The number in a marked span's property dictionary, where it fits an integer."""
+    m = MCID.search(args[-1]) if args and isinstance(args[-1], str) and args[-1].startswith("<<") else None
+    return int(m[1]) if m and int(m[1]) < 1 << 31 else None
+
+
 def chunks(data: bytes, standard_cm: bool = False, invisible: bool = True) -> Iterator[dict]:
-    """Text chunks with start, end, box, font size, rendering mode and the open marked spans."""
+    """Text chunks with start, end, box, font size, rendering mode, the open marked spans and the innermost number among them."""
     ctm, saved = [1.0, 0, 0, 1, 0, 0], []
     font, size, tc, tw, tz, tl, tr, ts = "", 0.0, 0.0, 0.0, 100.0, 0.0, 0, 0.0
     tm, lx, ly, pen = [1.0, 0, 0, 1, 0, 0], 0.0, 0.0, 0.0
     marked: list[str] = []
+    numbers: list[int | None] = []
 
     def move(dx: float, dy: float) -> None:
         nonlocal lx, ly, pen
@@ -155,8 +163,10 @@ def chunks(data: bytes, standard_cm: bool = False, invisible: bool = True) -> It
             tc, tw, tz, tl, tr, ts = (nums[0] if op == o else v for o, v in (("Tc", tc), ("Tw", tw), ("Tz", tz), ("TL", tl), ("Tr", tr), ("Ts", ts)))
         elif op in ("BMC", "BDC"):
             marked.append(next((x[1:] for x in args if isinstance(x, str)), ""))
+            numbers.append(mcid(args))
         elif op == "EMC" and marked:
             marked.pop()
+            numbers.pop()
         elif op in SHOW:
             if op == "'":
                 move(0.0, -tl)
@@ -180,12 +190,12 @@ def chunks(data: bytes, standard_cm: bool = False, invisible: bool = True) -> It
                 xs, ys = [c[0] for c in corners], [c[1] for c in corners]
                 point = lambda a: (ctm[0] * a + ctm[2] * y + ctm[4], ctm[1] * a + ctm[3] * y + ctm[5])
                 (x0, y0), (x1, _) = point(pen), point(pen + wide)
-                yield {"text": text, "op": op, "x0": x0, "x1": x1, "y": y0, "l": min(xs), "b": min(ys), "r": max(xs), "t": max(ys), "font": font, "font_size": fs, "rendering_mode": int(tr), "marked": list(marked)}
+                yield {"text": text, "op": op, "x0": x0, "x1": x1, "y": y0, "l": min(xs), "b": min(ys), "r": max(xs), "t": max(ys), "font": font, "font_size": fs, "rendering_mode": int(tr), "marked": list(marked), "mcid": next((x for x in reversed(numbers) if x is not None), None)}
             pen += wide
 
 
 EVENT = "seq int, kind string, op string, text string, numbers array<double>"
-CHUNK = "chunk_index int, text string, op string, x0 double, x1 double, y double, bbox struct<l:double,b:double,r:double,t:double>, font string, font_size double, rendering_mode int, marked array<string>"
+CHUNK = "chunk_index int, text string, op string, x0 double, x1 double, y double, bbox struct<l:double,b:double,r:double,t:double>, font string, font_size double, rendering_mode int, marked array<string>, mcid int"
 
 
 def _rows(df: DataFrame, schema: str, make) -> DataFrame:
@@ -216,6 +226,6 @@ def content_chunks(df: DataFrame, standard_cm: bool = False) -> DataFrame:
 
     def make(data: bytes):
         for k, c in enumerate(chunks(data, standard_cm)):
-            yield {"chunk_index": k, **{n: c[n] for n in ("text", "op", "x0", "x1", "y", "font", "font_size", "rendering_mode", "marked")}, "bbox": {n: c[n] for n in "lbrt"}}
+            yield {"chunk_index": k, **{n: c[n] for n in ("text", "op", "x0", "x1", "y", "font", "font_size", "rendering_mode", "marked", "mcid")}, "bbox": {n: c[n] for n in "lbrt"}}
 
     return _rows(df, CHUNK, make)
