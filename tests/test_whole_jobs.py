@@ -29,3 +29,9 @@ def test_marked_content_of_every_row(spark, tmp_path):
     got = queries.QUERIES["marked_content_all"](spark, str(tmp_path)).collect()
     want = [x for k, t, n in parts for x in ((k, t, ["P"], 2 * k), (k, n, ["P", "Span"], 2 * k + 1))]
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_signature_digest_runs_to_the_end(spark, texts_dir):
+    got = dict(map(tuple, queries.QUERIES["signature_digest_all"](spark, texts_dir).collect()))
+    assert got == {k: hashlib.sha256((t[:20] + t[40:]).encode()).hexdigest() for k, t in enumerate(TEXTS)}
+    assert len({got[k] for k in (8, 9, 10, 11)}) == 4

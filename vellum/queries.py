@@ -826,6 +826,13 @@ def signature_digest(spark, sf_dir):
     return d.select("doc_id", F.sha2(F.concat(F.substring("text", 1, 20), F.substring("text", 41, 20)), 256).alias("digest"))
 
 
+@query("select doc_id, sha256(text[1:20] || text[41:]) digest from documents")
+def signature_digest_all(spark, sf_dir):
+    """signature_digest with the second range running to the end of the text: only characters 21 to 40, the signature's own, are left out."""
+    d = docs_of(spark, sf_dir)
+    return d.select("doc_id", F.sha2(F.concat(F.substring("text", 1, 20), F.expr("substring(text, 41)")), 256).alias("digest"))
+
+
 @query("select p_partkey, 'abc' as text, ['P', 'Span'] as marked, 7 as mcid from part where p_partkey < 50")
 def marked_content(spark, sf_dir):
     """Chunks with the marked spans open around them, and the number of the innermost."""
