@@ -7,6 +7,7 @@ import hashlib
 import pytest
 
 from vellum import queries
+from vellum.operators import edits
 
 TEXTS = ["", "a", "ab", "abc", "abcd", "abcde", "é", "né nö", "x" * 61, "x" * 60 + "y", "0123456789" * 9, "0123456789" * 8 + "012345678!"]
 
@@ -35,3 +36,10 @@ def test_signature_digest_runs_to_the_end(spark, texts_dir):
     got = dict(map(tuple, queries.QUERIES["signature_digest_all"](spark, texts_dir).collect()))
     assert got == {k: hashlib.sha256((t[:20] + t[40:]).encode()).hexdigest() for k, t in enumerate(TEXTS)}
     assert len({got[k] for k in (8, 9, 10, 11)}) == 4
+
+
+def test_reachable_follows_long_chains_and_cycles(spark):
+    links = [(1, k, k + 1) for k in range(70)] + [(1, 70, 0), (1, 900, 901), (2, 0, 5)]
+    refs = spark.createDataFrame(links, "doc_id int, num bigint, target bigint").coalesce(1)
+    got = edits.reachable(spark.createDataFrame([(1, 0)], "doc_id int, num bigint"), refs).collect()
+    assert sorted(map(tuple, got)) == [(1, k) for k in range(71)]

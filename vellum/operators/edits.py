@@ -83,17 +83,24 @@ def first_seen(entries: DataFrame, keys: list[str], order: list[str]) -> DataFra
     return entries.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def reachable(roots: DataFrame, references: DataFrame, most: int = 64) -> DataFrame:
-    """Object numbers reachable from the roots (doc_id, num) over references (doc_id, num, target), breadth first, a round a level."""
-    rounds = [materialize(roots.select("doc_id", "num").distinct(), "reach")]
-    for _ in range(most):
-        step = rounds[-1].join(references, ["doc_id", "num"]).select("doc_id", F.col("target").alias("num")).distinct()
+#: rounds that reachable() keeps apart before it writes them as one, so plans stay small on long chains
+ROUNDS = 16
+
+
+def reachable(roots: DataFrame, references: DataFrame) -> DataFrame:
+    """Object numbers reachable from the roots (doc_id, num) over references (doc_id, num, target), breadth first, a round a level,
+    until a round meets nothing new."""
+    frontier = materialize(roots.select("doc_id", "num").distinct(), "reach")
+    rounds = [frontier]
+    while True:
+        step = frontier.join(references, ["doc_id", "num"]).select("doc_id", F.col("target").alias("num")).distinct()
         seen = reduce(DataFrame.union, rounds)
         frontier = materialize(step.join(seen, ["doc_id", "num"], "left_anti"), "reach")
         if not frontier.limit(1).count():
-            break
+            return seen
         rounds.append(frontier)
-    return reduce(DataFrame.union, rounds)
+        if len(rounds) > ROUNDS:
+            rounds = [materialize(reduce(DataFrame.union, rounds), "reach")]
 
 
 def renumber(objects: DataFrame) -> DataFrame:

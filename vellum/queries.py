@@ -388,6 +388,16 @@ def reachable_objects(spark, sf_dir):
     return edits.reachable(spark.createDataFrame([(0, 1)], "doc_id int, num bigint"), refs).select("num")
 
 
+@query("select user_id doc_id, event_id num from (select *, row_number() over (partition by user_id order by ts, event_id) n from events) where n > 1")
+def reachable_events(spark, sf_dir):
+    """A user's events linked each to its successor, from the second one on: chains as long as a user has events."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("num"), F.lead("event_id").over(w).alias("target"), F.row_number().over(w).alias("n"))
+    return edits.reachable(e.where("n = 2"), e.where("target is not null").select("doc_id", "num", "target"))
+
+
 # --- pages ----------------------------------------------------------------------------------------------------------------------
 
 PAGES = f"with {GRID}, n as (select *, max(page_index) over (partition by doc_id) + 1 n from pgs)"
