@@ -7,6 +7,7 @@ import hashlib
 import pytest
 
 from vellum import queries
+from vellum.llm import html_layout
 from vellum.operators import edits
 
 TEXTS = ["", "a", "ab", "abc", "abcd", "abcde", "é", "né nö", "x" * 61, "x" * 60 + "y", "0123456789" * 9, "0123456789" * 8 + "012345678!"]
@@ -43,3 +44,31 @@ def test_reachable_follows_long_chains_and_cycles(spark):
     refs = spark.createDataFrame(links, "doc_id int, num bigint, target bigint").coalesce(1)
     got = edits.reachable(spark.createDataFrame([(1, 0)], "doc_id int, num bigint"), refs).collect()
     assert sorted(map(tuple, got)) == [(1, k) for k in range(71)]
+
+
+DEEP = 50_000
+VISIBLE = {
+    "<table><tr><td>a</td></tr>after<caption>cap</caption></table>": "after\ncap\na",
+    "<table><tr>stray<td>a</table>": "stray\na",
+    "<table><tbody><form><tr><td>cell</td></tr></form></tbody></table>": "cell",
+    "<table><tr><form><td>a</td><td>b</td></form></tr><tr><td>c</table>": "a | b\nc |",
+    "<table><form hidden><tr><td>no</td></tr></form><tr><td>yes</table>": "yes",
+    "<table><colgroup>loose<col><tr><td>a</table>": "loose\na",
+    "x<svg><title>no</title><defs/><text>one</text><text>two</text><desc>no</desc></svg>y": "x\none\ntwo\ny",
+    "<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math>": "x=1",
+    "<select><option>red<option>blue</select>": "red\nblue",
+    "<object data=a>fallback</object>": "fallback",
+    "<div>" * 118 + "<table><tr><td>in</table><textarea>area</textarea>": "in\n\narea",
+    "<b>" * DEEP + "<table><tr><td>in</table><textarea>area</textarea>" + "</i></b>" * DEEP: "in\n\narea",
+}
+
+
+@pytest.mark.parametrize("html", VISIBLE, ids=range(len(VISIBLE)))
+def test_html_keeps_visible_text(html):
+    assert html_layout.page_text(html) == VISIBLE[html]
+
+
+def test_html_of_any_depth():
+    for tag in ("div", "blockquote", "ul><li", "table><tr><td", "svg", "details open"):
+        text = html_layout.page_text(f"<{tag}>" * 2000 + "deep")
+        assert text.count("deep") == 1 and text.count("-") == (2000 if tag == "ul><li" else 0)

@@ -3,30 +3,34 @@
 The builder follows the usual repairs: void elements, end tags implied by what follows (p, li, dt, dd, option, table parts), table parts
 closed only within their table, stray end tags ignored, open elements closed at the end, formatting elements closed with their block.
 Nothing is rendered of head, script, style, template, noscript, of form controls' hidden values, of elements with the ``hidden`` attribute, an inline
-``display:none`` or ``visibility:hidden`` (a descendant may be visible again), or of closed ``details`` beyond their summary.
+``display:none`` or ``visibility:hidden`` (a descendant may be visible again), or of closed ``details`` beyond their summary. Nor is what
+stands in for frames, audio, video and canvas, and in svg and math what describes or defines (title, desc, defs, annotation). Other text of svg,
+math and object is rendered, and all options of a select.
 White space collapses except in pre and textarea. Blocks stand on lines of their own, paragraphs and headings are set off by a blank line. List items
 carry their marker (bullets, or numbers from ``start``/``value``) and hang; table cells are padded to their columns, with column
-and row spans, and parted by " | ".
+and row spans, and parted by " | ". Text and elements in a table that are in no cell stand on lines before it; rows and cells are found within
+forms and other elements between them and their table.
 
-A null page has an empty text, as has one without visible text. Elements nested deeper than ``MAX_DEPTH`` are rendered at that
-depth: their text is kept. Repeated rows are rendered alike; empty tables give no rows.
+A null page has an empty text, as has one without visible text. Elements may be nested to any
+depth (the renderer has a stack of its own); indentation ends at ``MAX_INDENT``. Repeated rows are rendered alike; empty tables give no rows.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Generator, Iterator
 from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 120
+MAX_INDENT = 240
 MAX_COLUMN = 80
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript xmp iframe noembed noframes template".split())
-SILENT = frozenset("head script style template noscript title iframe object embed noembed noframes datalist audio video canvas svg math select".split())
+SILENT = frozenset("head script style template noscript title iframe embed noembed noframes datalist audio video canvas".split())
 BLOCK = frozenset("address article aside blockquote body center details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option optgroup p pre search section summary table tbody td tfoot th thead tr ul caption".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure hr menu".split())
 CLOSES_P = BLOCK - frozenset("body html tbody td tfoot th thead tr caption option optgroup legend".split())
@@ -40,6 +44,9 @@ IMPLIED = {
     "thead": (frozenset(["thead", "tbody", "tfoot", "caption", "colgroup"]), frozenset(["table"])), "tbody": (frozenset(["thead", "tbody", "tfoot", "caption", "colgroup"]), frozenset(["table"])),
     "tfoot": (frozenset(["thead", "tbody", "tfoot", "caption", "colgroup"]), frozenset(["table"])), "body": (frozenset(["head"]), frozenset()),
 }
+#: elements that are never shown within an outer one
+UNSHOWN = {"svg": frozenset("desc defs metadata symbol".split()), "math": frozenset("annotation annotation-xml".split())}
+SECTIONS = frozenset("colgroup thead tbody tfoot".split())
 TABLE_PARTS = frozenset("caption colgroup thead tbody tfoot tr td th".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
@@ -47,10 +54,11 @@ SPACE = re.compile(r"[ \t\n\f\r]+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children")
+    __slots__ = ("tag", "attrs", "children", "rows")
 
     def __init__(self, tag: str, attrs: dict[str, str]):
         self.tag, self.attrs, self.children = tag, attrs, []
+        self.rows = False  # whether rows or cells of the table around it are within
 
 
 def attributes(source: str) -> dict[str, str]:
@@ -67,14 +75,23 @@ class Tree:
     def __init__(self) -> None:
         self.root = Node("html", {})
         self.open = [self.root]
+        self.at: dict[str, list[int]] = defaultdict(list)  # tag -> where it is on the stack
+
+    def push(self, node: Node) -> None:
+        self.at[node.tag].append(len(self.open))
+        self.open.append(node)
+
+    def pop(self, down: int) -> None:
+        while len(self.open) > down:
+            self.at[self.open.pop().tag].pop()
+
+    def last(self, tags: frozenset[str]) -> int:
+        return max((x[-1] for t in tags if (x := self.at.get(t))), default=0)
 
     def close(self, tags: frozenset[str], stop: frozenset[str]) -> None:
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag in tags:
-                del self.open[k:]
-                return
-            if self.open[k].tag in stop:
-                return
+        k = self.last(tags)
+        if k and k >= self.last(stop):
+            self.pop(k)
 
     def start(self, tag: str, attrs: dict[str, str], empty: bool) -> None:
         if tag == "html":
@@ -84,23 +101,29 @@ class Tree:
         if tag in CLOSES_P:
             self.close(frozenset(["p"]), frozenset(["table", "td", "th", "caption", "li", "div", "button", "object"]))
         if self.open[-1].tag == "head" and tag not in ("base", "link", "meta", "noscript", "script", "style", "template", "title"):
-            self.open.pop()
+            self.pop(len(self.open) - 1)
         if tag in HEADINGS and self.open[-1].tag in HEADINGS:
-            self.open.pop()
+            self.pop(len(self.open) - 1)
         if tag in IMPLIED:
             self.close(*IMPLIED[tag])
         if tag in TABLE_PARTS:
-            if not any(n.tag == "table" for n in self.open):
+            if not self.at["table"]:
                 return  # a table part outside a table: its content stays, the tag does not
             want = {"td": "tr", "th": "tr", "tr": "tbody"}.get(tag)
             if want == "tr" and self.open[-1].tag != "tr":
                 self.start("tr", {}, False)
             elif want == "tbody" and self.open[-1].tag == "table":
                 self.start("tbody", {}, False)
+            for n in reversed(self.open):
+                if n.tag == "table" or n.rows:
+                    break
+                n.rows = True
         node = Node(tag, attrs)
+        if any(self.at.get(outer) and tag in inner for outer, inner in UNSHOWN.items()):
+            attrs["hidden"] = ""
         self.open[-1].children.append(node)
-        if tag not in VOID and not empty and len(self.open) < MAX_DEPTH:
-            self.open.append(node)
+        if tag not in VOID and not empty:
+            self.push(node)
 
     def end(self, tag: str) -> None:
         if tag == "br":
@@ -110,13 +133,13 @@ class Tree:
         if tag in HEADINGS:
             self.close(HEADINGS, stop)
         elif tag not in ("html", "body"):
-            if tag == "p" and not any(n.tag == "p" for n in self.open):
+            if tag == "p" and not self.at["p"]:
                 self.start("p", {}, True)
             self.close(frozenset([tag]), stop)
 
     def text(self, data: str) -> None:
         if self.open[-1].tag == "head" and not data.isspace():
-            self.open.pop()
+            self.pop(len(self.open) - 1)
         self.open[-1].children.append(data)
 
 
@@ -137,15 +160,16 @@ def parse(html: str) -> Node:
             tree.end(tag)
             continue
         source = m[3]
-        tree.start(tag, attributes(source), source.endswith("/") and tag in ("svg", "math", "path"))
-        if tag in RAW:
+        empty = source.endswith("/") and (tag in ("svg", "math", "path") or bool(tree.at["svg"] or tree.at["math"]))
+        tree.start(tag, attributes(source), empty)
+        if tag in RAW and not empty:
             e = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(html, at)
             data = html[at : e.start() if e else n]
             if tag in ("title", "textarea"):
                 data = unescape(data)
             if tree.open[-1].tag == tag:
                 tree.open[-1].children.append(data)
-                tree.open.pop()
+                tree.pop(len(tree.open) - 1)
             at = e.end() if e else n
     return tree.root
 
@@ -192,7 +216,7 @@ class Out:
             if self.lines and self.gap:
                 self.lines.extend([""] * self.gap)
             self.gap = 0
-            self.lines.append((self.indent[: len(self.indent) - len(self.marker)] + self.marker + line).rstrip(" "))
+            self.lines.append((self.indent[: max(0, len(self.indent) - len(self.marker))] + self.marker + line).rstrip(" "))
             self.marker = ""
 
     def space(self, n: int) -> None:
@@ -205,7 +229,21 @@ def number(text: str | None, default: int) -> int:
     return int(m[1]) if m else default
 
 
-def render(node: Node, out: Out, keep: bool = False, shown: bool = True) -> None:
+#: a piece of rendering that yields the pieces it waits for
+Work = Generator["Work", None, None]
+
+
+def run(work: Work) -> None:
+    stack = [work]
+    while stack:
+        inner = next(stack[-1], None)
+        if inner is None:
+            stack.pop()
+        else:
+            stack.append(inner)
+
+
+def render(node: Node, out: Out, keep: bool = False, shown: bool = True) -> Work:
     for child in node.children:
         if isinstance(child, str):
             if shown:
@@ -231,41 +269,41 @@ def render(node: Node, out: Out, keep: bool = False, shown: bool = True) -> None
                 out.text(child.attrs["value"], False)
         elif tag == "table":
             out.space(1)
-            table(child, out, visible)
+            yield table(child, out, visible)
             out.space(1)
         elif tag in ("ul", "ol", "menu"):
             out.space(0 if out.indent else 1)
-            items(child, out, visible)
+            yield items(child, out, visible)
             out.space(0 if out.indent else 1)
         elif tag == "details" and "open" not in child.attrs:
             out.space(0)
             for x in child.children:
                 if isinstance(x, Node) and x.tag == "summary":
-                    render(x, out, keep, visible)
+                    yield render(x, out, keep, visible)
                     break
             out.space(0)
-        elif tag in BLOCK:
+        elif tag in BLOCK or tag == "text":
             gap = 1 if tag in SPACED else 0
             out.space(gap)
             indent = out.indent
             if tag in ("blockquote", "dd"):
-                out.indent += "  "
-            render(child, out, keep or tag in ("pre", "xmp"), visible)
+                out.indent = (out.indent + "  ")[:MAX_INDENT]
+            yield render(child, out, keep or tag in ("pre", "xmp"), visible)
             out.flush()
             out.indent = indent
             out.space(gap)
         else:
-            render(child, out, keep or tag == "textarea", visible)
+            yield render(child, out, keep or tag == "textarea", visible)
 
 
-def items(node: Node, out: Out, shown: bool) -> None:
+def items(node: Node, out: Out, shown: bool) -> Work:
     ordered, at = node.tag == "ol", number(node.attrs.get("start"), 1)
     for child in node.children:
         if isinstance(child, str) or child.tag != "li":
             if isinstance(child, Node) or not child.isspace():
                 one = Node("", {})
                 one.children.append(child)
-                render(one, out, False, shown)
+                yield render(one, out, False, shown)
             continue
         gone, seen = styled(child.attrs)
         if gone:
@@ -273,54 +311,72 @@ def items(node: Node, out: Out, shown: bool) -> None:
         at = number(child.attrs.get("value"), at)
         mark = f"{at}. " if ordered else "- "
         at += 1
-        out.flush()
+        out.flush(len(out.marker) >= MAX_INDENT)  # so many markers stand on a line of their own
         indent, marker = out.indent, out.marker
         # an item that opens with a list keeps both markers on its first line
-        out.indent += " " * len(mark)
+        out.indent = (out.indent + " " * len(mark))[:MAX_INDENT]
         out.marker = marker + mark
-        render(child, out, False, shown if seen is None else seen)
+        yield render(child, out, False, shown if seen is None else seen)
         out.flush()
         out.indent, out.marker = indent, ""
 
 
-def rows_of(node: Node, shown: bool) -> Iterator[tuple[Node, bool]]:
-    for child in node.children:
-        if isinstance(child, Node):
-            gone, seen = styled(child.attrs)
-            if gone:
-                continue
-            visible = shown if seen is None else seen
-            if child.tag == "tr":
-                yield child, visible
-            elif child.tag in ("thead", "tbody", "tfoot"):
-                yield from rows_of(child, visible)
-
-
-def table(node: Node, out: Out, shown: bool) -> None:
-    for child in node.children:
-        if isinstance(child, str) or child.tag not in ("thead", "tbody", "tfoot", "tr", "colgroup", "col"):
+def parts_of(node: Node, shown: bool) -> Iterator[tuple[str, Node | str, bool]]:
+    """A table's parts in their order: ("row", row, visible), ("cell", cell, visible), ("stray", what is in no cell, visible)."""
+    # what is left of an element, whether it shows, whether it is in a row, whether its first row goes on with the one around it
+    stack = [[iter(node.children), shown, False, False]]
+    while stack:
+        frame = stack[-1]
+        child = next(frame[0], None)
+        if child is None:
+            stack.pop()
+            continue
+        if isinstance(child, str):
+            if not child.isspace():
+                yield "stray", child, frame[1]
+            continue
+        if not (child.tag in ("td", "th", "tr") or child.tag in SECTIONS or child.rows and child.tag not in SILENT):
+            yield "stray", child, frame[1]
+            continue
+        gone, seen = styled(child.attrs)
+        if gone:
+            continue
+        visible = frame[1] if seen is None else seen
+        if child.tag in ("td", "th"):
+            yield "cell", child, visible
+            continue
+        if child.tag == "tr":
+            if not frame[3]:
+                yield "row", child, visible
+            frame[3] = False
+        stack.append([iter(child.children), visible, frame[2] or child.tag == "tr", frame[2] and child.tag != "tr"])
+
+
+def table(node: Node, out: Out, shown: bool) -> Work:
+    rows: list[list[tuple[Node, bool]]] = []
+    for kind, part, visible in parts_of(node, shown):
+        if kind == "row":
+            rows.append([])
+        elif kind == "cell":
+            rows[-1].append((part, visible))
+        else:
             one = Node("", {})
-            one.children.append(child)
-            render(one, out, False, shown)
+            one.children.append(part)
+            yield render(one, out, False, visible)
             out.flush()
     grid: list[dict[int, tuple[list[str], int]]] = []
     busy: dict[int, int] = {}  # column -> rows that a row span still covers
-    for row, visible in rows_of(node, shown):
+    for row in rows:
         cells: dict[int, tuple[list[str], int]] = {}
         taken = {c for c, k in busy.items() if k > 0}
         for c in taken:
             busy[c] -= 1
         at = 0
-        for cell in row.children:
-            if not isinstance(cell, Node) or cell.tag not in ("td", "th"):
-                continue
-            gone, seen = styled(cell.attrs)
-            if gone:
-                continue
+        for cell, visible in row:
             while at in taken:
                 at += 1
             inner = Out()
-            render(cell, inner, False, visible if seen is None else seen)
+            yield render(cell, inner, False, visible)
             inner.flush()
             wide = max(1, min(1000, number(cell.attrs.get("colspan"), 1)))
             cells[at] = (inner.lines, wide)
@@ -357,7 +413,7 @@ def page_text(html: str | None) -> str:
     if not html:
         return ""
     out = Out()
-    render(parse(html.replace("\r\n", "\n").replace("\r", "\n")), out)
+    run(render(parse(html.replace("\r\n", "\n").replace("\r", "\n")), out))
     out.flush()
     return "\n".join(out.lines).strip("\n")
 
