@@ -9,6 +9,7 @@ import pytest
 from vellum import queries
 from vellum.llm import html_layout
 from vellum.operators import edits
+from vellum.sources import pdf
 
 TEXTS = ["", "a", "ab", "abc", "abcd", "abcde", "é", "né nö", "x" * 61, "x" * 60 + "y", "0123456789" * 9, "0123456789" * 8 + "012345678!"]
 
@@ -72,3 +73,23 @@ def test_html_of_any_depth():
     for tag in ("div", "blockquote", "ul><li", "table><tr><td", "svg", "details open"):
         text = html_layout.page_text(f"<{tag}>" * 2000 + "deep")
         assert text.count("deep") == 1 and text.count("-") == (2000 if tag == "ul><li" else 0)
+
+
+def test_forms_and_fonts_of_files(spark):
+    stream = lambda head, data: f"<<{head} /Length {len(data)}>>\nstream\n{data}\nendstream"
+    bodies = [
+        "<</Type /Catalog /Pages 2 0 R>>",
+        "<</Type /Pages /Kids [3 0 R] /Count 1 /Resources <</Font <</F1 6 0 R /F2 8 0 R>> /XObject <</X 5 0 R>>>>>>",
+        "<</Type /Page /Parent 2 0 R /Contents 4 0 R>>",
+        stream("", "BT /F1 10 Tf (\\001\\002) Tj ET q 1 0 0 1 50 60 cm /X Do Q BT /F2 10 Tf <03B103B2> Tj ET"),
+        stream("/Type /XObject /Subtype /Form /Matrix [1 0 0 1 5 5]", "BT /F9 10 Tf (in form) Tj ET /X Do"),
+        "<</Type /Font /Subtype /Type1 /ToUnicode 7 0 R>>",
+        stream("", "2 beginbfchar <01> <0416> <02> <00660069> endbfchar"),
+        "<</Type /Font /Subtype /Type0 /Encoding /Identity-H>>",
+    ]
+    data = "%PDF-1.7\n" + "".join(f"{k + 1} 0 obj\n{b}\nendobj\n" for k, b in enumerate(bodies)) + "trailer\n<</Root 1 0 R>>\n"
+    files = spark.createDataFrame([(1, data.encode()), (2, b"no file")], "doc_id int, content binary")
+    got = pdf.read_chunks(files).where("doc_id = 1").orderBy("chunk_index").collect()
+    assert [x["text"] for x in got] == ["\u0416fi", "in form", "\u03b1\u03b2"] and (got[1]["x0"], got[1]["y"]) == (55.0, 65.0)
+    assert pdf.read_chunks(files).where("doc_id = 2").first()["error"]
+    assert pdf.read_pages(files).where("doc_id = 1").count() == 1

@@ -766,11 +766,12 @@ def content_event_counts(spark, sf_dir):
 
 @query(f"with {GRID}, {LINES.format(c='ch')} select doc_id, page_index, 612.0::double width, 0 rotation, t as text from ptx")
 def pdf_roundtrip(spark, sf_dir):
-    """Documents written as PDF files, read again, their pages' text built from the content streams."""
-    from vellum.sources import content, pdf
+    """Documents written as PDF files, read again, their pages' text built from the content streams, forms and fonts."""
+    from vellum.sources import pdf
 
-    pages = pdf.read_pages(pdf.write_files(pdf.page_streams(chunks_of(spark, sf_dir))))
-    text = layout.page_text(content.content_chunks(pages.select("doc_id", "page_index", "content")))
+    files = pdf.write_files(pdf.page_streams(chunks_of(spark, sf_dir)))
+    pages = pdf.read_pages(files)
+    text = layout.page_text(pdf.read_chunks(files).where("error is null"))
     return pages.select("doc_id", "page_index", F.col("media_box")[2].alias("width"), "rotation").join(text, ["doc_id", "page_index"])
 
 

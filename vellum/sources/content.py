@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -127,9 +127,11 @@ def mcid(args: list) -> int | None:
     return int(m[1]) if m and int(m[1]) < 1 << 31 else None
 
 
-def chunks(data: bytes, standard_cm: bool = False, invisible: bool = True) -> Iterator[dict]:
-    """Text chunks with start, end, box, font size, rendering mode, the open marked spans and the innermost number among them."""
-    ctm, saved = [1.0, 0, 0, 1, 0, 0], []
+def chunks(data: bytes, standard_cm: bool = False, invisible: bool = True, ctm: list[float] | None = None, decode: Callable[[str, bytes], str] | None = None, form: Callable[[str, list[float]], Iterator[dict]] | None = None) -> Iterator[dict]:
+    """Text chunks with start, end, box, font size, rendering mode, the open marked spans and the innermost number among them.
+
+    decode: the text of a string in a font (Latin-1 without it); form: the chunks of a named XObject under a transform."""
+    ctm, saved = list(ctm or (1.0, 0, 0, 1, 0, 0)), []
     font, size, tc, tw, tz, tl, tr, ts = "", 0.0, 0.0, 0.0, 100.0, 0.0, 0, 0.0
     tm, lx, ly, pen = [1.0, 0, 0, 1, 0, 0], 0.0, 0.0, 0.0
     marked: list[str] = []
@@ -164,6 +166,8 @@ def chunks(data: bytes, standard_cm: bool = False, invisible: bool = True) -> It
         elif op in ("BMC", "BDC"):
             marked.append(next((x[1:] for x in args if isinstance(x, str)), ""))
             numbers.append(mcid(args))
+        elif op == "Do" and form and args and isinstance(args[-1], str):
+            yield from form(args[-1][1:], ctm)
         elif op == "EMC" and marked:
             marked.pop()
             numbers.pop()
@@ -176,7 +180,7 @@ def chunks(data: bytes, standard_cm: bool = False, invisible: bool = True) -> It
             text, kern = "", 0.0
             for x in args[-1] if op == "TJ" and args and isinstance(args[-1], list) else args[-1:]:
                 if isinstance(x, bytes):
-                    text += x.decode("latin-1")
+                    text += decode(font[1:], x) if decode else x.decode("latin-1")
                 elif isinstance(x, float) and text:
                     step = -x / 1000 * fs * sx * h
                     kern += step
@@ -221,11 +225,10 @@ def content_events(df: DataFrame) -> DataFrame:
     return _rows(df, EVENT, lambda data: (dict(zip(("seq", "kind", "op", "text", "numbers"), e, strict=True)) for e in events(data)))
 
 
-def content_chunks(df: DataFrame, standard_cm: bool = False) -> DataFrame:
-    """df: key columns and content (binary). A row a chunk, in stream order."""
+def chunk_row(k: int, c: dict) -> dict:
+    return {"chunk_index": k, **{n: c[n] for n in ("text", "op", "x0", "x1", "y", "font", "font_size", "rendering_mode", "marked", "mcid")}, "bbox": {n: c[n] for n in "lbrt"}}
 
-    def make(data: bytes):
-        for k, c in enumerate(chunks(data, standard_cm)):
-            yield {"chunk_index": k, **{n: c[n] for n in ("text", "op", "x0", "x1", "y", "font", "font_size", "rendering_mode", "marked", "mcid")}, "bbox": {n: c[n] for n in "lbrt"}}
 
-    return _rows(df, CHUNK, make)
+def content_chunks(df: DataFrame, standard_cm: bool = False) -> DataFrame:
+    """df: key columns and content (binary). A row a chunk, in stream order."""
+    return _rows(df, CHUNK, lambda data: (chunk_row(k, c) for k, c in enumerate(chunks(data, standard_cm))))

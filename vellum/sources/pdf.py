@@ -1,6 +1,6 @@
 """PDF files as tables: a reader (objects, cross-references, page trees, recovery) and a small writer.
 
-A file is one row; ``read_objects`` and ``read_pages`` turn rows of bytes into rows of objects and pages. Classic and stream
+A file is one row; ``read_objects``, ``read_pages`` and ``read_chunks`` turn rows of bytes into rows of objects, pages and text chunks. Classic and stream
 cross-references, hybrid files, object streams, revisions by /Prev (the first entry met wins), and recovery by scanning for
 object headers are covered. A file that cannot be read gives one row with an error instead of failing the job.
 """
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -17,11 +17,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions.codecs import DECODE, predictor_decode, run_filters
-from vellum.sources.content import literal, name_text
+from vellum.sources import cmap
+from vellum.sources.content import CHUNK, chunk_row, chunks, literal, name_text, times
 
 DELIMITER = rb"\x00\t\n\x0c\r ()<>\[\]{}/%"
 ATOM = re.compile(rb"(?:[\x00\t\n\x0c\r ]+|%[^\r\n]*)*(?:(?P<ref>(\d+)[\x00\t\n\x0c\r ]+(\d+)[\x00\t\n\x0c\r ]+R(?=[" + DELIMITER + rb"]|\Z))|(?P<num>[+-]?(?:\d+\.?\d*|\.\d+))|(?P<name>/[^" + DELIMITER + rb"]*)|(?P<open><<)|(?P<close>>>)|(?P<hex><[^>]*>)|(?P<mark>[\[\](])|(?P<word>[^" + DELIMITER + rb"]+))")
 MAX_DEPTH, MAX_PAGES = 256, 1_000_000
+#: forms within forms, as in the engine this reproduces
+MAX_FORMS = 32
 
 
 @dataclass(frozen=True)
@@ -242,7 +245,7 @@ class File:
             node = self.get(ref)
             if not isinstance(node, dict):
                 continue
-            own = inherited | {k: node[k] for k in ("MediaBox", "CropBox", "Rotate") if k in node}
+            own = inherited | {k: node[k] for k in ("MediaBox", "CropBox", "Rotate", "Resources") if k in node}
             if node.get("Type") == "Pages" or "Kids" in node:
                 todo += [(k, own, above | {ref}) for k in reversed(self.get(node.get("Kids")) or [])]
                 continue
@@ -251,11 +254,43 @@ class File:
             parts = self.get(node.get("Contents"))
             parts = parts if isinstance(parts, list) else [] if parts is None else [parts]
             streams = [self.get(p) for p in parts]
-            yield {"page_index": n, "num": ref.num if isinstance(ref, Ref) else None, "media_box": media, "crop_box": crop, "rotation": int(self.get(own.get("Rotate")) or 0) % 360, "content": b"\n".join(self.decoded(s) for s in streams if isinstance(s, Stream))}
+            yield {"page_index": n, "num": ref.num if isinstance(ref, Ref) else None, "media_box": media, "crop_box": crop, "rotation": int(self.get(own.get("Rotate")) or 0) % 360, "content": b"\n".join(self.decoded(s) for s in streams if isinstance(s, Stream)), "resources": own.get("Resources")}
             n += 1
             if n > MAX_PAGES:
                 raise PdfError("too many pages")
 
+    def chunks(self, data: bytes, resources, standard_cm: bool = False, ctm: list[float] | None = None, active: frozenset = frozenset(), deep: int = 0) -> Iterator[dict]:
+        """A stream's chunks with the fonts of its resources, those of its forms where they are invoked."""
+        part = lambda x, k: y if isinstance(y := self.get(x.get(k)), dict) else {}
+        own = x if isinstance(x := self.get(resources), dict) else {}
+        fonts, objects, known = part(own, "Font"), part(own, "XObject"), {}
+
+        def decode(name: str, raw: bytes) -> str:
+            if name not in known:
+                known[name] = self.decoder(part(fonts, name))
+            return known[name](raw)
+
+        def form(name: str, at: list[float]) -> Iterator[dict]:
+            ref = objects.get(name)
+            s = self.get(ref)
+            if isinstance(ref, Ref) and ref in active or deep >= MAX_FORMS or not isinstance(s, Stream) or s.head.get("Subtype") != "Form":
+                return
+            m = [float(self.get(x)) for x in self.get(s.head.get("Matrix")) or (1, 0, 0, 1, 0, 0)]
+            inner = s.head["Resources"] if "Resources" in s.head else own
+            yield from self.chunks(self.decoded(s), inner, standard_cm, times(m, at), active | {ref} if isinstance(ref, Ref) else active, deep + 1)
+
+        yield from chunks(data, standard_cm, ctm=ctm, decode=decode, form=form)
+
+    def decoder(self, font: dict) -> Callable[[bytes], str]:
+        """Strings by ToUnicode, else by two-byte codes in composite fonts with an identity encoding, else a byte a character."""
+        s = self.get(font.get("ToUnicode"))
+        if isinstance(s, Stream):
+            tables = cmap.parse(self.decoded(s).decode("latin-1"))
+            return lambda raw: cmap.decode_bytes(raw, tables)
+        if font.get("Subtype") == "Type0" and str(self.get(font.get("Encoding"))).startswith("Identity"):
+            return lambda raw: "".join(chr(c) if not 0xD800 <= (c := raw[i] << 8 | raw[i + 1]) < 0xE000 else "\ufffd" for i in range(0, len(raw) - 1, 2))
+        return lambda raw: raw.decode("latin-1")
+
     def info(self) -> dict[str, str]:
         d = self.get(self.trailer.get("Info")) or {}
         text = lambda b: b[2:].decode("utf-16-be", "replace") if b[:2] == b"\xfe\xff" else b.decode("latin-1")
@@ -298,7 +333,19 @@ def _read(df: DataFrame, schema: str, make) -> DataFrame:
 
 
 def read_pages(files: DataFrame) -> DataFrame:
-    return _read(files, PAGE, lambda data: list(File(data).pages()))
+    return _read(files, PAGE, lambda data: [{k: v for k, v in p.items() if k != "resources"} for p in File(data).pages()])
+
+
+def read_chunks(files: DataFrame, standard_cm: bool = False) -> DataFrame:
+    """A row a chunk of each page, as content_chunks gives them, with the text of forms and the fonts' own decoding."""
+
+    def make(data: bytes):
+        f = File(data)
+        for p in f.pages():
+            for k, c in enumerate(f.chunks(p["content"], p["resources"], standard_cm)):
+                yield {"page_index": p["page_index"], **chunk_row(k, c)}
+
+    return _read(files, f"page_index int, {CHUNK}, error string", lambda data: list(make(data)))
 
 
 def read_objects(files: DataFrame) -> DataFrame:
