@@ -7,7 +7,7 @@ import hashlib
 import pytest
 
 from vellum import queries
-from vellum.llm import html_layout
+from vellum.llm import html_layout, quality
 from vellum.operators import edits
 from vellum.sources import pdf
 
@@ -93,3 +93,17 @@ def test_forms_and_fonts_of_files(spark):
     assert [x["text"] for x in got] == ["\u0416fi", "in form", "\u03b1\u03b2"] and (got[1]["x0"], got[1]["y"]) == (55.0, 65.0)
     assert pdf.read_chunks(files).where("doc_id = 2").first()["error"]
     assert pdf.read_pages(files).where("doc_id = 1").count() == 1
+
+
+def test_quality_learns_from_whole_texts(spark, monkeypatch):
+    good = "\n".join("The river runs past the old mill and the town." for _ in range(201))
+    docs = spark.createDataFrame([(k, good + ("" if k % 2 else "\n" + "\n".join(["$$$ WIN!!! @@@ ###"] * 300))) for k in range(8)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(8)], "doc_id bigint, quality int")
+    score = lambda: {x["doc_id"]: x["score"] for x in quality.score(docs, quality.train(docs, labels)).collect()}
+    assert all((x > 0.5) == bool(k % 2) for k, x in score().items())
+    # fewer documents once they have the lines, never parts of them
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda x, size, first, label: seen.append(len(first) - 1) or quality.Field(x[0], x[:2, :2]))
+    monkeypatch.setattr(quality, "SAMPLE_TOTAL_LINES", 600)
+    quality.train(docs, labels)
+    assert 2 <= seen[0] <= 3

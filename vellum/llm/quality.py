@@ -6,8 +6,8 @@ their lines inherit, by gradient steps on the exact conditional likelihood (forw
 is the length-weighted mean of its lines' forward-backward marginals, put on the scale of the labels by a two-parameter
 logistic map fitted on the same documents.
 
-Fitting is the one step that uses a bounded sample: at most ``SAMPLE`` labelled documents (the first in a hash order) of at most
-``SAMPLE_LINES`` lines each. Scoring covers all whole texts. Labels, language, source and id are no inputs of a score.
+Fitting is the one step that uses a bounded sample: at most ``SAMPLE`` labelled documents (the first in a hash order), fewer once
+they have ``SAMPLE_TOTAL_LINES`` lines together; each is read whole. Scoring covers all whole texts. Labels, language, source and id are no inputs of a score.
 Null and empty texts have one empty line and so a score like any other. Documents labelled both ways count as bad (label
 mean below 1); null labels are skipped; with no labels, or labels of one kind only, every score is the share of good labels (0.5
 without labels). Repeated rows are scored alike; empty tables give no rows.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from vellum.llm.textblock import LOWER, NOT_SPACE, Block, blocks, cut, words
 
-SAMPLE, SAMPLE_LINES = 3000, 200
+SAMPLE, SAMPLE_TOTAL_LINES = 3000, 600_000
 
 
 def _class(chars: bytes) -> np.ndarray:
@@ -177,8 +177,16 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     """docs: the documents that labels may be learnt from; labels: id and label (0 or 1)."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.floor(F.avg(label_col)).cast("int").alias("_y"))
     known = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    id_type = docs.schema[id_col].dataType.simpleString()
     # the sample is bounded, so it may be broadcast; a repeated id counts once
     rows = docs.join(F.broadcast(known), docs[id_col] == known["_id"]).select("_id", "_y", F.col(text_col).alias("t"))
+    # whole documents in hash order, up to the one with which the lines are enough
+    n = F.coalesce(F.length("t") - F.length(F.replace("t", F.lit("\n"), F.lit(""))), F.lit(0)) + 1
+    sizes = rows.groupBy("_id").agg(F.max(n).alias("n")).orderBy(F.xxhash64("_id"), "_id").collect()
+    before = np.cumsum([0, *(r["n"] for r in sizes)])[:-1]
+    if len(sizes) and before[-1] >= SAMPLE_TOTAL_LINES:
+        chosen = [(r["_id"],) for r, k in zip(sizes, before, strict=True) if k < SAMPLE_TOTAL_LINES]
+        rows = rows.join(F.broadcast(docs.sparkSession.createDataFrame(chosen, f"_id {id_type}")), "_id").select("_id", "_y", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,13 +194,12 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             for block in blocks(batch.column("t")):
                 x, size, first = line_features(block)
                 for k in range(block.n):
-                    a, b = first[k], min(first[k + 1], first[k] + SAMPLE_LINES)
+                    a, b = first[k], first[k + 1]
                     out[0].append(x[a:b].astype(np.float32).tobytes())
                     out[1].append(size[a:b].tobytes())
                     out[2].append(int(b - a))
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_y"), pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int32())], names=["_id", "_y", "x", "s", "n"])
 
-    id_type = docs.schema[id_col].dataType.simpleString()
     got = {r["_id"]: r for r in rows.mapInArrow(run, f"_id {id_type}, _y int, x binary, s binary, n int").toLocalIterator()}
     got = [got[k] for k in sorted(got)]
     if not got:
