@@ -107,3 +107,9 @@ def test_quality_learns_from_whole_texts(spark, monkeypatch):
     monkeypatch.setattr(quality, "SAMPLE_TOTAL_LINES", 600)
     quality.train(docs, labels)
     assert 2 <= seen[0] <= 3
+
+
+def test_region_redacted_in_every_document(spark, texts_dir):
+    zones = queries.QUERIES["redact_text_rects_all"](spark, texts_dir).where("l = 100 and b = 600").collect()
+    assert sorted(x["doc_id"] for x in zones) == list(range(len(TEXTS)))
+    assert {x["doc_id"]: x["redactions"] for x in queries.QUERIES["redaction_counts_all"](spark, texts_dir).collect()} == dict.fromkeys(range(len(TEXTS)), 1)

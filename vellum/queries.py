@@ -309,25 +309,38 @@ def highlight_matches(spark, sf_dir):
     return h.select("doc_id", "page_index", "match_no", "subtype", "contents", F.round("rect.l", 6).alias("l"), F.col("rect.b").alias("b"), F.round("rect.r", 6).alias("r"), F.col("rect.t").alias("t"))
 
 
-def redaction_rects(spark, sf_dir) -> DataFrame:
+def redaction_rects(spark, sf_dir, every: bool = False) -> DataFrame:
     docs = docs_of(spark, sf_dir)
-    zones = docs.where("doc_id % 10 = 0").select("doc_id", F.lit(0).alias("page_index"), region().alias("rect"))
+    zones = (docs if every else docs.where("doc_id % 10 = 0")).select("doc_id", F.lit(0).alias("page_index"), region().alias("rect"))
     return edits.redactions(search.find(grid.chunks(docs), "ing"), zones)
 
 
 REDACT = f"{KEY}, rr as (select doc_id, page_index, l - 1 l, b - 1 b, r + 1 r, t + 1 t from gm union all select doc_id, 0, 100.0, 600.0, 300.0, 700.0 from documents where doc_id % 10 = 0)"
 
+REDACT_ALL = f"{KEY}, rr as (select doc_id, page_index, l - 1 l, b - 1 b, r + 1 r, t + 1 t from gm union all select doc_id, 0, 100.0, 600.0, 300.0, 700.0 from documents)"
+
 
 @query(f"{REDACT} select doc_id, page_index, round(l, 6)::double l, b::double b, round(r, 6)::double r, t::double t from rr")
 def redact_text_rects(spark, sf_dir):
     return redaction_rects(spark, sf_dir).select("doc_id", "page_index", F.round("rect.l", 6).alias("l"), F.col("rect.b").alias("b"), F.round("rect.r", 6).alias("r"), F.col("rect.t").alias("t"))
 
 
+@query(f"{REDACT_ALL} select doc_id, page_index, round(l, 6)::double l, b::double b, round(r, 6)::double r, t::double t from rr")
+def redact_text_rects_all(spark, sf_dir):
+    """redact_text_rects with the region asked for in every document."""
+    return redaction_rects(spark, sf_dir, True).select("doc_id", "page_index", F.round("rect.l", 6).alias("l"), F.col("rect.b").alias("b"), F.round("rect.r", 6).alias("r"), F.col("rect.t").alias("t"))
+
+
 @query(f"{REDACT} select doc_id, count(*)::bigint redactions, count(distinct page_index)::bigint pages from rr group by doc_id")
 def redaction_counts(spark, sf_dir):
     return edits.redaction_counts(redaction_rects(spark, sf_dir))
 
 
+@query(f"{REDACT_ALL} select doc_id, count(*)::bigint redactions, count(distinct page_index)::bigint pages from rr group by doc_id")
+def redaction_counts_all(spark, sf_dir):
+    return edits.redaction_counts(redaction_rects(spark, sf_dir, True))
+
+
 @query(f"with {GRID}, {INDEX}, {found_sql('t', '[0-9]{3}-[0-9]{4}')}, {GEOMETRY} select doc_id, page_index, round(l - 1, 6) l, b - 1 b, round(r + 1, 6) r, t + 1 t from gm")
 def redact_regex_rects(spark, sf_dir):
     r = edits.redactions(search.find(chunks_of(spark, sf_dir), "[0-9]{3}-[0-9]{4}", regex=True))
