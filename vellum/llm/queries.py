@@ -56,4 +56,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_extendible_shards": sharding.ORACLE, "op4_decontaminate": decontaminate.ORACLE, "op5_line_dedup": line_dedup.ORACLE, "op6_host_rules": host_rules.ORACLE, "op7_suffix_dedup": suffix_dedup.ORACLE, "op9_preference_pairs": chat_format.ORACLE, "op10_ngram_join": ngram_join.ORACLE}
+    return {"op2_extendible_shards": sharding.ORACLE, "op4_decontaminate": decontaminate.ORACLE, "op5_line_dedup": line_dedup.ORACLE, "op6_host_rules": host_rules.ORACLE, "op7_suffix_dedup": suffix_dedup.ORACLE, "op8_entropy_mix": mixing.ORACLE, "op9_preference_pairs": chat_format.ORACLE, "op10_ngram_join": ngram_join.ORACLE}

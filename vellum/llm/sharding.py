@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.tables import written
+from vellum.llm.tables import free, written
 
 LIMIT_BYTES = 16 << 20
 STRIDE, BITS = 15, 60
@@ -42,12 +42,6 @@ def split_round(sums: DataFrame, depth: int, limit: int) -> DataFrame:
     return sums.select("stem", "cell").join(best, ["stem", "cell"], "left").select("stem", "cell", F.col("s.d").alias("depth"), F.col("s.prefix").alias("prefix"), F.col("s.b").alias("shard_bytes"), F.col("s.n").alias("shard_rows"))
 
 
-def free(name: str, taken: list[str]) -> str:
-    while name in taken:
-        name += "_"
-    return name
-
-
 def assign_shards(docs: DataFrame, *, key: tuple[str, ...] = ("doc_id",), text_col: str = "text", limit: int = LIMIT_BYTES) -> DataFrame:
     """The rows with shard (its prefix as a string of bits), depth, shard_bytes, shard_rows and oversized."""
     names = {c: free(c, docs.columns) for c in ("shard", "depth", "shard_bytes", "shard_rows", "oversized")}
@@ -59,7 +53,8 @@ def assign_shards(docs: DataFrame, *, key: tuple[str, ...] = ("doc_id",), text_c
     while True:
         full = depth + STRIDE
         # the rows that are left agree in their first bits with one of the oversized buckets; stem names what came before the number's bits
-        sums = rest.groupBy("stem", cell(F.col("bits"), full).alias("cell")).agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("rows"))
+        # cells are read three times below, so they are written; rows are summed once
+        sums = written(rest.groupBy("stem", cell(F.col("bits"), full).alias("cell")).agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("rows")), "cells")
         plan = written(split_round(sums, depth, limit), "directory")
         # the first directory has at most 2**STRIDE cells, a proven bound; later ones grow with the number of oversized buckets
         side = F.broadcast(plan) if depth == 0 and not numbered else plan

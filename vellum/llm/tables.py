@@ -12,10 +12,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free(name: str, taken: list[str]) -> str:
+    """The name, lengthened until no column has it (letter case aside)."""
+    low = {x.lower() for x in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where it is unset (tests, one machine), one below the warehouse."""
+    """The folder that spark.checkpoint.dir names; where it is unset on one machine (tests), one below the warehouse.
+    On a cluster there is no such stand-in: the executors could not see it."""
     home = spark.conf.get("spark.checkpoint.dir", None)
     if not home:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         home = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     return home.rstrip("/")
 
