@@ -1,7 +1,8 @@
 """Line deduplication against levelled sorted runs of line hashes.
 
 A ``LineStore`` is a folder of runs. A run is a Parquet table of line-key hashes, bucketed and sorted by them, so a batch
-is merge-joined with it where it lies: the runs are never shuffled. Each batch of documents is reduced to its distinct keys
+is merge-joined with it where it lies: the runs are never shuffled. A run has as many buckets (a power of two, at least 16) as
+its keys need at ``BUCKET_KEYS`` each, a number that its name carries; batches number as many as the text needs at ``BATCH_BYTES``. Each batch of documents is reduced to its distinct keys
 (map-side first), anti-joined with every run, and what is new becomes a run of level 0. ``fan_out`` runs of a level are
 compacted into one of the next, so a store of n batches holds at most fan_out * log(n) runs.
 
@@ -14,17 +15,15 @@ rows; columns other than id and text are not looked at. Keys are compared by 128
 
 from __future__ import annotations
 
-import hashlib
 import uuid
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.tables import scratch_path, written
+from vellum.llm.tables import chunks_for, scratch_path, text_bytes, written
 
 LEAST, BATCHES, FAN_OUT, BUCKETS = 10, 4, 2, 16
+BUCKET_KEYS, BATCH_BYTES = 4_000_000, 1 << 40
 SPACES = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LAST = (1 << 63) - 1
@@ -42,12 +41,12 @@ def keyed_lines(docs: DataFrame, id_col: str, text_col: str, least: int) -> Data
 
 
 class LineStore:
-    """Runs of known keys under a shared folder. Names carry level and number, so a store can be opened again."""
+    """Runs of known keys under a shared folder. Names carry level, number and buckets, so a store can be opened again."""
 
-    def __init__(self, spark: SparkSession, path: str, *, fan_out: int = FAN_OUT, buckets: int = BUCKETS):
-        self.spark, self.path, self.fan_out, self.buckets = spark, path, fan_out, buckets
+    def __init__(self, spark: SparkSession, path: str, *, fan_out: int = FAN_OUT, buckets: int = BUCKETS, bucket_keys: int = BUCKET_KEYS):
+        self.spark, self.path, self.fan_out, self.buckets, self.bucket_keys = spark, path, fan_out, buckets, bucket_keys
         self.tables: dict[str, str] = {}
-        self.runs: list[tuple[int, int]] = []
+        self.runs: list[tuple[int, int, int]] = []
         root = spark._jvm.org.apache.hadoop.fs.Path(path)
         self.fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
         self.fs.mkdirs(root)
@@ -57,27 +56,30 @@ class LineStore:
                 self.runs.append(tuple(map(int, name.split("-")[1:])))
         self.runs.sort(key=lambda x: x[1])
 
-    def folder(self, run: tuple[int, int]) -> str:
-        return f"{self.path}/run-{run[0]}-{run[1]}"
+    def folder(self, run: tuple[int, int, int]) -> str:
+        return f"{self.path}/run-{run[0]}-{run[1]}-{run[2]}"
 
-    def read(self, run: tuple[int, int]) -> DataFrame:
+    def read(self, run: tuple[int, int, int]) -> DataFrame:
         at = self.folder(run)
         if at not in self.tables:
             name = f"vellum_lines_{uuid.uuid4().hex}"
-            self.spark.sql(f"CREATE TABLE {name} (h1 BIGINT, h2 BIGINT) USING parquet CLUSTERED BY (h1, h2) SORTED BY (h1, h2) INTO {self.buckets} BUCKETS LOCATION '{at}'")
+            self.spark.sql(f"CREATE TABLE {name} (h1 BIGINT, h2 BIGINT) USING parquet CLUSTERED BY (h1, h2) SORTED BY (h1, h2) INTO {run[2]} BUCKETS LOCATION '{at}'")
             self.tables[at] = name
         return self.spark.table(self.tables[at])
 
     def write(self, keys: DataFrame, level: int) -> None:
-        run = (level, max((n for _, n in self.runs), default=-1) + 1)
+        n = self.buckets
+        while n * self.bucket_keys < keys.count():
+            n *= 2
+        run = (level, max((x for _, x, _ in self.runs), default=-1) + 1, n)
         name = f"vellum_lines_{uuid.uuid4().hex}"
-        keys.select("h1", "h2").repartition(self.buckets, "h1", "h2").write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").format("parquet").option("path", self.folder(run)).saveAsTable(name)
+        keys.select("h1", "h2").repartition(n, "h1", "h2").write.bucketBy(n, "h1", "h2").sortBy("h1", "h2").format("parquet").option("path", self.folder(run)).saveAsTable(name)
         self.tables[self.folder(run)] = name
         self.runs.append(run)
 
     def compact(self) -> None:
         level = 0
-        while level <= max((x for x, _ in self.runs), default=-1):
+        while level <= max((x[0] for x in self.runs), default=-1):
             own = [x for x in self.runs if x[0] == level]
             if len(own) >= self.fan_out:
                 merged = self.read(own[0])
@@ -110,10 +112,12 @@ class LineStore:
         self.tables.clear()
 
 
-def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, batches: int = BATCHES, store: LineStore | None = None, keep_text: bool = False) -> DataFrame:
-    """One row a document: doc_id, n_lines, n_dropped, kept_sha256 and, if asked for, kept (the text left)."""
+def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, batches: int = 0, store: LineStore | None = None, keep_text: bool = False) -> DataFrame:
+    """One row a document: doc_id, n_lines, n_dropped, kept_sha256 and, if asked for, kept (the text left). batches: 0 for as many as the text needs."""
     spark = docs.sparkSession
     own = store or LineStore(spark, scratch_path(spark, "lines"))
+    if not batches:
+        batches = max(BATCHES, chunks_for(text_bytes(docs, text_col)[1], BATCH_BYTES))
     cuts = docs.agg(F.percentile_approx(F.col(id_col).cast("bigint"), [k / batches for k in range(1, batches)], 10000)).first()[0] if batches > 1 else []
     lines = keyed_lines(docs, id_col, text_col, least)
     batch = sum((F.when(F.col("doc") > c, 1).otherwise(0) for c in sorted(set(cuts or []))), F.lit(0))
@@ -121,30 +125,22 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     lines.withColumn("batch", batch).write.partitionBy("batch").parquet(at)
     all_lines = spark.read.schema(f"{', '.join(f'{n} {t}' for n, t in lines.dtypes)}, batch int").parquet(at)
     dropped = None
-    for k in range(len(set(cuts or [])) + 1):
-        gone = own.add(all_lines.where(F.col("batch") == k).drop("batch"))
-        dropped = gone if dropped is None else dropped.union(gone)
-    if store is None:
-        own.close()
+    try:
+        for k in range(len(set(cuts or [])) + 1):
+            gone = own.add(all_lines.where(F.col("batch") == k).drop("batch"))
+            dropped = gone if dropped is None else dropped.union(gone)
+    finally:
+        if store is None:
+            own.close()
     # identical rows have equal r and would be listed twice
     gone = dropped.groupBy("r").agg(F.collect_set("pos").alias("gone"))
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("r"))
-    marked = texts.join(gone, "r", "left").select("doc_id", "text", "gone")
-    names = ["doc_id", "n_lines", "n_dropped", "kept_sha256", *(["kept"] if keep_text else [])]
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            out = [[], [], [], []]
-            for text, lost in zip(part.column("text"), part.column("gone"), strict=True):
-                have = (text.as_py() or "").split("\n")
-                lost = set(lost.as_py() or ())
-                kept = "\n".join(x for i, x in enumerate(have) if i not in lost) if lost else "\n".join(have)
-                for x, v in zip(out, (len(have), len(lost), hashlib.sha256(kept.encode()).hexdigest(), kept), strict=True):
-                    x.append(v)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), *([pa.array(out[3], pa.string())] if keep_text else [])], names=names)
-
-    id_type = docs.schema[id_col].dataType.simpleString()
-    return marked.mapInArrow(run, f"doc_id {id_type}, n_lines bigint, n_dropped bigint, kept_sha256 string" + ", kept string" * keep_text)
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(id_col, text_col).alias("r"))
+    marked = texts.join(gone, "r", "left").withColumn("lines", F.when(F.col("gone").isNull(), F.array("text")).otherwise(F.split("text", "\n", -1)))
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone"), lambda i: F.get("lines", i))
+    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    full = marked.select("doc_id", n_lines.cast("bigint").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_dropped"), kept.alias("kept"))
+    return full.select("doc_id", "n_lines", F.greatest("n_dropped", F.lit(0)).alias("n_dropped"), F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"), *(["kept"] if keep_text else []))
 
 
 def digest(result: DataFrame) -> DataFrame:

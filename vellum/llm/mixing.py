@@ -28,17 +28,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.tables import written
+from vellum.llm.tables import as_row, hashable, written
 
 CAP, HOLD = 3, 0.5
 MOST_SIDES = 2000
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
-def hashable(docs: DataFrame) -> list[Column]:
-    return [docs[f"`{f.name}`"] for f in docs.schema.fields if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
-
-
 def row_hash(docs: DataFrame) -> Column:
     return F.xxhash64(F.lit(11), *hashable(docs))
 
@@ -104,15 +100,18 @@ def multipliers(cells: DataFrame, sides: dict[int, float], cap: float = CAP, hol
         """Gradient and Schur complement at b."""
         w = tilted(cells, dict(zip(keys, b.tolist(), strict=True)), cap)
         w = w.withColumn("all", F.sum("free").over(Window.partitionBy("g0")))
+        own = w.groupBy(F.col("k1").alias("i"), F.lit(-1).alias("j")).agg(F.sum(F.col("n") * F.col("rate")).alias("m"), F.sum("free").alias("f"))
         pairs = w.where("free > 0").groupBy("g0").agg(F.collect_list(F.struct("k1", "free")).alias("x"), F.max("all").alias("all"))
         pairs = pairs.select("all", F.explode("x").alias("i"), "x").select("all", "i", F.explode("x").alias("j"))
-        cross = pairs.groupBy(F.col("i.k1").alias("i"), F.col("j.k1").alias("j")).agg(F.sum(F.col("i.free") * F.col("j.free") / F.col("all")).alias("m"))
+        cross = pairs.groupBy(F.col("i.k1").alias("i"), F.col("j.k1").alias("j")).agg(F.sum(F.col("i.free") * F.col("j.free") / F.col("all")).alias("m"), F.lit(0.0).alias("f"))
         mass, hess = np.zeros(len(keys)), np.diag(want / hold)
-        for r in w.groupBy("k1").agg(F.sum(F.col("n") * F.col("rate")).alias("m"), F.sum("free").alias("f")).collect():
-            mass[at[r["k1"]]] = r["m"]
-            hess[at[r["k1"]], at[r["k1"]]] += r["f"]
-        for r in cross.collect():
-            hess[at[r["i"]], at[r["j"]]] -= r["m"]
+        for r in own.union(cross).collect():
+            i = at[r["i"]]
+            if r["j"] < 0:
+                mass[i] = r["m"]
+                hess[i, i] += r["f"]
+            else:
+                hess[i, at[r["j"]]] -= r["m"]
         return mass - want + want * b / hold, hess
 
     g, h = look(b)
@@ -191,7 +190,7 @@ def apply_mix(docs: DataFrame, *, source: str = "source", id_col: str = "doc_id"
     taken = mix_sources(docs, source=source, id_col=id_col, text_col=text_col, **options)
     taken = taken.groupBy("r").agg(F.min("copies").alias("lo"), F.max("copies").alias("hi"), F.sum("copies").alias("total"), F.count(F.lit(1)).alias("n"))
     # the row travels as one value, so its columns may have any names
-    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), row_hash(docs).alias("r")).join(taken, "r")
+    keyed = docs.select(as_row(docs).alias("row"), row_hash(docs).alias("r")).join(taken, "r")
     more = F.row_number().over(Window.partitionBy("r").orderBy("r")) <= F.col("total") - F.col("lo") * F.col("n")
     copies = F.when(more & (F.col("lo") < F.col("hi")), F.col("hi")).otherwise(F.col("lo"))
     return keyed.withColumn("copies", copies).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -8,9 +8,10 @@ matrix with its transpose holds every overlap; it is computed in blocks, without
    class with fewer shared columns has no link. What remains are the candidate rows.
 3. Prefix columns find families. With columns ordered from rare to common, linked rows share one of their first
    n - ceil(0.8 n) + 1. A column block joins the rows that share one of its columns, as far as their sizes allow 0.8, each to one
-   of them (not to each other); the connected parts are the families, and no link leaves its family.
-4. A family of more than ``BLOCK_ROWS`` rows is first multiplied with the pivots of its min-hash groups, one product a row and
-   pivot, so that most of a large group of near copies becomes one component at once.
+   of them (not to each other), first within each batch of rows, then the batches' runs; the connected parts are the
+   families, and no link leaves its family.
+4. A family of more than ``BLOCK_ROWS`` rows or ``BLOCK_SHINGLES`` shingles is first multiplied with the pivots of its min-hash groups,
+   one product a row and pivot, so that most of a large group of near copies becomes one component at once.
 5. Each family is multiplied out in full, in pairs of row blocks, whose rows are kept together by component; blocks of one and the same
    component say nothing new and are not multiplied. Overlap counts accumulate row by row inside the task; pairs below
    the bound that follows from their sizes are dropped there, and of the others one link for each two components joined is returned.
@@ -30,18 +31,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm import sharing
 from vellum.llm.components import connected_components
-from vellum.llm.tables import chunks_for, text_bytes, written
+from vellum.llm.tables import as_row, chunks_for, hashable, text_bytes, written
 from vellum.llm.textblock import NOT_SPACE, U, blocks, mix, shingles, words
 
 PERCENT = 80
 PIVOTS = 4
 BUCKET_TEXT = 8 << 20
-BLOCK_ROWS = 1000
+BLOCK_ROWS, BLOCK_SHINGLES = 1000, 2_000_000
+SALT_ROWS = 10_000
 SEEDS = mix(np.arange(1, PIVOTS + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
 
 
@@ -133,9 +135,11 @@ def candidates(docs: DataFrame, classes: DataFrame, total: int) -> DataFrame:
 
 
 def linked(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Multiply out pairs (a, b) of candidate rows; those at or over the threshold, with their overlaps."""
+    """Multiply out pairs (row a, pivot b, salt) of candidate rows; those at or over the threshold, with their overlaps. A pivot of many
+    rows is copied to each of its salts, so that its rows do not meet in one task."""
     sets = rows.select("node", "sh")
-    full = pairs.join(sets.select(F.col("node").alias("a"), F.col("sh").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("sh").alias("sb")), "b")
+    pivots = pairs.select("b", "salt").distinct().join(sets.select(F.col("node").alias("b"), F.col("sh").alias("sb")), "b")
+    full = pairs.join(sets.select(F.col("node").alias("a"), F.col("sh").alias("sa")), "a").join(pivots, ["b", "salt"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,16 +158,43 @@ def linked(pairs: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def pivot_pairs(rows: DataFrame) -> DataFrame:
-    """Step 4: each row with the pivot (least node by another hash) of each of its min-hash groups, if the sizes allow a link."""
+    """Step 4: each row (a) with the pivot (b, the least node by another hash) of each of its min-hash groups, if the sizes allow a
+    link; salt: the part of the pivot's rows that a is in."""
     keys = rows.select("node", "n", F.posexplode("mh").alias("j", "key"))
     groups = keys.groupBy("j", "key").agg(F.min_by(F.struct("node", "n"), F.xxhash64("node", "j")).alias("pivot"), F.count(F.lit(1)).alias("members"))
-    pairs = keys.join(groups.where("members > 1"), ["j", "key"]).where("node <> pivot.node")
+    pairs = keys.join(written(groups.where("members > 1"), "groups"), ["j", "key"]).where("node <> pivot.node")
     pairs = pairs.where(100 * F.least("n", "pivot.n") >= PERCENT * F.greatest("n", "pivot.n"))
-    return pairs.select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")).distinct()
+    pairs = pairs.groupBy(F.col("node").alias("a"), F.col("pivot.node").alias("b")).agg(F.max("members").alias("members"))
+    return pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.ceil(F.col("members") / SALT_ROWS)).alias("salt"))
+
+
+def chains(token: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of one column's rows (or runs of rows) that follow each other in size within the bound: the order by column and size,
+    where runs begin in it, and the largest size up to each place of a run."""
+    order = np.lexsort((hi, lo, token))
+    t, low = token[order], lo[order].astype(np.int64)
+    new = np.concatenate([[True], t[1:] != t[:-1]]) if len(t) else np.zeros(0, bool)
+    base = np.cumsum(new) << 34
+    high = np.maximum.accumulate(base + hi[order]) - base
+    if len(t):
+        new[1:] |= 100 * high[:-1] < PERCENT * low[1:]
+    return order, np.flatnonzero(new), high
+
+
+def head_edges(node: np.ndarray, order: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Each run's rows with its first, two rows of an array, each pair once."""
+    head = np.repeat(node[order[start]], np.diff(np.append(start, len(order))))
+    own = node[order]
+    return np.unique(np.stack([head, own])[:, head != own], axis=1)
+
+
+COLUMN = "bucket int, token binary, node binary, lo binary, hi binary"
 
 
 def spread(n_buckets: int):
-    """Prefix columns of the incidence matrix, by column block."""
+    """Prefix columns of the incidence matrix, by column block. Rows of a batch that share a column are chained on the spot and
+    stand as one run (its first node, least and largest size), so a column that all rows hold sends a few entries a batch. The
+    links of a chain come out under bucket -1 (token, node: their ends)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,26 +203,37 @@ def spread(n_buckets: int):
             if not length.sum():
                 continue
             token = np.concatenate(parts)
-            cols = {"token": token, **{c: np.repeat(batch.column(c).to_numpy(), length) for c in ("node", "n")}}
-            bucket = (token % U(n_buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            at = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+            node, n = (np.repeat(batch.column(c).to_numpy(), length) for c in ("node", "n"))
+            order, start, high = chains(token, n, n)
+            edges = head_edges(node, order, start)
+            last = np.append(start[1:], len(order)) - 1
+            cols = (token[order[start]], node[order[start]], n[order[start]].astype(np.int32), high[last].astype(np.int32))
+            bucket = (cols[0] % U(n_buckets)).astype(np.int32)
+            by = np.argsort(bucket, kind="stable")
+            at = np.searchsorted(bucket[by], np.arange(n_buckets + 1))
             full = np.flatnonzero(at[1:] > at[:-1])
-            data = [pa.array([v[order[at[b] : at[b + 1]]].tobytes() for b in full], pa.binary()) for v in cols.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *data], names=["bucket", *cols])
+            data = [[v[by[at[b] : at[b + 1]]].tobytes() for b in full] for v in cols]
+            if edges.shape[1]:
+                full = np.append(full, -1)
+                for d, x in zip(data, (edges[0].tobytes(), edges[1].tobytes(), None, None), strict=True):
+                    d.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), *(pa.array(d, pa.binary()) for d in data)], names=["bucket", "token", "node", "lo", "hi"])
 
     return run
 
 
 def relatives(table: pa.Table) -> pa.Table:
-    """One column block: rows that share a column and follow each other in size within the bound, each with the first such row."""
-    token, node, n = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in table.column(c)]) for c, t in (("token", U), ("node", np.int64), ("n", np.int64)))
-    order = np.lexsort((n, token))
-    token, node, n = token[order], node[order], n[order]
-    near = np.concatenate([[False], (token[1:] == token[:-1]) & (100 * n[:-1] >= PERCENT * n[1:])])
-    head = np.maximum.accumulate(np.where(near, 0, np.arange(len(node))))
-    pairs = np.unique(np.stack([node[head[near]], node[near]]), axis=1)
-    return pa.table([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+    """One column block: runs of rows that share a column and follow each other in size within the bound, each with the first such run."""
+    token, node, lo, hi = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in table.column(c)]) for c, t in (("token", U), ("node", np.int64), ("lo", np.int32), ("hi", np.int32)))
+    order, start, _ = chains(token, lo, hi)
+    a, b = head_edges(node, order, start)
+    return pa.table([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, b in zip(batch.column("token"), batch.column("node"), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x.as_buffer(), np.int64)) for x in (a, b)], names=["a", "b"])
 
 
 def multiply(table: pa.Table) -> pa.Table:
@@ -231,16 +273,18 @@ def multiply(table: pa.Table) -> pa.Table:
 def family_links(rows: DataFrame, total: int) -> DataFrame:
     """Steps 3 to 5: links (a, b, overlap) whose components are those of all links."""
     n_blocks = chunks_for(total, BUCKET_TEXT)
-    shared_columns = rows.select("node", "n", "prefix").mapInArrow(spread(n_blocks), "bucket int, token binary, node binary, n binary")
-    families = connected_components(shared_columns.groupBy("bucket").applyInArrow(relatives, "a bigint, b bigint"))
-    members = families.withColumnRenamed("label", "family")
-    sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("rows"))
+    columns = written(rows.select("node", "n", "prefix").mapInArrow(spread(n_blocks), COLUMN), "columns")
+    near = columns.where("bucket >= 0").groupBy("bucket").applyInArrow(relatives, "a bigint, b bigint")
+    families = connected_components(near.unionByName(columns.where("bucket < 0").mapInArrow(unpacked, "a bigint, b bigint")))
+    members = families.withColumnRenamed("label", "family").join(rows.select("node", "n"), "node")
+    sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles"))
     members = written(members.join(sizes, "family"), "families")
-    small = members.where(F.col("rows") <= BLOCK_ROWS).select("node", "family", F.concat(F.lit("p"), F.pmod(F.xxhash64("family"), F.lit(n_blocks))).alias("task"), F.lit(2).alias("side"), F.col("node").alias("label"))
-    large = members.where(F.col("rows") > BLOCK_ROWS).select("node", "family")
+    is_small = (F.col("rows") <= BLOCK_ROWS) & (F.col("shingles") <= BLOCK_SHINGLES)
+    small = members.where(is_small).select("node", "family", F.concat(F.lit("p"), F.pmod(F.xxhash64("family"), F.lit(n_blocks))).alias("task"), F.lit(2).alias("side"), F.col("node").alias("label"))
+    large = members.where(~is_small).select("node", "family", "n")
     links = None
     if large.limit(1).count():
-        some = written(rows.join(large, "node"), "large")
+        some = written(rows.join(large.select("node", "family"), "node"), "large")
         links = written(linked(pivot_pairs(some), some), "links")
         labels = connected_components(links)
         large = written(large.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
@@ -251,14 +295,15 @@ def family_links(rows: DataFrame, total: int) -> DataFrame:
 
 
 def block_pairs(large: DataFrame) -> DataFrame:
-    """Rows of large families with the pairs of blocks they take part in. A component of many rows has blocks of its own."""
-    of_label = large.groupBy("family", "label").agg(F.count(F.lit(1)).alias("n"))
-    alone = of_label.where(F.col("n") > BLOCK_ROWS // 2)
-    rest = of_label.where(F.col("n") <= BLOCK_ROWS // 2)
-    loose = rest.groupBy("family").agg(F.sum("n").alias("loose"))
-    parts = lambda c: F.ceil(F.col(c) / BLOCK_ROWS).cast("int")
-    own = large.join(alone.select("family", "label", "n"), ["family", "label"]).withColumn("block", F.concat_ws("/", F.col("label").cast("string"), F.pmod(F.xxhash64("node"), parts("n")).cast("string"))).withColumn("pure", F.col("label"))
-    mixed = large.join(rest.select("family", "label"), ["family", "label"]).join(loose, "family").withColumn("block", F.concat_ws("/", F.lit("mixed"), F.pmod(F.xxhash64("label"), parts("loose")).cast("string"))).withColumn("pure", F.lit(None).cast("bigint"))
+    """Rows of large families with the pairs of blocks they take part in. A component of many rows (or shingles) has blocks of its own."""
+    most = {"rows": BLOCK_ROWS, "shingles": BLOCK_SHINGLES}
+    of_label = large.groupBy("family", "label").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles"))
+    is_alone = (F.col("rows") > most["rows"] // 2) | (F.col("shingles") > most["shingles"] // 2)
+    alone, rest = of_label.where(is_alone), of_label.where(~is_alone)
+    loose = rest.groupBy("family").agg(F.sum("rows").alias("rows"), F.sum("shingles").alias("shingles"))
+    parts = F.greatest(*(F.ceil(F.col(c) / n) for c, n in most.items())).cast("int")
+    own = large.join(alone, ["family", "label"]).withColumn("block", F.concat_ws("/", F.col("label").cast("string"), F.pmod(F.xxhash64("node"), parts).cast("string"))).withColumn("pure", F.col("label"))
+    mixed = large.join(rest.select("family", "label"), ["family", "label"]).join(loose, "family").withColumn("block", F.concat_ws("/", F.lit("mixed"), F.pmod(F.xxhash64("label"), parts).cast("string"))).withColumn("pure", F.lit(None).cast("bigint"))
     dealt = written(own.select("family", "node", "label", "block", "pure").unionByName(mixed.select("family", "node", "label", "block", "pure")), "blocks")
     blocks_of = dealt.select("family", "block", "pure").distinct()
     left, right = (blocks_of.select("family", F.col("block").alias(x), F.col("pure").alias(f"{x}_pure")) for x in ("x", "y"))
@@ -305,10 +350,11 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     found = written(with_components(docs, id_col, text_col), "components")
     first = found.where("n > 0").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "r")).alias("x")).select(F.col("x.r").alias("_kept"), F.lit(1).alias("_single"))
     kept = first.unionByName(found.where("n = 0").select(F.col("r").alias("_kept"), F.lit(0).alias("_single")).distinct())
-    # repeated rows have one hash; the join has put them together, so numbering them moves nothing
-    joined = docs.withColumn("_row", row_hash(id_col, text_col)).join(kept, F.col("_row") == F.col("_kept"))
-    joined = joined.withColumn("_no", F.row_number().over(Window.partitionBy("_row").orderBy("_row")))
-    return joined.where("_single = 0 or _no = 1").select(*docs.columns)
+    rows = docs.select(as_row(docs).alias("row"), row_hash(id_col, text_col).alias("r"), F.xxhash64(*hashable(docs)).alias("order"))
+    joined = rows.join(kept, F.col("r") == F.col("_kept"))
+    # of repeated rows (one id and text) one stays, whatever else they hold chosen by its hash, combined before anything moves
+    single = joined.where("_single = 1").groupBy("r").agg(F.min_by("row", "order").alias("row"))
+    return joined.where("_single = 0").select("row").unionByName(single.select("row")).select("row.*")
 
 
 ORACLE = r"""

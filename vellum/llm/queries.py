@@ -44,7 +44,7 @@ def op8_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat_format.digest(chat_format.format_preferences(chat_format.truncated_reply_pairs(table(spark, sf_dir, "conversations"))))
+    return chat_format.digest(chat_format.format_preferences(chat_format.shortened_reply_pairs(table(spark, sf_dir, "conversations"))))
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -38,6 +38,21 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def hashable(docs: DataFrame) -> list[Column]:
+    return [docs[f"`{f.name}`"] for f in docs.schema.fields if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+
+
+def as_row(docs: DataFrame) -> Column:
+    """The whole row as one value, so that its columns may have any names."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def scratch_path(spark: SparkSession, what: str) -> str:
     """A new folder name in the shared folder; it is deleted when the application ends."""
     path = f"{shared_folder(spark)}/vellum-{what}-{uuid.uuid4().hex}"
