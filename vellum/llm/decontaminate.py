@@ -3,8 +3,10 @@
 Each task turns the texts it reads into shards of word codes and builds a sparse suffix array over every shard: the
 suffixes whose first two words open some benchmark window, in order of their first ``window`` words (other suffixes
 cannot match). Every benchmark suffix is then binary-searched in every shard, all at once. The ranges found give the
-locations; comparing on from there gives the longest verbatim match. There is no shuffle: the benchmark side travels to the
-tasks in pieces of bounded size (``piece_bytes``), one narrow pass for each piece, so it may be of any size.
+locations; following text and item on from there gives the verbatim match in full. There is no shuffle: the benchmark side travels to
+the tasks in pieces of bounded size (``piece_bytes``), ``PIECES`` of them in one narrow pass over the texts. A longer benchmark takes more
+passes, the state of the documents written in between; the driver and the tasks hold the pieces of one pass only.
+Work and results are linear in the windows found: each window has one place, and items of equal words are one.
 
 Words are maximal runs of digits, letters a-z after lower-casing A-Z, and non-ASCII characters. A window is ``window``
 consecutive words of an item; an item with fewer words (but some) is one window. Null texts have no words. A document's hit
@@ -23,43 +25,79 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.textblock import IS_ALNUM, Block, U, blocks, mix, words
+from vellum.llm.tables import free, written
+from vellum.llm.textblock import IS_ALNUM, U, blocks, mix, words
 
 WINDOW = 10
-#: windows of a piece take some hundred times its bytes while they are built
-PIECE_BYTES = 2 << 20
+#: windows of a piece take some forty times its bytes while they are built
+PIECE_BYTES, PIECES = 1 << 20, 8
 #: shards are some blocks of text; longer shards make fewer searches
 SHARD_BYTES = 2 << 20
 
 
 class TestWindows:
-    """The windows of some items: codes (one row a window, depth words of it used) and where items hold each."""
+    """The distinct windows of some items: codes (one row a window, depth words of it used), one place of each, and the items that
+    hold it. Items of equal words form one class. ``line`` has the windows of the longer classes, one after the other."""
 
     def __init__(self, items: list[tuple[str, str]], window: int):
-        self.ids, at, codes = [x[0] for x in items], {}, []
         self.window = window
-        self.places: list[list[tuple[int, int]]] = []
+        texts: dict[bytes, list] = {}
         for block in blocks(pa.array([x[1] for x in items], pa.string())):
             _, _, first, hashes = words(block, IS_ALNUM, lower=True)
             for k in range(block.n):
                 own = hashes[first[k] : first[k + 1]]
-                for p in range(max(1, len(own) - window + 1) if len(own) else 0):
-                    w = tuple(own[p : p + window].tolist())
-                    if w not in at:
-                        at[w] = len(codes)
-                        codes.append(w)
-                        self.places.append([])
-                    self.places[at[w]].append((block.first + k, p))
-        self.depth = np.array([len(w) for w in codes], np.int64)
-        self.codes = np.zeros((len(codes), window), U)
-        for i, w in enumerate(codes):
-            self.codes[i, : len(w)] = w
+                if len(own):
+                    texts.setdefault(own.tobytes(), [own, set()])[1].add(items[block.first + k][0])
+        self.ids = [sorted(x[1]) for x in texts.values()]
+        sequences = [x[0] for x in texts.values()]
+        size = np.array([len(x) for x in sequences], np.int64)
+        short, full = np.flatnonzero(size < window), np.flatnonzero(size >= window)
+        rows = [np.zeros((0, window), U)]
+        rows += [np.lib.stride_tricks.sliding_window_view(sequences[c], window) for c in full]
+        rows += [np.concatenate([sequences[c], np.zeros(window - size[c], U)])[None, :] for c in short]
+        codes = np.concatenate(rows)
+        count = np.concatenate([size[full] - window + 1, np.ones(len(short), np.int64)])
+        holder = np.repeat(np.concatenate([full, short]), count)
+        depth = np.minimum(size[holder], window)
+        h = depth.astype(U)
+        for j in range(window):
+            h = mix(h * U(0x9E3779B97F4A7C15) + codes[:, j])
+        _, at, number = np.unique(h, return_index=True, return_inverse=True)
+        self.codes, self.depth, self.place = codes[at], depth[at], at
+        self.line, self.holder = number, holder
+        self.start = np.zeros(len(sequences), np.int64)
+        self.start[np.concatenate([full, short])] = np.cumsum(count) - count
+        held = np.unique(np.stack([number, holder]), axis=1)
+        self.members, self.member_at = held[1], np.searchsorted(held[0], np.arange(len(at) + 1))
         one = self.depth == 1
         self.openers = np.unique(pair(self.codes[~one, 0], self.codes[~one, 1])) if window > 1 else np.zeros(0, U)
         self.singles = np.unique(self.codes[one, 0])
         self.sieve = np.zeros(1 << 20, bool)
         self.sieve[(self.openers & U((1 << 20) - 1)).astype(np.int64)] = True
 
+    def matches(self, at: np.ndarray, which: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        """Verbatim matches (document, class, position, place in the class, words): each window found is followed from its place as
+        far as text and item agree. at: positions in order; which: the windows there. Every window found is in one match."""
+        place = -1
+        last = (-1, -1)
+        begin = out = None
+        for p, k, d in zip(at.tolist(), which.tolist(), doc.tolist(), strict=True):
+            if self.depth[k] < self.window:
+                yield d, int(self.holder[self.place[k]]), p, 0, int(self.depth[k])
+                continue
+            goes_on = last == (d, p - 1) and place + 1 < len(self.line) and self.holder[place + 1] == self.holder[place] and self.line[place + 1] == k
+            if goes_on:
+                place += 1
+            else:
+                if out is not None:
+                    yield *out, self.window + last[1] - begin
+                place, begin = int(self.place[k]), p
+                c = int(self.holder[place])
+                out = (d, c, p, place - int(self.start[c]))
+            last = (d, p)
+        if out is not None:
+            yield *out, self.window + last[1] - begin
+
 
 def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a + U(0x9E3779B97F4A7C15) * b)
@@ -108,47 +146,50 @@ def search(rows: np.ndarray, tests: TestWindows) -> tuple[np.ndarray, np.ndarray
     return bound(False), bound(True)
 
 
-def longest_runs(found: dict[tuple[int, int, int], int]) -> Iterator[tuple[int, int, int, int]]:
-    """Windows that follow each other in the text and in the item make one match: (position, item, position in it, words)."""
-    for (at, item, p), depth in found.items():
-        if (at - 1, item, p - 1) not in found:
-            k = 1
-            while (at + k, item, p + k) in found:
-                k += 1
-            yield at, item, p, depth + k - 1
+MATCH = "array<struct<item_id:string,start:bigint,item_start:bigint,words:bigint>>"
+STATE = {"n_words": "bigint", "n_hit": "bigint", "hit_words": "binary", "items": "array<string>", "matches": MATCH}
+ARROW = {"n_words": pa.int64(), "n_hit": pa.int64(), "hit_words": pa.binary(), "items": pa.list_(pa.string()), "matches": pa.list_(pa.struct([("item_id", pa.string()), ("start", pa.int64()), ("item_start", pa.int64()), ("words", pa.int64())]))}
 
 
-MATCH = "array<struct<item_id:string,start:bigint,item_start:bigint,words:bigint>>"
-STATE = {"n_words": "bigint", "n_hit": "bigint", "hit_words": "binary", "matches": MATCH}
-ARROW = {"n_words": pa.int64(), "n_hit": pa.int64(), "hit_words": pa.binary(), "matches": pa.list_(pa.struct([("item_id", pa.string()), ("start", pa.int64()), ("item_start", pa.int64()), ("words", pa.int64())]))}
+def hits(codes: np.ndarray, left: np.ndarray, t: TestWindows) -> tuple[np.ndarray, np.ndarray]:
+    """Where windows occur in a shard, in order of position: positions and windows."""
+    sa, rows = suffix_array(codes, left, t)
+    lo, hi = search(rows, t)
+    k = np.flatnonzero(lo < hi)
+    many = (hi - lo)[k]
+    at = sa[np.repeat(lo[k] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))]
+    which = np.repeat(k, many)
+    order = np.lexsort((which, at))
+    return at[order], which[order]
 
 
 def scan(tests, text_col: str, shard_bytes: int, state: dict[str, str], last: bool):
-    """A pass over the documents that adds the hits on one piece of the benchmark to the state columns."""
+    """A pass over the documents that adds the hits on some pieces of the benchmark to the state columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tests.value
         for batch in batches:
             out = {c: [] for c in STATE}
-            was_hit, was = (batch.column(state[c]).to_pylist() for c in ("hit_words", "matches"))
+            was_hit, was_items, was = (batch.column(state[c]).to_pylist() for c in ("hit_words", "items", "matches"))
             for block in blocks(batch.column(text_col), shard_bytes):
                 _, _, first, codes = words(block, IS_ALNUM, lower=True)
-                sa, rows = suffix_array(codes, np.repeat(first[1:], np.diff(first)) - np.arange(len(codes)), t)
-                lo, hi = search(rows, t)
+                left = np.repeat(first[1:], np.diff(first)) - np.arange(len(codes))
                 mark = np.zeros(len(codes) + 1, np.int32)
-                found: dict[tuple[int, int, int], int] = {}
-                for k in np.flatnonzero(lo < hi):
-                    at, depth = sa[lo[k] : hi[k]], int(t.depth[k])
+                items: dict[int, set[str]] = {}
+                own: dict[int, list[dict]] = {}
+                for t in tests.value:
+                    at, which = hits(codes, left, t)
+                    if not len(at):
+                        continue
                     np.add.at(mark, at, 1)
-                    np.add.at(mark, at + depth, -1)
-                    for p in at.tolist():
-                        for item, q in t.places[k]:
-                            found[p, item, q] = depth
+                    np.add.at(mark, at + t.depth[which], -1)
+                    doc = np.searchsorted(first, at, "right") - 1
+                    for d, c, p, q, n in t.matches(at, which, doc):
+                        own.setdefault(d, []).append({"item_id": t.ids[c][0], "start": p - int(first[d]), "item_start": q, "words": n})
+                    for d, k in np.unique(np.stack([doc, which]), axis=1).T.tolist():
+                        found = items.setdefault(d, set())
+                        for c in t.members[t.member_at[k] : t.member_at[k + 1]].tolist():
+                            found.update(t.ids[c])
                 hit = np.cumsum(mark)[:-1] > 0
-                own: dict[int, list[dict]] = {}
-                for p, item, q, n in longest_runs(found):
-                    d = int(np.searchsorted(first, p, "right")) - 1
-                    own.setdefault(d, []).append({"item_id": t.ids[item], "start": p - int(first[d]), "item_start": q, "words": n})
                 for k in range(block.n):
                     r = block.first + k
                     mine = hit[first[k] : first[k + 1]]
@@ -158,6 +199,7 @@ def scan(tests, text_col: str, shard_bytes: int, state: dict[str, str], last: bo
                     out["n_words"].append(len(mine))
                     out["n_hit"].append(n)
                     out["hit_words"].append(np.packbits(mine).tobytes() if n else None)
+                    out["items"].append(sorted(items.get(k, set()).union(was_items[r] or ())))
                     out["matches"].append((was[r] or []) + own.get(k, []))
             new = {state[c]: pa.array(x, ARROW[c]) for c, x in out.items()}
             names = [c for c in batch.schema.names if not last or c != text_col]
@@ -166,25 +208,34 @@ def scan(tests, text_col: str, shard_bytes: int, state: dict[str, str], last: bo
     return run
 
 
-def pieces(bench: DataFrame, id_col: str, text_col: str, piece_bytes: int) -> Iterator[list[tuple[str, str]]]:
-    """The benchmark in pieces of about piece_bytes, one at a time on the driver."""
+def piece_groups(bench: DataFrame, id_col: str, text_col: str, piece_bytes: int) -> Iterator[tuple[bool, list[list[tuple[str, str]]]]]:
+    """Whether more follow, and up to ``PIECES`` pieces of the benchmark of about piece_bytes each; the driver holds no others."""
     items = bench.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     n = max(1, -(-total // piece_bytes))
-    for k in range(n):
-        yield [(r["i"], r["t"]) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()]
+    items = items.withColumn("k", F.pmod(F.xxhash64("i", "t"), F.lit(n)))
+    for k in range(0, n, PIECES):
+        parts: list[list[tuple[str, str]]] = [[] for _ in range(min(PIECES, n - k))]
+        for r in items.where((F.col("k") >= k) & (F.col("k") < k + PIECES)).collect():
+            parts[r["k"] - k].append((r["i"], r["t"]))
+        yield k + PIECES < n, parts
 
 
 def find_contamination(docs: DataFrame, bench: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, piece_bytes: int = PIECE_BYTES, shard_bytes: int = SHARD_BYTES, keep_text: bool = False) -> DataFrame:
-    """The documents' columns (the text only if asked for) and n_words, n_hit, hit_words (bits, null without hits) and matches:
-    the longest verbatim matches, each with its item, first word, first word in the item, and length in words."""
-    state = {c: c if c not in docs.columns else f"_found_{c}" for c in STATE}
-    df = docs.select(*docs.columns, *(F.lit(0 if t == "bigint" else None).cast(t).alias(state[c]) for c, t in STATE.items()))
-    parts = list(pieces(bench, item_id, item_text, piece_bytes))
-    for k, part in enumerate(parts):
-        tests = docs.sparkSession.sparkContext.broadcast(TestWindows(part, window))
-        last = k == len(parts) - 1 and not keep_text
+    """The documents' columns (the text only if asked for) and n_words, n_hit, hit_words (bits, null without hits), items (all that
+    have a window in the document) and matches: verbatim matches that cover all windows found, as long as text and item agree from the
+    place of the first window, each with its item (of several the first), first word, first word in the item, and length in words."""
+    state = {}
+    for c in STATE:
+        state[c] = free(c if c not in docs.columns else f"_found_{c}", [*docs.columns, *state.values()])
+    df = docs.select(*(F.col(f"`{c}`") for c in docs.columns), *(F.lit(0 if t == "bigint" else None).cast(t).alias(state[c]) for c, t in STATE.items()))
+    for more, parts in piece_groups(bench, item_id, item_text, piece_bytes):
+        tests = docs.sparkSession.sparkContext.broadcast([TestWindows(part, window) for part in parts])
+        last = not more and not keep_text
         df = df.mapInArrow(scan(tests, text_col, shard_bytes, state, last), df.drop(text_col).schema if last else df.schema)
+        if more:
+            df = written(df, "hits")
+            tests.destroy()
     return df
 
 
@@ -197,7 +248,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, *, text_col: str = "text",
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """What op4 returns."""
-    items = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"])))
+    items = F.array_sort("items")
     return found.select(
         F.col(id_col).alias("doc_id"), "n_words", "n_hit", F.size(items).cast("long").alias("n_items"),
         F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),

@@ -1,4 +1,4 @@
-"""Suffix arrays by induced sorting, and permuted common prefixes cut at a length.
+"""Suffix arrays by induced sorting, and permuted common prefixes.
 
 The first level works on bytes: the alphabet is small, so a whole bucket is induced with a few numpy operations (once more for each
 repetition in a run of one byte). Deeper levels have large alphabets and a third of the length; they are induced a window at a time,
@@ -249,15 +249,28 @@ def suffix_array(s: np.ndarray, k: int, first: bool = True) -> np.ndarray:
     return np.array(induce([-1, *before, -1], [-1, *np.where(types[:-1], s[:-1], -1).tolist(), -1], s.tolist(), order.tolist(), size))
 
 
-def common_prefixes(raw: np.ndarray, at: np.ndarray, before: np.ndarray, length: int) -> np.ndarray:
-    """Whether the text at each position at agrees for length bytes with that at before, its predecessor in the suffix array.
-    Positions come in text order (the permuted order), so reads on one side run through the text."""
-    steps = [*range(0, length - 7, 8), length - 8]
-    wide = np.lib.stride_tricks.sliding_window_view(np.ascontiguousarray(raw), 8).view(np.uint64)[:, 0] if len(raw) >= 8 else np.zeros(0, np.uint64)
-    out = np.ones(len(at), bool)
-    live = np.arange(len(at))
-    for k in steps:
-        same = wide[at[live] + k] == wide[before[live] + k]
-        out[live[~same]] = False
-        live = live[same]
-    return out
+def permuted_prefixes(text: np.ndarray, sa: np.ndarray) -> np.ndarray:
+    """For each position the length of the common prefix with its predecessor in the suffix array, in text order.
+
+    text: bytes whose last is unique. Where the symbol before a position equals the one before its predecessor, the length is that
+    of the position before, minus one; it is carried. The other lengths are found by comparing eight bytes at a time."""
+    n = len(sa)
+    before = np.full(n, -1, np.int64)
+    before[sa[1:]] = sa[:-1]
+    carried = np.zeros(n, bool)
+    i = np.flatnonzero((before[1:] > 0) & (before[:-1] >= 0)) + 1
+    carried[i] = text[i - 1] == text[before[i] - 1]
+    wide = np.lib.stride_tricks.sliding_window_view(np.concatenate([text, np.zeros(16, np.uint8)]), 8).view(np.uint64)[:, 0]
+    out = np.zeros(n, np.int64)
+    live = np.flatnonzero(~carried & (before >= 0))
+    deep = 0
+    while len(live):
+        differ = wide[live + deep] ^ wide[before[live] + deep]
+        ends = differ != 0
+        lowest = differ[ends] & (~differ[ends] + U(1))
+        out[live[ends]] = deep + (np.log2(lowest.astype(np.float64)).astype(np.int64) >> 3)
+        live = live[~ends]
+        deep += 8
+    at = np.arange(n)
+    source = np.maximum.accumulate(np.where(carried, 0, at))
+    return out[source] - (at - source)

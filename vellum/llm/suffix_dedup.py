@@ -7,8 +7,8 @@ Windows are the length-byte strings of a document; a document is earlier than an
 2. Shards. The windows left are cut into segments (runs of windows that agree in the least hash of their 12-byte pieces) and
    dealt to shards by that hash, so equal windows meet. A chunk sends each distinct segment once, with its earliest document:
    a passage that every document holds costs one entry a chunk.
-3. Suffix arrays. A shard sorts the suffixes of its distinct segments by induced sorting (``induced_sort``) and
-   compares neighbours by common prefixes cut at the window length, in text order. Suffixes that share length bytes
+3. Suffix arrays. A shard sorts the suffixes of its distinct segments by induced sorting (``induced_sort``) and computes the
+   permuted common prefixes: lengths carry from a position to the next, minus one. Neighbours that share length bytes
    form groups; the earliest document of a group goes back to the chunks whose segments hold a window of it.
 4. Chunks mark the bytes of windows whose earliest document is smaller than their own.
 
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm import sharing
-from vellum.llm.induced_sort import common_prefixes, suffix_array
+from vellum.llm.induced_sort import permuted_prefixes, suffix_array
 from vellum.llm.tables import chunks_for, text_bytes
 from vellum.llm.textblock import BLOCK_BYTES, Block, U, blocks, cut, mix, power
 
@@ -199,24 +199,22 @@ def earliest_windows(text: np.ndarray, start: np.ndarray, size: np.ndarray, earl
     """One suffix array: for distinct segments, runs of windows with one earliest document (segment, start, windows, earliest)."""
     n = len(start)
     at = np.cumsum(size + 1) - size - 1
-    raw = np.zeros(int(at[-1] + size[-1]) + 1 + 8, np.uint8)
-    s = np.ones(int(at[-1] + size[-1]) + 2, np.int64)  # 1 parts segments, bytes are 2 to 257
-    s[-1] = 0
+    raw = np.full(int(at[-1] + size[-1]) + 2, 0xFF, np.uint8)  # parts segments; no byte of UTF-8
+    raw[-1] = 0xFE
     into = ragged(at, size)
     raw[into] = text[ragged(start, size)]
-    s[into] = raw[into].astype(np.int64) + 2
+    s = raw.astype(np.int64) + 2
+    s[raw == 0xFF] = 1
+    s[-1] = 0
     sa = suffix_array(s, 258)
     windows = size - length + 1
     owner = np.full(len(s), -1, np.int64)
     owner[ragged(at, windows)] = np.repeat(np.arange(n), windows)
-    sa = sa[owner[sa] >= 0]
-    # neighbours in the suffix array, looked at in text order
-    before = np.full(len(s), -1, np.int64)
-    before[sa[1:]] = sa[:-1]
-    place = np.flatnonzero(before >= 0)
-    agrees = np.zeros(len(s), bool)
-    agrees[place] = common_prefixes(raw, place, before[place], length)
-    head = np.flatnonzero(~agrees[sa])
+    # neighbours that share length bytes are of one group; no suffix that starts too late in its segment is among them
+    group = np.cumsum(permuted_prefixes(raw, sa)[sa] < length)
+    own = owner[sa] >= 0
+    sa, group = sa[own], group[own]
+    head = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     least = np.minimum.reduceat(earliest[owner[sa]], head)
     value = np.empty(len(s), np.int64)
     value[sa] = np.repeat(least, np.diff(np.append(head, len(sa))))
