@@ -7,8 +7,11 @@ import random
 import re
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-CLASHING = "n_hit bigint, chunk int, r bigint, label string, score string, copies int, shard string, _u string, _score double, hits string, u bigint, g0 string, m_n_words int, _row int, depth string, bits string"
-N_CLASHING = CLASHING.count(",") + 1
+#: columns that operators might call their own, none of them null
+CLASHING = {
+    "n_hit": 5, "chunk": "c", "r": 7, "label": "l", "score": "s", "copies": 2, "shard": "x", "_u": "u", "_c": 9, "_score": 0.5, "hits": "h", "u": 8, "g0": "g", "g1": 3, "m_n_words": 4,
+    "_row": 6, "_no": 1, "_id": 77, "_y": 1, "i": 5, "y": 1, "t": "tt", "depth": "d", "bits": "b", "row": "w", "_kept": 11, "_single": 0, "order": 12, "items": "it", "matches": "m", "n_words": 13, "size": 14, "target": 0.25, "k1": 2,
+}
 
 
 def documents(seed: int = 1, n: int = 60) -> list[tuple]:
@@ -43,12 +46,18 @@ def documents(seed: int = 1, n: int = 60) -> list[tuple]:
 
 def frame(spark, rows: list[tuple], clashing: bool = True, partitions: int = 3):
     schema = "doc_id bigint, text string, lang string, source string"
-    extra = (None,) * N_CLASHING
     if clashing:
-        return spark.createDataFrame([(*x, *extra) for x in rows], f"{schema}, {CLASHING}").repartition(partitions)
+        kinds = {str: "string", int: "bigint", float: "double"}
+        schema += "".join(f", {c} {kinds[type(v)]}" for c, v in CLASHING.items())
+        rows = [(*x, *CLASHING.values()) for x in rows]
     return spark.createDataFrame(rows, schema).repartition(partitions)
 
 
+def untouched(rows: list) -> bool:
+    """Whether the clashing columns came back as they were."""
+    return all(x[c] == v for x in rows for c, v in CLASHING.items())
+
+
 def rows_of(df) -> list[tuple]:
     return sorted((tuple(x) for x in df.collect()), key=repr)
 
