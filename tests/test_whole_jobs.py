@@ -7,7 +7,6 @@ import hashlib
 import pytest
 
 from vellum import queries
-from vellum.llm import html_layout, quality
 from vellum.operators import edits
 from vellum.sources import pdf
 
@@ -22,20 +21,20 @@ def texts_dir(spark, tmp_path_factory):
 
 
 def test_predictor_takes_partial_rows(spark, texts_dir):
-    got = queries.QUERIES["predictor_roundtrip_all"](spark, texts_dir).collect()
+    got = queries.QUERIES["predictor_roundtrip"](spark, texts_dir).collect()
     assert sorted(map(tuple, got)) == list(enumerate(TEXTS))
 
 
 def test_marked_content_of_every_row(spark, tmp_path):
     parts = [(0, "ECONOMY", "red (x)"), (49, "SMALL", "b\\"), (50, "LARGE", "c"), (12345, "PROMO", "d")]
     spark.createDataFrame(parts, "p_partkey bigint, p_type string, p_name string").write.parquet(f"{tmp_path}/part.parquet")
-    got = queries.QUERIES["marked_content_all"](spark, str(tmp_path)).collect()
+    got = queries.QUERIES["marked_content"](spark, str(tmp_path)).collect()
     want = [x for k, t, n in parts for x in ((k, t, ["P"], 2 * k), (k, n, ["P", "Span"], 2 * k + 1))]
     assert sorted(map(tuple, got)) == sorted(want)
 
 
 def test_signature_digest_runs_to_the_end(spark, texts_dir):
-    got = dict(map(tuple, queries.QUERIES["signature_digest_all"](spark, texts_dir).collect()))
+    got = dict(map(tuple, queries.QUERIES["signature_digest"](spark, texts_dir).collect()))
     assert got == {k: hashlib.sha256((t[:20] + t[40:]).encode()).hexdigest() for k, t in enumerate(TEXTS)}
     assert len({got[k] for k in (8, 9, 10, 11)}) == 4
 
@@ -47,34 +46,6 @@ def test_reachable_follows_long_chains_and_cycles(spark):
     assert sorted(map(tuple, got)) == [(1, k) for k in range(71)]
 
 
-DEEP = 50_000
-VISIBLE = {
-    "<table><tr><td>a</td></tr>after<caption>cap</caption></table>": "after\ncap\na",
-    "<table><tr>stray<td>a</table>": "stray\na",
-    "<table><tbody><form><tr><td>cell</td></tr></form></tbody></table>": "cell",
-    "<table><tr><form><td>a</td><td>b</td></form></tr><tr><td>c</table>": "a | b\nc |",
-    "<table><form hidden><tr><td>no</td></tr></form><tr><td>yes</table>": "yes",
-    "<table><colgroup>loose<col><tr><td>a</table>": "loose\na",
-    "x<svg><title>no</title><defs/><text>one</text><text>two</text><desc>no</desc></svg>y": "x\none\ntwo\ny",
-    "<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math>": "x=1",
-    "<select><option>red<option>blue</select>": "red\nblue",
-    "<object data=a>fallback</object>": "fallback",
-    "<div>" * 118 + "<table><tr><td>in</table><textarea>area</textarea>": "in\n\narea",
-    "<b>" * DEEP + "<table><tr><td>in</table><textarea>area</textarea>" + "</i></b>" * DEEP: "in\n\narea",
-}
-
-
-@pytest.mark.parametrize("html", VISIBLE, ids=range(len(VISIBLE)))
-def test_html_keeps_visible_text(html):
-    assert html_layout.page_text(html) == VISIBLE[html]
-
-
-def test_html_of_any_depth():
-    for tag in ("div", "blockquote", "ul><li", "table><tr><td", "svg", "details open"):
-        text = html_layout.page_text(f"<{tag}>" * 2000 + "deep")
-        assert text.count("deep") == 1 and text.count("-") == (2000 if tag == "ul><li" else 0)
-
-
 def test_forms_and_fonts_of_files(spark):
     stream = lambda head, data: f"<<{head} /Length {len(data)}>>\nstream\n{data}\nendstream"
     bodies = [
@@ -95,21 +66,7 @@ def test_forms_and_fonts_of_files(spark):
     assert pdf.read_pages(files).where("doc_id = 1").count() == 1
 
 
-def test_quality_learns_from_whole_texts(spark, monkeypatch):
-    good = "\n".join("The river runs past the old mill and the town." for _ in range(201))
-    docs = spark.createDataFrame([(k, good + ("" if k % 2 else "\n" + "\n".join(["$$$ WIN!!! @@@ ###"] * 300))) for k in range(8)], "doc_id bigint, text string")
-    labels = spark.createDataFrame([(k, k % 2) for k in range(8)], "doc_id bigint, quality int")
-    score = lambda: {x["doc_id"]: x["score"] for x in quality.score(docs, quality.train(docs, labels)).collect()}
-    assert all((x > 0.5) == bool(k % 2) for k, x in score().items())
-    # fewer documents once they have the lines, never parts of them
-    seen = []
-    monkeypatch.setattr(quality, "fit", lambda x, size, first, label: seen.append(len(first) - 1) or quality.Field(x[0], x[:2, :2]))
-    monkeypatch.setattr(quality, "SAMPLE_TOTAL_LINES", 600)
-    quality.train(docs, labels)
-    assert 2 <= seen[0] <= 3
-
-
 def test_region_redacted_in_every_document(spark, texts_dir):
-    zones = queries.QUERIES["redact_text_rects_all"](spark, texts_dir).where("l = 100 and b = 600").collect()
+    zones = queries.QUERIES["redact_text_rects"](spark, texts_dir).where("l = 100 and b = 600").collect()
     assert sorted(x["doc_id"] for x in zones) == list(range(len(TEXTS)))
-    assert {x["doc_id"]: x["redactions"] for x in queries.QUERIES["redaction_counts_all"](spark, texts_dir).collect()} == dict.fromkeys(range(len(TEXTS)), 1)
+    assert {x["doc_id"]: x["redactions"] for x in queries.QUERIES["redaction_counts"](spark, texts_dir).collect()} == dict.fromkeys(range(len(TEXTS)), 1)

@@ -148,54 +148,68 @@ def lzw_decode(data: bytes, early: int = 1, msb: bool = False) -> bytes:
     return bytes(out)
 
 
+def _rows(data: bytes, row: int, colors: int) -> tuple[np.ndarray, int]:
+    """Bytes as rows of pixels, the last row filled up; how many bytes are real."""
+    full = np.zeros(-(-len(data) // row) * row, np.uint8)
+    full[: len(data)] = np.frombuffer(data, np.uint8)
+    return full.reshape(-1, row // colors, colors), len(data)
+
+
 def predictor_encode(data: bytes, predictor: int, colors: int = 1, columns: int = 1) -> bytes:
-    """Byte samples; 2: TIFF differences, from 10: PNG rows with filter 0."""
+    """Byte samples; 2: TIFF differences, from 10: PNG rows with filter 0. A short last row stays short."""
     row = colors * columns
-    if predictor <= 1:
+    if predictor <= 1 or not data:
         return data
-    rows = [data[i : i + row] for i in range(0, len(data), row)]
+    rows, n = _rows(data, row, colors)
     if predictor == 2:
-        return b"".join(bytes((r[i] - (r[i - colors] if i >= colors else 0)) & 255 for i in range(len(r))) for r in rows)
-    return b"".join(b"\0" + r for r in rows)
+        out = rows.copy()
+        out[:, 1:] -= rows[:, :-1]
+        return out.tobytes()[:n]
+    out = np.zeros((len(rows), row + 1), np.uint8)
+    out[:, 1:] = rows.reshape(len(rows), row)
+    return out.tobytes()[: n + len(rows)]
 
 
 def predictor_decode(data: bytes, predictor: int, colors: int = 1, columns: int = 1) -> bytes:
     row = colors * columns
-    if predictor <= 1:
+    if predictor <= 1 or not data:
         return data
     if predictor == 2:
-        out = bytearray()
-        for i in range(0, len(data), row):
-            r = np.frombuffer(data[i : i + row], np.uint8)
-            for c in range(colors):
-                r = r.copy()
-                r[c::colors] = np.cumsum(r[c::colors], dtype=np.uint8)
-            out += r.tobytes()
-        return bytes(out)
+        rows, n = _rows(data, row, colors)
+        return np.cumsum(rows, axis=1, dtype=np.uint8).tobytes()[:n]
     if not 10 <= predictor <= 15:
         raise ValueError("predictor")
-    out, above = bytearray(), bytearray(row)
-    for i in range(0, len(data), row + 1):
-        kind, cur = data[i], bytearray(data[i + 1 : i + 1 + row])
-        for k in range(len(cur)):
-            a, b, c = (cur[k - colors] if k >= colors else 0), above[k], (above[k - colors] if k >= colors else 0)
-            if kind == 1:
-                p = a
-            elif kind == 2:
-                p = b
-            elif kind == 3:
-                p = (a + b) // 2
-            elif kind == 4:
-                pa, pb, pc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
-                p = a if pa <= pb and pa <= pc else b if pb <= pc else c
-            elif kind == 0:
-                p = 0
-            else:
-                raise ValueError("PNG filter")
-            cur[k] = (cur[k] + p) & 255
-        out += cur
-        above = cur + bytearray(row - len(cur))
-    return bytes(out)
+    full = np.zeros(-(-len(data) // (row + 1)) * (row + 1), np.uint8)
+    full[: len(data)] = np.frombuffer(data, np.uint8)
+    full = full.reshape(-1, row + 1)
+    kinds, rows = full[:, 0], full[:, 1:].copy()
+    if len(kinds) and kinds.max() > 4:
+        raise ValueError("PNG filter")
+    # stretches of rows that need no row above them are undone at once, the others row by row
+    alone = kinds <= 1
+    edge = np.flatnonzero(np.concatenate([[True], alone[1:] != alone[:-1], [True]]))
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+        if alone[a]:
+            left = np.flatnonzero(kinds[a:b] == 1) + a
+            rows[left] = np.cumsum(rows[left].reshape(len(left), columns, colors), axis=1, dtype=np.uint8).reshape(len(left), row)
+            continue
+        for i in range(a, b):
+            above = rows[i - 1] if i else np.zeros(row, np.uint8)
+            rows[i] = rows[i] + above if kinds[i] == 2 else _undone(rows[i].tolist(), above.tolist(), int(kinds[i]), colors)
+    return rows.tobytes()[: len(data) - len(kinds)]
+
+
+def _undone(cur: list[int], above: list[int], kind: int, colors: int) -> list[int]:
+    """A row of the average or the Paeth filter: each byte needs the one before it."""
+    for k in range(len(cur)):
+        a, b, c = (cur[k - colors], above[k], above[k - colors]) if k >= colors else (0, above[k], 0)
+        if kind == 3:
+            p = (a + b) // 2
+        else:
+            pa, pb, pc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
+            p = a if pa <= pb and pa <= pc else b if pb <= pc else c
+        cur[k] = (cur[k] + p) & 255
+    return cur
 
 
 def _flate(data: bytes) -> bytes:

@@ -88,9 +88,27 @@ ROUNDS = 16
 
 
 def reachable(roots: DataFrame, references: DataFrame) -> DataFrame:
-    """Object numbers reachable from the roots (doc_id, num) over references (doc_id, num, target), breadth first, a round a level,
-    until a round meets nothing new."""
-    frontier = materialize(roots.select("doc_id", "num").distinct(), "reach")
+    """Object numbers reachable from the roots (doc_id, num) over references (doc_id, num, target).
+
+    Where nothing refers to two things, references are chains: a round takes what lies twice as far, and a chain of n objects takes
+    log(n) rounds. Otherwise breadth first, a round a level. Both go on until a round meets nothing new, so cycles end."""
+    references = materialize(references.select("doc_id", "num", "target").distinct(), "references")
+    seen = roots.select("doc_id", "num").distinct()
+    if references.groupBy("doc_id", "num").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        return _breadth_first(seen, references)
+    seen, jump = materialize(seen, "reach"), references
+    while True:
+        far = seen.join(jump, ["doc_id", "num"]).select("doc_id", F.col("target").alias("num")).distinct()
+        new = materialize(far.join(seen, ["doc_id", "num"], "left_anti"), "reach")
+        if not new.limit(1).count():
+            return seen
+        seen = materialize(seen.union(new), "reach")
+        further = jump.select("doc_id", F.col("num").alias("target"), F.col("target").alias("end"))
+        jump = materialize(jump.join(further, ["doc_id", "target"]).select("doc_id", "num", F.col("end").alias("target")), "references")
+
+
+def _breadth_first(frontier: DataFrame, references: DataFrame) -> DataFrame:
+    frontier = materialize(frontier, "reach")
     rounds = [frontier]
     while True:
         step = frontier.join(references, ["doc_id", "num"]).select("doc_id", F.col("target").alias("num")).distinct()

@@ -309,38 +309,26 @@ def highlight_matches(spark, sf_dir):
     return h.select("doc_id", "page_index", "match_no", "subtype", "contents", F.round("rect.l", 6).alias("l"), F.col("rect.b").alias("b"), F.round("rect.r", 6).alias("r"), F.col("rect.t").alias("t"))
 
 
-def redaction_rects(spark, sf_dir, every: bool = False) -> DataFrame:
+def redaction_rects(spark, sf_dir) -> DataFrame:
     docs = docs_of(spark, sf_dir)
-    zones = (docs if every else docs.where("doc_id % 10 = 0")).select("doc_id", F.lit(0).alias("page_index"), region().alias("rect"))
+    zones = docs.select("doc_id", F.lit(0).alias("page_index"), region().alias("rect"))
     return edits.redactions(search.find(grid.chunks(docs), "ing"), zones)
 
 
-REDACT = f"{KEY}, rr as (select doc_id, page_index, l - 1 l, b - 1 b, r + 1 r, t + 1 t from gm union all select doc_id, 0, 100.0, 600.0, 300.0, 700.0 from documents where doc_id % 10 = 0)"
-
-REDACT_ALL = f"{KEY}, rr as (select doc_id, page_index, l - 1 l, b - 1 b, r + 1 r, t + 1 t from gm union all select doc_id, 0, 100.0, 600.0, 300.0, 700.0 from documents)"
+REDACT = f"{KEY}, rr as (select doc_id, page_index, l - 1 l, b - 1 b, r + 1 r, t + 1 t from gm union all select doc_id, 0, 100.0, 600.0, 300.0, 700.0 from documents)"
 
 
 @query(f"{REDACT} select doc_id, page_index, round(l, 6)::double l, b::double b, round(r, 6)::double r, t::double t from rr")
 def redact_text_rects(spark, sf_dir):
+    """A keyword and a region of every document."""
     return redaction_rects(spark, sf_dir).select("doc_id", "page_index", F.round("rect.l", 6).alias("l"), F.col("rect.b").alias("b"), F.round("rect.r", 6).alias("r"), F.col("rect.t").alias("t"))
 
 
-@query(f"{REDACT_ALL} select doc_id, page_index, round(l, 6)::double l, b::double b, round(r, 6)::double r, t::double t from rr")
-def redact_text_rects_all(spark, sf_dir):
-    """redact_text_rects with the region asked for in every document."""
-    return redaction_rects(spark, sf_dir, True).select("doc_id", "page_index", F.round("rect.l", 6).alias("l"), F.col("rect.b").alias("b"), F.round("rect.r", 6).alias("r"), F.col("rect.t").alias("t"))
-
-
 @query(f"{REDACT} select doc_id, count(*)::bigint redactions, count(distinct page_index)::bigint pages from rr group by doc_id")
 def redaction_counts(spark, sf_dir):
     return edits.redaction_counts(redaction_rects(spark, sf_dir))
 
 
-@query(f"{REDACT_ALL} select doc_id, count(*)::bigint redactions, count(distinct page_index)::bigint pages from rr group by doc_id")
-def redaction_counts_all(spark, sf_dir):
-    return edits.redaction_counts(redaction_rects(spark, sf_dir, True))
-
-
 @query(f"with {GRID}, {INDEX}, {found_sql('t', '[0-9]{3}-[0-9]{4}')}, {GEOMETRY} select doc_id, page_index, round(l - 1, 6) l, b - 1 b, round(r + 1, 6) r, t + 1 t from gm")
 def redact_regex_rects(spark, sf_dir):
     r = edits.redactions(search.find(chunks_of(spark, sf_dir), "[0-9]{3}-[0-9]{4}", regex=True))
@@ -395,14 +383,8 @@ def renumber_objects(spark, sf_dir):
     return edits.renumber(n).select(F.col("num").alias("n_nationkey"), "new_num")
 
 
-@query("with recursive r as (select 1::bigint num union select t from r, lateral (values (num * 2), (num * 3)) v(t) where t <= 2000) select num from r")
-def reachable_objects(spark, sf_dir):
-    refs = spark.range(1, 2001).select(F.lit(0).alias("doc_id"), F.col("id").alias("num"), F.explode(F.array(F.col("id") * 2, F.col("id") * 3)).alias("target")).where("target <= 2000")
-    return edits.reachable(spark.createDataFrame([(0, 1)], "doc_id int, num bigint"), refs).select("num")
-
-
 @query("select user_id doc_id, event_id num from (select *, row_number() over (partition by user_id order by ts, event_id) n from events) where n > 1")
-def reachable_events(spark, sf_dir):
+def reachable_objects(spark, sf_dir):
     """A user's events linked each to its successor, from the second one on: chains as long as a user has events."""
     from pyspark.sql import Window
 
@@ -697,9 +679,14 @@ def audit_not_increasing(spark, sf_dir):
     return audit.not_increasing(o, ["o_custkey"], "o_orderkey", "o_totalprice").select("o_custkey", "o_orderkey")
 
 
-@query("select unnest(['a', 'b', 'c', 'd']) as role")
+@query("""with recursive m as (select p_partkey // 10 doc_id, p_partkey % 10 role, case when p_size % 4 = 0 then null else (p_partkey * 7 + p_size) % 10 end target from part),
+w as (select doc_id, role, target q, 0 n from m union all select w.doc_id, w.role, m.target, n + 1 from w join m on w.doc_id = m.doc_id and w.q = m.role where n < 12)
+select doc_id, 'R' || role as role from w where n = 12 and q is not null""")
 def audit_role_cycles(spark, sf_dir):
-    return audit.role_cycles(spark.createDataFrame([(1, "a", "b"), (1, "b", "c"), (1, "c", "a"), (1, "d", "a"), (1, "e", "f"), (1, "f", "P")], "doc_id int, role string, target string")).select("role")
+    """Role maps of ten roles a document; some end in a standard role, the others run round."""
+    k, n = F.col("p_partkey"), F.col("p_size")
+    roles = table(spark, sf_dir, "part").select(F.floor(k / 10).alias("doc_id"), F.concat(F.lit("R"), k % 10).alias("role"), F.when(n % 4 == 0, F.lit("P")).otherwise(F.concat(F.lit("R"), (k * 7 + n) % 10)).alias("target"))
+    return audit.role_cycles(roles)
 
 
 @query("with m as (select event_type, median(value) m from events group by 1) select event_type workload from (select event_type, case when event_type < 'm' then m * 0.5 else m * 2 end base, m from m) where m > base * 1.1 union all select 'absent'")
@@ -734,18 +721,9 @@ def ascii_hex_roundtrip(spark, sf_dir):
     return d.select("doc_id", "packed", F.decode(codecs.ascii_hex_decode(F.col("packed")), "UTF-8").alias("text"))
 
 
-@query("select doc_id, text from documents where strlen(text) % 4 = 0")
-def predictor_roundtrip(spark, sf_dir):
-    from vellum.functions import codecs
-
-    d = docs_of(spark, sf_dir).where("octet_length(text) % 4 = 0").withColumn("tiff", codecs.predict(F.encode("text", "UTF-8"), 2, 4))
-    back = codecs.predict(codecs.predict(codecs.predict(F.col("tiff"), 2, 4, back=True), 12, 4), 12, 4, back=True)
-    return d.select("doc_id", F.decode(back, "UTF-8").alias("text"))
-
-
 @query("select doc_id, text from documents")
-def predictor_roundtrip_all(spark, sf_dir):
-    """predictor_roundtrip over every document; the last row of a text may be short."""
+def predictor_roundtrip(spark, sf_dir):
+    """Differences and PNG rows of every document and back; the last row of a text may be short."""
     from vellum.functions import codecs
 
     d = docs_of(spark, sf_dir).withColumn("tiff", codecs.predict(F.encode("text", "UTF-8"), 2, 4))
@@ -753,12 +731,15 @@ def predictor_roundtrip_all(spark, sf_dir):
     return d.select("doc_id", F.decode(back, "UTF-8").alias("text"))
 
 
-@query("select * from (values (1, 'png'), (2, 'jpeg'), (3, 'bmp'), (4, 'jpeg2000'), (5, 'unknown')) v(id, kind)")
+@query("select p_partkey, ['png', 'jpeg', 'bmp', 'jpeg2000', 'unknown', 'unknown', 'unknown'][p_partkey % 7 + 1] kind from part")
 def image_types(spark, sf_dir):
+    """Signatures of four kinds, two that are cut short and one that is none, each before a name's bytes."""
     from vellum.functions import codecs
 
-    heads = [(1, "89504E470D0A1A0A00"), (2, "FFD8FFE0"), (3, "424D3600"), (4, "FF4FFF51"), (5, "00")]
-    return spark.createDataFrame(heads, "id int, h string").select("id", codecs.image_type(F.unhex("h")).alias("kind"))
+    heads = F.array(*map(F.lit, ("89504E470D0A1A0A", "FFD8FF", "424D", "FF4FFF51", "", "89504E470D0A1A", "FFD8")))
+    p = table(spark, sf_dir, "part")
+    head = F.element_at(heads, (F.col("p_partkey") % 7 + 1).cast("int"))
+    return p.select("p_partkey", codecs.image_type(F.unhex(F.concat(head, F.hex(F.encode("p_name", "UTF-8"))))).alias("kind"))
 
 
 @query(f"with {GRID} select doc_id, page_index, chunk_index, txt as text, x0, x1, y, round(y - 2, 6) b, round(y + 8, 6) t from ch")
@@ -770,6 +751,43 @@ def content_roundtrip(spark, sf_dir):
     return back.select("doc_id", "page_index", "chunk_index", "text", "x0", F.round("x1", 6).alias("x1"), "y", F.round("bbox.b", 6).alias("b"), F.round("bbox.t", 6).alias("t"))
 
 
+@query("""select p_partkey, 0 chunk_index, p_name || ' ' || p_type as text, 10.0::double x0, round(10 + 5 * (length(p_name) + length(p_type) + 1) + p_size / 10.0 + 6, 6) x1, [-10.0 * p_size, -600.0]::double[] numbers from part""")
+def shown_arrays(spark, sf_dir):
+    """Arrays of strings and adjustments: all numbers count for the width, one after a string that is wide enough makes a blank."""
+    from vellum.sources import content
+
+    parts = [F.lit("BT /F1 10 Tf 1 0 0 1 10 20 Tm ["), F.col("p_size") * -10, F.lit(" "), st.escape_literal(F.col("p_name")), F.lit(" -600 "), st.escape_literal(F.col("p_type")), F.lit("] TJ ET")]
+    p = table(spark, sf_dir, "part").select("p_partkey", F.encode(F.concat(*(x.cast("string") for x in parts)), "UTF-8").alias("content"))
+    numbers = content.content_events(p).where("op = 'TJ'").select("p_partkey", "numbers")
+    return content.content_chunks(p).select("p_partkey", "chunk_index", "text", "x0", F.round("x1", 6).alias("x1")).join(numbers, "p_partkey")
+
+
+@query("""with a as (select p_partkey, 1.0 + p_size a from part) select p_partkey, seq, kind, list_transform(numbers, lambda x: round(x, 6)) numbers, [round(c, 6) for c in ctm] as ctm, line_width, line_cap, fill from a, lateral (values
+  (0, 'save', []::double[], [1.0, 0, 0, 1, 0, 0]::double[], 1.0::double, 0, [0.0]::double[]), (1, 'transform', [a, 0, 0, 2, 3, 4]::double[], [a, 0, 0, 2, 3, 4]::double[], 1.0, 0, [0.0]),
+  (2, 'transform', [a, 0, 0, 2, a * 5 + 3, 16]::double[], [a, 0, 0, 2, a * 5 + 3, 16]::double[], 1.0, 0, [0.0]), (3, 'line_width', [a]::double[], [a, 0, 0, 2, a * 5 + 3, 16]::double[], a, 1, [0.0]),
+  (4, 'color', [1.0, 0.5, 0.0]::double[], [a, 0, 0, 2, a * 5 + 3, 16]::double[], a, 1, [1.0, 0.5, 0.0]), (5, 'restore', []::double[], [1.0, 0, 0, 1, 0, 0]::double[], 1.0, 0, [0.0])) v(seq, kind, numbers, ctm, line_width, line_cap, fill)""".replace("[round(c, 6) for c in ctm]", "list_transform(ctm, lambda x: round(x, 6))"))
+def content_states(spark, sf_dir):
+    """Events with the state after each: products of transforms (here in the order of the file format), line settings, held colours, saved and restored."""
+    from vellum.sources import content
+
+    a = (F.col("p_size") + 1).cast("string")
+    body = F.concat(F.lit("q "), a, F.lit(" 0 0 2 3 4 cm 1 0 0 1 5 6 cm 1 J "), a, F.lit(" w 7 .5 -3 rg Q"))
+    p = table(spark, sf_dir, "part").select("p_partkey", F.encode(body, "UTF-8").alias("content"))
+    near = lambda c: F.transform(c, lambda x: F.round(x, 6)).alias(c)
+    return content.content_events(p, state=True, standard_cm=True).select("p_partkey", "seq", "kind", near("numbers"), near("ctm"), "line_width", "line_cap", "fill")
+
+
+@query("""select p_partkey, seq, tag, mcid, depth, text from part, lateral (values (0, 'Span', (p_partkey + 1)::int, 1, p_name), (1, 'P', p_partkey::int, 0, p_type || p_name)) v(seq, tag, mcid, depth, text)""")
+def marked_spans(spark, sf_dir):
+    """Marked spans with their texts; an outer span has the inner one's text too, a transparency group is none."""
+    from vellum.sources import content
+
+    k = F.col("p_partkey")
+    parts = [F.lit("/P <</MCID "), k, F.lit(">> BDC /G <</Group <</S /Transparency>>>> BDC BT /F1 9 Tf "), st.escape_literal(F.col("p_type")), F.lit(" Tj ET EMC /Span <</MCID "), k + 1, F.lit(">> BDC BT "), st.escape_literal(F.col("p_name")), F.lit(" Tj ET EMC EMC")]
+    p = table(spark, sf_dir, "part").select("p_partkey", F.encode(F.concat(*(x.cast("string") for x in parts)), "UTF-8").alias("content"))
+    return content.content_spans(p).select("p_partkey", "seq", "tag", "mcid", "depth", "text")
+
+
 @query(f"with {GRID} select doc_id, page_index, kind, n from (select doc_id, page_index, count(*)::bigint c from ch group by all), lateral (values ('begin_text', 1::bigint), ('end_text', 1), ('set_font', 1), ('text_state', 1), ('set_matrix', c), ('show_text', c)) v(kind, n)")
 def content_event_counts(spark, sf_dir):
     from vellum.sources import content, pdf
@@ -824,13 +842,19 @@ def xfdf_roundtrip(spark, sf_dir):
     return back.select("doc_id", "ordinal", "subtype", "page_index", F.col("rect.l").alias("l"), "title", "contents")
 
 
-@query("select p_partkey, 'X' || chr(65 + (p_partkey % 5)::int) || 'fi' || 'Z' || 'a' v from part")
+@query("""select p_partkey, regexp_replace(translate(p_type, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z]', '', 'g') || regexp_replace(p_name, '[^a-z ]', '', 'g') || '|fi' two,
+  regexp_replace(p_name, '[a-m]', '', 'g') as one from part""")
 def cmap_decode(spark, sf_dir):
+    """Two-byte codes of a type's capitals (a range), of a name's letters (a range and an array) and a ligature, with codes that the map
+    does not have, which vanish whole; one-byte codes of the name, of which a range has empty texts and the others pass."""
     from vellum.sources import cmap
 
-    text = "1 beginbfchar <0010> <00660069> endbfchar 2 beginbfrange <0041> <0045> <0041> <20> <20> [<005A>] endbfrange"
-    data = F.unhex(F.concat(F.lit("58004"), (F.col("p_partkey") % 5 + 1).cast("string"), F.lit("00102061FF")))
-    return table(spark, sf_dir, "part").select("p_partkey", cmap.decode(data, F.lit(text)).alias("v"))
+    wide = """1 begincodespacerange <0000> <FFFF> endcodespacerange 2 beginbfrange <0041> <005A> <0061> <0161> <017A> [""" + " ".join(f"<{k:04X}>" for k in range(0x61, 0x7B)) + """] endbfrange
+3 beginbfchar <0120> <0020> <0010> <00660069> <0011> <007C> endbfchar"""
+    narrow = "1 begincodespacerange <00> <FF> endcodespacerange 1 beginbfrange <61> <6D> [" + "<>" * 13 + "] endbfrange"
+    codes = lambda c, high: F.array_join(F.transform(F.split(c, ""), lambda x: F.concat(F.lit(high), F.hex(F.encode(x, "UTF-8")))), "")
+    data = F.unhex(F.concat(codes(F.col("p_type"), "00"), codes(F.col("p_name"), "01"), F.lit("00110010FFFE3000")))
+    return table(spark, sf_dir, "part").select("p_partkey", cmap.decode(data, F.lit(wide)).alias("two"), cmap.decode(F.encode("p_name", "UTF-8"), F.lit(narrow)).alias("one"))
 
 
 @query(f"with {GRID}, {LINES.format(c='ch')}, dt as (select doc_id, string_agg(coalesce(t, ''), ' ' order by page_index) t, count(*) n from pgs left join ptx using (doc_id, page_index) group by doc_id) select doc_id, 'pages' || chr(9) || n || chr(10) || 'page_text' || chr(9) || regexp_replace(t, '[\\t\\r\\n]', ' ', 'g') report from dt")
@@ -843,33 +867,16 @@ def inspector_report(spark, sf_dir):
     return text.join(n, "doc_id").select("doc_id", F.concat(F.lit("pages\t"), F.col("n").cast("string"), F.lit("\npage_text\t"), F.regexp_replace("text", "[\t\r\n]", " ")).alias("report"))
 
 
-@query("select doc_id, sha256(text[1:20] || text[41:60]) digest from documents")
-def signature_digest(spark, sf_dir):
-    """The digest over the two byte ranges that a signature leaves out of its own value (characters here)."""
-    d = docs_of(spark, sf_dir)
-    return d.select("doc_id", F.sha2(F.concat(F.substring("text", 1, 20), F.substring("text", 41, 20)), 256).alias("digest"))
-
-
 @query("select doc_id, sha256(text[1:20] || text[41:]) digest from documents")
-def signature_digest_all(spark, sf_dir):
-    """signature_digest with the second range running to the end of the text: only characters 21 to 40, the signature's own, are left out."""
+def signature_digest(spark, sf_dir):
+    """The digest of all but a signature's own range (characters 21 to 40 here): two ranges, the second to the end of the text."""
     d = docs_of(spark, sf_dir)
     return d.select("doc_id", F.sha2(F.concat(F.substring("text", 1, 20), F.expr("substring(text, 41)")), 256).alias("digest"))
 
 
-@query("select p_partkey, 'abc' as text, ['P', 'Span'] as marked, 7 as mcid from part where p_partkey < 50")
-def marked_content(spark, sf_dir):
-    """Chunks with the marked spans open around them, and the number of the innermost."""
-    from vellum.sources import content
-
-    p = table(spark, sf_dir, "part").where("p_partkey < 50").select("p_partkey", F.encode(F.lit("/P <</MCID 3>> BDC /Span <</MCID 7>> BDC BT /F1 9 Tf (abc) Tj ET EMC EMC"), "UTF-8").alias("content"))
-    ids = p.select("p_partkey", F.array_max(F.transform(F.regexp_extract_all(F.decode("content", "UTF-8"), F.lit(r"(/MCID \d+)"), F.lit(1)), st.parse_mcid)).alias("mcid"))
-    return content.content_chunks(p).select("p_partkey", "text", "marked").join(ids, "p_partkey")
-
-
 @query("select p_partkey, text, marked, mcid::int mcid from part, lateral (values (p_type, ['P'], p_partkey * 2), (p_name, ['P', 'Span'], p_partkey * 2 + 1)) v(text, marked, mcid)")
-def marked_content_all(spark, sf_dir):
-    """marked_content over the whole table, the stream built from each row: its texts, and its numbers at two depths."""
+def marked_content(spark, sf_dir):
+    """Chunks with the marked spans open around them and the number of the innermost, from streams built of each row."""
     from vellum.sources import content
 
     k = F.col("p_partkey")
