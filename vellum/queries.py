@@ -883,3 +883,183 @@ def marked_content(spark, sf_dir):
     parts = [F.lit("/P <</MCID "), k * 2, F.lit(">> BDC BT /F1 9 Tf "), st.escape_literal(F.col("p_type")), F.lit(" Tj ET /Span <</MCID "), k * 2 + 1, F.lit(">> BDC BT "), st.escape_literal(F.col("p_name")), F.lit(" Tj ET EMC EMC")]
     p = table(spark, sf_dir, "part").select("p_partkey", F.encode(F.concat(*(x.cast("string") for x in parts)), "UTF-8").alias("content"))
     return content.content_chunks(p).select("p_partkey", "text", "marked", "mcid")
+
+
+# --- whole files: side tables, revisions, signatures, rules ---------------------------------------------------------------------
+
+TURNS = "tn as (select conv_id doc_id, turn, role, text, (row_number() over (partition by conv_id order by turn) - 1)::int k, count(*) over (partition by conv_id)::int n from conversations)"
+
+
+def turns_of(spark, sf_dir) -> DataFrame:
+    """doc_id and a conversation's turns in order: k, role, text."""
+    c = table(spark, sf_dir, "conversations")
+    gathered = c.groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    return gathered.select("doc_id", F.transform("t", lambda x, k: F.struct(k.alias("k"), x["role"].alias("role"), x["text"].alias("text"))).alias("t"))
+
+
+def conversation_files(spark, sf_dir, **columns) -> DataFrame:
+    """A file a conversation, a page a turn. columns: further columns of the description, made from t."""
+    from vellum.sources import authoring
+
+    t = turns_of(spark, sf_dir)
+    shown = lambda x: F.concat(F.lit("BT /F1 10 Tf 1 0 0 1 36 700 Tm "), st.escape_literal(F.regexp_replace(x["text"], "\\s+", " ")), F.lit(" Tj ET"))
+    pages = F.transform("t", lambda x: F.struct(shown(x).alias("content"), (F.lit(90) * (x["k"] % 4)).alias("rotation"), F.when(x["k"] % 2 == 0, F.concat(F.lit("BT /F1 8 Tf ("), x["role"], F.lit(") Tj ET"))).alias("form")))
+    info = F.create_map(F.lit("Title"), F.concat(F.lit("conversation "), F.col("doc_id").cast("string")))
+    return authoring.write_documents(t.select("doc_id", pages.alias("pages"), info.alias("info"), *(c.alias(n) for n, c in columns.items())))
+
+
+def over_turns(make):
+    return F.transform("t", lambda x: F.struct(*(v.alias(n) for n, v in make(x).items())))
+
+
+@query(f"with {TURNS} select doc_id, k seq, role || ' ' || k as title, case when k > 0 and role = 'assistant' then 1 else 0 end depth, k page_index, true is_open from tn")
+def pdf_outlines(spark, sf_dir):
+    """Outlines written and read: an assistant's turn under the one before it, each with its page."""
+    from vellum.sources import pdf
+
+    rows = over_turns(lambda x: {"title": F.concat(x["role"], F.lit(" "), x["k"].cast("string")), "depth": F.when(x["role"] == "assistant", 1).otherwise(0), "page": x["k"]})
+    return pdf.read_outlines(conversation_files(spark, sf_dir, outlines=rows)).drop("error")
+
+
+@query(f"with {TURNS} select doc_id, k page_index, case when k < 2 then ['i', 'ii'][k + 1] else 'T-' || (k + 3) end as label from tn")
+def pdf_labels(spark, sf_dir):
+    """Label ranges written and read, and each page's label from them."""
+    from vellum.sources import pdf
+
+    ranges = F.array(*(F.struct(F.lit(a).alias("first_page"), F.lit(s).alias("style"), F.lit(p).alias("prefix"), F.lit(n).alias("start_number")) for a, s, p, n in ((0, "r", None, 1), (2, "D", "T-", 5))))
+    files = conversation_files(spark, sf_dir, labels=ranges)
+    return pg.labels(pdf.read_pages(files).select("doc_id", "page_index"), pdf.read_labels(files).drop("error"))
+
+
+@query(f"with {TURNS} select doc_id, k page_index, 0 ordinal, case when k % 2 = 0 then 'Text' else 'Link' end subtype, [k, 1, k + 20, 11]::double[] rect, text contents, role title, (k % 3 * 4)::int flags, case when k % 2 = 1 then 'URI' end as action, case when k % 2 = 1 then 'http://x/' || k else '' end uri, k % 5 = 0 has_appearance from tn")
+def pdf_annotations(spark, sf_dir):
+    """Notes and links written and read, a page's each."""
+    from vellum.sources import pdf
+
+    k = lambda x: x["k"].cast("double")
+    rows = over_turns(lambda x: {"page": x["k"], "subtype": F.when(x["k"] % 2 == 0, "Text").otherwise("Link"), "l": k(x), "b": F.lit(1.0), "r": k(x) + 20, "t": F.lit(11.0), "contents": x["text"], "title": x["role"], "flags": x["k"] % 3 * 4, "uri": F.when(x["k"] % 2 == 1, F.concat(F.lit("http://x/"), x["k"].cast("string"))), "appearance": x["k"] % 5 == 0})
+    return pdf.read_annotations(conversation_files(spark, sf_dir, annotations=rows)).select("doc_id", "page_index", "ordinal", "subtype", "rect", "contents", "title", "flags", "action", "uri", "has_appearance")
+
+
+@query(f"with {TURNS} select doc_id, 'turn.' || role || '.' || k as name, 'Tx' ft, (k % 2)::bigint ff, text v, k page_index from tn")
+def pdf_fields(spark, sf_dir):
+    """Field trees written and read: full names, inherited entries, values, the widgets' pages."""
+    from vellum.sources import pdf
+
+    rows = over_turns(lambda x: {"name": F.concat(F.lit("turn."), x["role"], F.lit("."), x["k"].cast("string")), "ft": F.lit("Tx"), "ff": x["k"] % 2, "v": x["text"], "page": x["k"], "l": F.lit(10.0), "b": F.lit(10.0), "r": F.lit(90.0), "t": F.lit(24.0)})
+    nodes = pdf.read_fields(conversation_files(spark, sf_dir, fields=rows))
+    typed = nodes.select("doc_id", F.col("num").cast("bigint").alias("num"), F.col("parent").cast("bigint").alias("parent"), "partial", "ft", F.col("ff").cast("bigint").alias("ff"), "v")
+    widgets = nodes.select("doc_id", F.col("num").cast("bigint").alias("num"), F.lit(0).alias("ordinal"), "page_index")
+    return forms.page_of_field(forms.hierarchy(typed), widgets).select("doc_id", "name", "ft", "ff", "v", "page_index")
+
+
+@query(f"with {TURNS} select doc_id, '<x:xmpmeta xmlns:x=\"adobe:ns:meta/\"><dc:title>' || doc_id || '</dc:title></x:xmpmeta>' xmp, doc_id::varchar title from tn where k = 0")
+def pdf_xmp(spark, sf_dir):
+    """Metadata streams written and read as they lie in the file."""
+    from vellum.sources import pdf
+
+    xmp = F.concat(F.lit('<x:xmpmeta xmlns:x="adobe:ns:meta/"><dc:title>'), F.col("doc_id").cast("string"), F.lit("</dc:title></x:xmpmeta>"))
+    found = pdf.read_xmp(conversation_files(spark, sf_dir, xmp=xmp)).select("doc_id", F.decode("xmp", "UTF-8").alias("xmp"))
+    return found.withColumn("title", F.regexp_extract("xmp", "<dc:title>([^<]*)", 1))
+
+
+@query(f"with {TURNS} select doc_id, 'turn-' || lpad(k::varchar, 4, '0') || '.txt' as name, 'text/plain' mime, 'Data' relationship, strlen(text)::bigint n_bytes, text from tn")
+def pdf_embedded(spark, sf_dir):
+    """Attachments written and read through the name tree."""
+    from vellum.sources import pdf
+
+    rows = over_turns(lambda x: {"name": F.concat(F.lit("turn-"), F.lpad(x["k"].cast("string"), 4, "0"), F.lit(".txt")), "mime": F.lit("text/plain"), "relationship": F.lit("Data"), "data": F.encode(x["text"], "UTF-8")})
+    return pdf.read_embedded(conversation_files(spark, sf_dir, attachments=rows)).select("doc_id", "name", "mime", "relationship", "n_bytes", F.decode("data", "UTF-8").alias("text"))
+
+
+@query(f"with {TURNS} select doc_id, k page_index, 'Page' scope, 'Im' || k as name, k + 1 width, 2 height, 8 bits, 'DeviceGray' color_space, [10, 20, 10 + k + 1, 60]::double[] box, repeat(lower(hex(chr(65 + k % 26))), 2 * (k + 1)) pixels from tn")
+def pdf_images(spark, sf_dir):
+    """Images where pages paint them, with the box that the transform gives them and their bytes decoded."""
+    from vellum.functions import codecs
+    from vellum.sources import pdf
+
+    rows = over_turns(lambda x: {"page": x["k"], "width": x["k"] + 1, "height": F.lit(2), "space": F.lit("DeviceGray"), "data": F.encode(F.repeat(F.char(F.lit(65) + x["k"] % 26), 2 * (x["k"] + 1)), "UTF-8"), "l": F.lit(10.0), "b": F.lit(20.0), "r": F.lit(11.0) + x["k"], "t": F.lit(60.0)})
+    found = pdf.read_images(conversation_files(spark, sf_dir, images=rows))
+    return found.select("doc_id", "page_index", "scope", "name", "width", "height", "bits", "color_space", "box", F.lower(F.hex(codecs.decode(F.col("data"), ["FlateDecode"]))).alias("pixels"))
+
+
+@query(f"with {TURNS} select doc_id, k page_index, scope, kind, c n from tn, lateral (values ('Page', 'show_text', 1::bigint), ('Page', 'invoke_object', case when k % 2 = 0 then 1 else 0 end), ('Form1', 'show_text', case when k % 2 = 0 then 1 else 0 end)) v(scope, kind, c) where c > 0")
+def pdf_events(spark, sf_dir):
+    """Events of pages and of the forms they invoke, by scope."""
+    from vellum.sources import pdf
+
+    found = pdf.read_events(conversation_files(spark, sf_dir)).where("kind in ('show_text', 'invoke_object')")
+    return found.groupBy("doc_id", "page_index", "scope", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"with {TURNS} select doc_id, true encrypted, -44 permissions, doc_id % 2 = 0 authenticated, case when doc_id % 2 = 0 then 'conversation ' || doc_id end title, n page_count from tn where k = 0")
+def pdf_encrypted(spark, sf_dir):
+    """Files under a password (odd ids need the user's, which the reader does not have): what opens is decrypted."""
+    from vellum.sources import pdf
+
+    files = conversation_files(spark, sf_dir, owner=F.lit("owner"), user=F.when(F.col("doc_id") % 2 == 0, "").otherwise("secret"))
+    return pdf.read_documents(files).select("doc_id", "encrypted", "permissions", "authenticated", F.when(F.col("authenticated"), F.col("title")).alias("title"), "page_count")
+
+
+@query(f"with {TURNS} select doc_id, 'conversation ' || doc_id title, n page_count from tn where k = 0")
+def pdf_password(spark, sf_dir):
+    """The same files all opened with the owner's password."""
+    from vellum.sources import pdf
+
+    files = conversation_files(spark, sf_dir, owner=F.lit("owner"), user=F.lit("secret"))
+    return pdf.read_documents(files, pdf.Limits(password=b"owner")).where("authenticated").select("doc_id", "title", "page_count")
+
+
+@query(f"with {TURNS} select doc_id, key, value from tn, lateral (values ('Info', (3 + 2 * n + (n + 1) // 2 + 1) || ' 0 R'), ('Root', '1 0 R'), ('Size', (3 + 2 * n + (n + 1) // 2 + 2)::varchar)) v(key, value) where k = 0")
+def pdf_trailer(spark, sf_dir):
+    """The trailer's entries as they would be written again."""
+    from vellum.sources import pdf
+
+    return pdf.read_trailer(conversation_files(spark, sf_dir)).drop("error")
+
+
+@query(f"with {TURNS} select doc_id, kind, c from tn, lateral (values ('free', 1::bigint), ('uncompressed', (4 + 2 * n + (n + 1) // 2)::bigint)) v(kind, c) where k = 0")
+def pdf_xref(spark, sf_dir):
+    """Cross-reference entries by kind."""
+    from vellum.sources import pdf
+
+    return pdf.read_xref(conversation_files(spark, sf_dir)).groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("c"))
+
+
+@query(f"with {TURNS} select doc_id, case when doc_id % 3 = 0 then 'conversation ' || doc_id else 'revised ' || n end title, n page_count, doc_id % 3 <> 0 grown from tn where k = 0")
+def pdf_revisions(spark, sf_dir):
+    """Revisions appended to files: the old bytes stay, the new title is read, a document without a change stays as it is."""
+    from vellum.sources import authoring, pdf
+
+    files = conversation_files(spark, sf_dir)
+
+    def change(row: dict, f: pdf.File) -> dict:
+        return {} if row["doc_id"] % 3 == 0 else {f.trailer["Info"].num: {"Title": f"revised {len(list(f.pages()))}"}}
+
+    revised = authoring.revise(files, change)
+    old = files.select("doc_id", F.col("content").alias("old"))
+    grown = revised.join(old, "doc_id").select("doc_id", ((F.length("content") > F.length("old")) & (F.expr("substring(content, 1, length(old))") == F.col("old"))).alias("grown"))
+    return pdf.read_documents(revised).select("doc_id", "title", "page_count").join(grown, "doc_id")
+
+
+@query(f"with {TURNS}, h as (select doc_id, k page_index, unnest(range(1, len(string_split_regex({sql_lower('text')}, 'the')))) i from tn) select doc_id, page_index, 'Highlight' subtype, 'the' contents, count(*)::bigint n from h group by all")
+def highlight_files(spark, sf_dir):
+    """A keyword found on the pages of files and added to them as highlights, in a revision; read again."""
+    from vellum.sources import authoring, pdf
+
+    files = conversation_files(spark, sf_dir)
+    chunks = pdf.read_chunks(files).where("error is null")
+    found = edits.highlights(search.find(chunks.where("font_size = 10"), "the"))
+    marked = authoring.annotate(files, found.select("doc_id", "page_index", "subtype", "rect", F.lower("contents").alias("contents")))
+    return pdf.read_annotations(marked).groupBy("doc_id", "page_index", "subtype", "contents").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"with {TURNS} select doc_id, 'Signature' field, 'signer ' || doc_id as name, true signed, case doc_id % 3 when 0 then 'digest_differs' when 1 then 'digest_matches' else 'out_of_bounds' end status from tn where k = 0")
+def pdf_signatures(spark, sf_dir):
+    """Signatures with the digest of the file around them: unharmed, changed afterwards, and cut off."""
+    from vellum.sources import pdf
+
+    files = conversation_files(spark, sf_dir, signer=F.concat(F.lit("signer "), F.col("doc_id").cast("string")))
+    k = F.col("doc_id") % 3
+    harmed = F.when(k == 0, F.concat(F.encode(F.lit("%PDF-1.6"), "UTF-8"), F.expr("substring(content, 9)"))).when(k == 1, F.col("content")).otherwise(F.expr("substring(content, 1, length(content) - 2)"))
+    return pdf.read_signatures(files.select("doc_id", harmed.alias("content"))).select("doc_id", "field", "name", "signed", "status")

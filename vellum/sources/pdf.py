@@ -297,7 +297,7 @@ class File:
         return data
 
     def pages(self) -> Iterator[dict]:
-        """Pages in order with inherited boxes and rotation, and their contents joined by newlines."""
+        """Pages in order with inherited boxes and rotation, and their contents joined by newlines (empty if the file is locked)."""
         root = self.get(self.trailer["Root"])
         todo = [(root.get("Pages"), {}, frozenset())]
         n = 0
@@ -317,7 +317,7 @@ class File:
             parts = self.get(node.get("Contents"))
             parts = parts if isinstance(parts, list) else [] if parts is None else [parts]
             streams = [self.get(p) for p in parts]
-            yield {"page_index": n, "num": ref.num if isinstance(ref, Ref) else None, "media_box": media, "crop_box": crop, "rotation": int(self.get(own.get("Rotate")) or 0) % 360, "content": b"\n".join(self.decoded(s) for s in streams if isinstance(s, Stream)), "resources": own.get("Resources"), "node": node}
+            yield {"page_index": n, "num": ref.num if isinstance(ref, Ref) else None, "media_box": media, "crop_box": crop, "rotation": int(self.get(own.get("Rotate")) or 0) % 360, "content": b"\n".join(self.decoded(s) for s in streams if isinstance(s, Stream)) if self.authenticated else b"", "resources": own.get("Resources"), "node": node}
             n += 1
             if n > self.limits.pages:
                 raise PdfError("too many pages")
