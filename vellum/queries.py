@@ -1063,3 +1063,83 @@ def pdf_signatures(spark, sf_dir):
     k = F.col("doc_id") % 3
     harmed = F.when(k == 0, F.concat(F.encode(F.lit("%PDF-1.6"), "UTF-8"), F.expr("substring(content, 9)"))).when(k == 1, F.col("content")).otherwise(F.expr("substring(content, 1, length(content) - 2)"))
     return pdf.read_signatures(files.select("doc_id", harmed.alias("content"))).select("doc_id", "field", "name", "signed", "status")
+
+
+def audited_files(spark, sf_dir) -> DataFrame:
+    """A file a part, with what profiles ask for present, wrong or absent by number (k) and size (n)."""
+    from vellum.sources import authoring
+
+    k, n = F.col("p_partkey"), F.col("p_size")
+    text = lambda c: c.cast("string")
+    li = lambda tag, c: F.concat(F.lit(f"<dc:{tag}><rdf:Alt><rdf:li>"), c, F.lit(f"</rdf:li></rdf:Alt></dc:{tag}>"))
+    xmp = F.concat(F.lit("<x:xmpmeta><rdf:RDF><pdfaid:part>"), text(1 + k % 2), F.lit("</pdfaid:part><pdfaid:conformance>A</pdfaid:conformance>"), F.when(k % 4 == 1, "<pdfuaid:part>1</pdfuaid:part>").otherwise(""), li("title", F.concat(F.lit("T"), text(n))), F.when(k % 5 > 0, li("language", F.lit("en-US"))).otherwise(""), F.lit("</rdf:RDF></x:xmpmeta>"))
+    head = lambda size, space: F.concat(F.lpad(F.hex(size), 8, "0"), F.lit("00" * 12), F.hex(F.encode(space, "UTF-8")), F.lit("00" * 16 + "61637370" + "00" * 88))
+    profile = F.when(k % 8 == 2, F.lit(None).cast("binary")).otherwise(F.unhex(head(F.when(k % 8 == 4, 99).otherwise(128), F.when(k % 8 == 5, F.lit("GRAY")).otherwise(F.lit("RGB ")))))
+    intent = F.when(k % 8 > 0, F.struct(F.when(k % 8 != 1, "sRGB").alias("identifier"), F.when(k % 8 == 3, 2).otherwise(3).alias("components"), profile.alias("profile")))
+    body = F.concat(F.when(k % 3 > 0, "/P <</MCID 0>> BDC ").otherwise(""), F.lit("BT /T0 9 Tf (x) Tj ET"), F.when((k % 3 > 0) & (k % 7 > 0), " EMC").otherwise(""))
+    page = F.struct(body.alias("content"), F.when(k % 2 == 0, "S").alias("tabs"), F.when(k % 4 == 0, 0).alias("struct_parents"))
+    note = F.struct(F.lit(0).alias("page"), F.element_at(F.array(*map(F.lit, ("Link", "Movie", "Text"))), (k % 3 + 1).cast("int")).alias("subtype"), F.lit(0.0).alias("l"), F.lit(0.0).alias("b"), F.lit(9.0).alias("r"), F.lit(9.0).alias("t"), F.when(k % 2 == 0, "about").alias("contents"), (n % 8).alias("flags"), F.when(k % 9 == 0, "JavaScript").alias("action"))
+    element = lambda role, parent, alt=None: F.struct(F.lit(role).alias("role"), F.lit(parent).cast("int").alias("parent"), F.lit(alt).cast("string").alias("alt"))
+    trees = F.array(
+        F.array(element("H2", None), element("H4", None), element("Figure", None)), F.array(element("L", None), element("LI", 0), element("LBody", 1), element("Figure", None, "a")),
+        F.array(element("Table", None), element("TR", 0), element("TH", 1), element("TD", None)), F.array(element("Own", None), element("Other", None), element("L", None)), F.lit(None),
+    )
+    attached = F.when(k % 10 == 0, F.array(F.struct(F.lit("a.txt").alias("name"), F.when(k % 20 == 0, "text/plain").alias("mime"), F.when(k % 30 == 0, "Data").alias("relationship"), F.encode("p_name", "UTF-8").alias("data"))))
+    return authoring.write_documents(table(spark, sf_dir, "part").select(
+        k.alias("doc_id"), F.when(k % 50 == 49, F.array().cast("array<struct<content:string,tabs:string,struct_parents:int>>")).otherwise(F.array(page)).alias("pages"), F.when(k % 4 == 0, "1.4").otherwise("1.7").alias("version"),
+        F.when(k % 3 == 1, "en-US").when(k % 3 == 2, "no tag!").alias("lang"), F.when(k % 2 == 0, k % 4 == 0).alias("marked"), (k % 5 == 0).alias("display_title"),
+        F.when(k % 7 > 0, F.create_map(F.lit("Title"), F.concat(F.lit("T"), text(F.when(k % 7 == 1, n + 1).otherwise(n))))).alias("info"), F.when(k % 6 > 0, xmp).alias("xmp"), intent.alias("intent"),
+        F.array(F.struct((k % 2 == 0).alias("embedded"), (k % 3 == 0).alias("unicode"))).alias("fonts"), F.when(k % 50 < 49, F.array(note)).alias("annotations"), attached.alias("attachments"),
+        F.get(trees, (k % 5).cast("int")).alias("elements"), F.create_map(F.lit("Own"), F.lit("P")).alias("roles"), F.when(k % 11 == 0, "o").alias("owner"), F.when(k % 11 == 0, "").alias("user"),
+    ))
+
+
+def audit_sql(rows: list[tuple[str, str, str]]) -> str:
+    """(code, condition on k and n, severity) of every issue that the files are made to have."""
+    parts = [f"select k doc_id, '{code}' code, '{severity}' severity, {times}::bigint c from f where {test}" for code, test, severity, times in ((*x, 1)[:4] if len(x) == 3 else x for x in rows)]
+    return "with f as (select p_partkey k, p_size n, p_partkey % 50 < 49 page, p_partkey % 5 < 4 tree from part) " + " union all ".join(parts)
+
+
+E, W = "error", "warning"
+STRUCTURE_ISSUES = [
+    ("PDFUA-ROLE-001", "k % 5 = 3", E), ("PDFUA-ALT-001", "k % 5 = 0", E), ("PDFUA-SEMANTIC-002", "k % 5 = 2", E), ("PDFUA-TABLE-001", "k % 5 = 2", E), ("PDFUA-LIST-001", "k % 5 = 3", E),
+    ("PDFUA-HEADING-002", "k % 5 = 0", W), ("PDFUA-HEADING-003", "k % 5 = 0", W), ("PDFUA-PAGE-001", "tree and page and k % 4 > 0", E), ("PDFUA-PAGE-002", "tree and page and k % 2 > 0", E),
+    ("PDFUA-PARENTTREE-016", "tree and page and k % 4 = 0", E), ("PDFUA-MCID-001", "tree and page and k % 3 > 0 and k % 7 = 0", E), ("PDFUA-CONTENT-001", "tree and page and k % 3 = 0", E), ("PDFUA-ANNOT-001", "tree and page", E),
+    ("PDFUA-ANNOT-002", "tree and page and k % 2 = 1", E), ("PDFUA-ANNOT-004", "tree and page and (n % 8) & 3 <> 0", E), ("PDFUA-LINK-001", "tree and page and k % 3 = 0 and k % 9 > 0", E),
+]
+SHARED_ISSUES = [("PDF-PAGE-001", "not page", E), ("META-XMP-001", "k % 6 = 0", E), ("PDFA-FONT-002", "page and k % 2 = 1", E), ("FONT-UNICODE-001", "page and k % 3 > 0", E), ("VALIDATION-PROFILE", "true", "info")]
+A_ISSUES = [
+    ("PDFA-ENCRYPT-001", "k % 11 = 0", E), ("PDFA-VERSION-001", "k % 4 > 0", E), ("PDFA-OUTPUT-001", "k % 8 = 0", E), ("PDFA-OUTPUT-008", "k % 8 = 1", E), ("PDFA-OUTPUT-003", "k % 8 = 2", E), ("PDFA-OUTPUT-004", "k % 8 = 3", E),
+    ("PDFA-OUTPUT-006", "k % 8 = 4", E), ("PDFA-OUTPUT-007", "k % 8 in (3, 5)", E), ("PDFA-TAGGED-001", "not tree", E), ("PDFA-LANG-001", "k % 3 = 0", E), ("PDFA-METADATA-001", "k % 6 > 0 and k % 2 = 1", E), ("PDFA-XMP-EXT-001", "k % 6 > 0 and k % 4 = 1", E),
+    ("PDFA-ANNOT-001", "page and k % 3 = 1", E), ("PDFA-ANNOT-002", "page and (n % 8) & 4 = 0", E), ("PDFA-ANNOT-003", "page and (n % 8) & 3 <> 0", E), ("PDFA-ACTION-001", "page and k % 9 = 0", E),
+    ("PDFA-AF-001", "k % 10 = 0", E), ("PDFA-AF-002", "k % 10 = 0 and k % 30 > 0", E), ("PDFA-AF-007", "k % 10 = 0 and k % 20 > 0", E), ("PDFA-AF-012", "k % 10 = 0", E),
+]
+UA_ISSUES = [
+    ("PDFUA-VERSION-001", "k % 4 = 0", E), ("PDFUA-TAG-001", "not tree", E), ("PDFUA-MARKED-001", "k % 4 > 0", E), ("PDFUA-LANG-001", "k % 3 = 0", E), ("PDFUA-TITLE-003", "k % 5 > 0", E), ("PDFUA-METADATA-001", "k % 6 > 0 and k % 4 <> 1", E),
+    ("PDFUA-TITLE-001", "k % 6 > 0 and k % 7 = 0", E), ("PDFUA-TITLE-002", "k % 6 > 0 and k % 7 = 1", E), ("PDFUA-LANG-002", "k % 6 > 0 and k % 5 = 0", E), ("PDFUA-LANG-003", "k % 6 > 0 and k % 5 > 0 and k % 3 <> 1", E), ("PDFUA-LANG-004", "k % 6 > 0 and k % 3 = 2", E),
+]
+
+
+def audited(spark, sf_dir, profile: str) -> DataFrame:
+    from vellum.operators import conformance
+
+    found = conformance.validate(conformance.facts(audited_files(spark, sf_dir)), profile)
+    return found.groupBy("doc_id", "code", "severity").agg(F.count(F.lit(1)).alias("c"))
+
+
+@query(audit_sql(SHARED_ISSUES + A_ISSUES + STRUCTURE_ISSUES))
+def audit_archive(spark, sf_dir):
+    """Files against the strictest level of the first archive profile: catalog, intents, metadata, fonts, annotations, actions, files, tags."""
+    return audited(spark, sf_dir, "PDF/A-1A")
+
+
+@query(audit_sql(SHARED_ISSUES + UA_ISSUES + STRUCTURE_ISSUES))
+def audit_accessible(spark, sf_dir):
+    """The same files against the accessibility profile."""
+    return audited(spark, sf_dir, "PDF/UA-1")
+
+
+@query(audit_sql([("PDF-PAGE-001", "not page", E), ("VALIDATION-PROFILE", "true", "info")]))
+def audit_plain(spark, sf_dir):
+    """The same files against the file format alone."""
+    return audited(spark, sf_dir, "PDF 1.7")
