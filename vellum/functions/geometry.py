@@ -5,6 +5,7 @@ A rectangle is four columns or a struct of l, b, r, t. Function objects follow P
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -150,3 +151,54 @@ def hex_color(s: Column) -> Column:
     """Red, green and blue of six hex digits as shares of 255; a digit that is none counts as 0."""
     clean = F.regexp_replace(s, "[^0-9A-Fa-f]", "0")
     return F.array(*(F.conv(F.substring(clean, k, 2), 16, 10).cast("double") / 255.0 for k in (1, 3, 5)))
+
+
+def parsed_function(source: Column, x: Column) -> Column:
+    """A function given as a dictionary's text, at x: type 2 (exponential) or type 4 (a program in braces after the dictionary); others,
+    and what cannot be read, give null."""
+    @F.pandas_udf("array<double>")
+    def run(texts: pd.Series, at: pd.Series) -> pd.Series:
+        known = {t: function_of(t) for t in texts.dropna().unique()}
+        return pd.Series([None if t is None or known[t] is None else known[t](float(v)) for t, v in zip(texts, at, strict=True)])
+
+    return run(source, x)
+
+
+def function_of(text: str):
+    from vellum.sources.pdf import PdfError, parse
+
+    try:
+        head, end = parse(text.encode("latin-1"), 0)
+        low, high = (float(v) for v in head.get("Domain", [0, 1])[:2])
+        span = head.get("Range")
+        bound = lambda out: [min(max(v, span[2 * k]), span[2 * k + 1]) for k, v in enumerate(out)] if span else out
+        held = lambda v: min(max(v, low), high)
+        if head.get("FunctionType") == 2:
+            a, b, n = head.get("C0", [0.0]), head.get("C1", [1.0]), head["N"]
+            return lambda v: bound([float(p + held(v) ** n * (q - p)) for p, q in zip(a, b, strict=True)])
+        if head.get("FunctionType") == 4:
+            program = text[end:].replace("{", " ").replace("}", " ").split()
+            return lambda v: bound([float(r) for r in _program(program, [held(v)])])
+    except (PdfError, ValueError, KeyError, TypeError, AttributeError):
+        pass
+    return None
+
+
+def _program(program: list[str], stack: list[float]) -> list[float]:
+    two = {"add": lambda a, b: a + b, "sub": lambda a, b: a - b, "mul": lambda a, b: a * b, "div": lambda a, b: a / b, "exp": lambda a, b: a**b}
+    one = {"neg": lambda a: -a, "abs": abs, "sqrt": lambda a: a**0.5, "truncate": lambda a: float(int(a)), "floor": lambda a: a // 1, "ceiling": lambda a: -(-a // 1)}
+    for word in program:
+        if word in two:
+            b, a = stack.pop(), stack.pop()
+            stack.append(two[word](a, b))
+        elif word in one:
+            stack.append(one[word](stack.pop()))
+        elif word == "dup":
+            stack.append(stack[-1])
+        elif word == "exch":
+            stack[-1], stack[-2] = stack[-2], stack[-1]
+        elif word == "pop":
+            stack.pop()
+        else:
+            stack.append(float(word))
+    return stack

@@ -173,3 +173,8 @@ def escape_literal(s: Column) -> Column:
         return out.when((p < "20") | (p > "7E"), F.concat(F.lit("\\"), octal)).otherwise(F.decode(F.unhex(p), "UTF-8"))
 
     return F.concat(F.lit("("), F.array_join(F.transform(pairs, one), ""), F.lit(")"))
+
+
+def string_or_name(kind: Column, value: Column) -> Column:
+    """A dictionary's entry if it is a string or a name, else empty."""
+    return F.when(kind.isin("string", "name"), F.coalesce(value, F.lit(""))).otherwise(F.lit(""))

@@ -119,3 +119,17 @@ def search_filter(rows: DataFrame, columns: list[str], needle: str) -> DataFrame
     for c in columns:
         some = some | to_lower(F.coalesce(F.col(c).cast("string"), F.lit(""))).contains(fold_text(needle, True, False))
     return rows.where(some)
+
+
+def viewer_find(pages: DataFrame, pattern: str, start: Column, *, regex: bool = False, ignore_case: bool = True) -> DataFrame:
+    """The matches of a viewer that looks from page start on and goes round: turn is how many pages it turns to get to a match. In a
+    regular expression a dot takes line ends too; CR LF counts as one."""
+    plain = pages.withColumn("text", F.regexp_replace("text", "\r\n", "\n"))
+    found = matches(plain, f"(?s){pattern}" if regex else pattern, regex=regex, ignore_case=ignore_case, across_lines=regex)
+    count = pages.groupBy("doc_id").agg((F.max("page_index") + 1).alias("_n"))
+    return found.join(count, "doc_id").withColumn("turn", F.pmod(F.col("page_index") - start, F.col("_n"))).drop("_n")
+
+
+def index_statistics(pages: DataFrame) -> DataFrame:
+    """doc_id, pages, characters and bytes of the search texts: what an index of them would hold."""
+    return pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages"), F.sum(F.length("text")).alias("characters"), F.sum(F.octet_length("text")).alias("bytes"))

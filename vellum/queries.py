@@ -1143,3 +1143,192 @@ def audit_accessible(spark, sf_dir):
 def audit_plain(spark, sf_dir):
     """The same files against the file format alone."""
     return audited(spark, sf_dir, "PDF 1.7")
+
+
+# --- drawing, flowing text, bitmaps, files changed ------------------------------------------------------------------------------
+
+
+def sql_number(x: str) -> str:
+    return f"regexp_replace(({x})::decimal(18, 4)::varchar, '\\.?0+$', '')"
+
+
+def sql_command(op: str, *args: str) -> str:
+    return " || ' ' || ".join([*map(sql_number, args), f"'{op}'"])
+
+
+def sql_together(*parts: str) -> str:
+    return "(" + ") || chr(10) || (".join(parts) + ")"
+
+
+X, Y, R = "(p_size * 1.5)::double", "(p_partkey % 700)::double", "(p_size / 4.0)::double"
+KAPPA = "0.5522847498::double"
+CURVES = ((f"{X} + {R}", f"{Y} + {R} * {KAPPA}", f"{X} + {R} * {KAPPA}", f"{Y} + {R}", X, f"{Y} + {R}"), (f"{X} - {R} * {KAPPA}", f"{Y} + {R}", f"{X} - {R}", f"{Y} + {R} * {KAPPA}", f"{X} - {R}", Y), (f"{X} - {R}", f"{Y} - {R} * {KAPPA}", f"{X} - {R} * {KAPPA}", f"{Y} - {R}", X, f"{Y} - {R}"), (f"{X} + {R} * {KAPPA}", f"{Y} - {R}", f"{X} + {R}", f"{Y} - {R} * {KAPPA}", f"{X} + {R}", Y))
+SHAPES = sql_together("'q'", sql_command("rg", "0.5", "p_size / 50.0", "0"), sql_command("w", "1.25"), "'1 J'", "'0 j'", "'[3 2] 0 d'", sql_command("re", X, Y, "10", "20.5"), "'f'", sql_command("m", "0", "0"), sql_command("l", X, Y), "'S'", sql_command("m", f"{X} + {R}", Y), *(sql_command("c", *c) for c in CURVES), "'B'", "'Q'")
+
+
+@query(f"select p_partkey, {SHAPES} commands from part")
+def canvas_shapes(spark, sf_dir):
+    """Colours, line styles, rectangles, lines and circles as drawing commands."""
+    from vellum.functions import canvas
+
+    p = table(spark, sf_dir, "part")
+    x, y, r = F.col("p_size") * 1.5, (F.col("p_partkey") % 700).cast("double"), F.col("p_size") / 4.0
+    body = canvas.saved(canvas.fill_color(0.5, F.col("p_size") / 50.0, 0.0), canvas.line_style(1.25, cap=1, dash=(3.0, 2.0)), canvas.rectangle(x, y, 10.0, 20.5, "f"), canvas.line(0.0, 0.0, x, y), canvas.circle(x, y, r, "B"))
+    return p.select("p_partkey", body.alias("commands"))
+
+
+@query(f"select p_partkey, p_name as text, {X} x0, {Y} y, ['P'] marked, (p_partkey % 9)::int mcid, 9.5::double font_size from part")
+def canvas_text(spark, sf_dir):
+    """Text drawn within marks, an image and an artifact beside it, found again by the content reader."""
+    from vellum.functions import canvas
+    from vellum.sources import content
+
+    x, y = F.col("p_size") * 1.5, (F.col("p_partkey") % 700).cast("double")
+    body = canvas.together(canvas.artifact(canvas.rectangle(0.0, 0.0, 5.0, 5.0)), canvas.image("Im0", x, y, 10.0, 10.0), canvas.marked("P", F.col("p_partkey") % 9, canvas.text(x, y, 9.5, F.col("p_name"))))
+    p = table(spark, sf_dir, "part").select("p_partkey", F.encode(body, "UTF-8").alias("content"))
+    return content.content_chunks(p).select("p_partkey", "text", "x0", "y", "marked", "mcid", "font_size")
+
+
+@query("""with p as (select doc_id, ls, unnest(range(1, len(ls) + 1)) i from (select doc_id, string_split(coalesce(text, ''), chr(10)) ls from documents)),
+w as (select doc_id, i, list_filter(string_split(ls[i], ' '), lambda x: x <> '') ws from p),
+f as (select doc_id, i, case when len(ws) = 0 then [''] else string_split(list_reduce(ws, lambda a, x: case when length(regexp_extract(a, '[^\n]*$')) + 1 + length(x) <= 72 then a || ' ' || x else a || chr(10) || x end), chr(10)) end fl from w),
+l as (select doc_id, i, unnest(range(1, len(fl) + 1)) j, unnest(fl) t from f),
+n as (select doc_id, (row_number() over (partition by doc_id order by i, j) - 1)::int line_no, t as text from l)
+select doc_id, line_no, (line_no // 100)::int page_index, (line_no // 50 % 2)::int as column, line_no % 50 as row, text from n""")
+def flow_paragraphs(spark, sf_dir):
+    """Paragraphs wrapped to lines in two columns a page."""
+    from vellum.operators import flow
+
+    return flow.flow_paragraphs(docs_of(spark, sf_dir), 72, 50, 2)
+
+
+@query(f"with {TURNS} select doc_id, k page_index, 'conversation ' || doc_id as header, 'page ' || (k + 1) || ' of ' || n as footer from tn")
+def page_headers(spark, sf_dir):
+    """Headers and footers with page numbers."""
+    from vellum.operators import flow
+
+    t = turns_of(spark, sf_dir).select("doc_id", F.explode("t").alias("x")).select("doc_id", F.col("x.k").alias("page_index"))
+    return flow.headers_and_footers(t, F.concat(F.lit("conversation "), F.col("doc_id").cast("string")))
+
+
+@query("""with i as (select distinct l_orderkey doc_id, l_linenumber::int seq, (l_linenumber * 7 + l_orderkey) % 3 as level from lineitem),
+n as (select a.doc_id, a.seq, a.level, (select count(*) from i b where b.doc_id = a.doc_id and b.level = a.level and b.seq <= a.seq and not exists (select 1 from i c where c.doc_id = a.doc_id and c.level < a.level and c.seq > b.seq and c.seq <= a.seq)) as number from i a)
+select doc_id, seq, level, number::int number, case level when 0 then number || '.' when 1 then chr(96 + number::int) || '.' else ['i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii'][number] || '.' end label from n""")
+def nested_lists(spark, sf_dir):
+    """Items of three levels numbered anew after each item above them, in the levels' styles."""
+    from vellum.operators import flow
+
+    items = items_of(spark, sf_dir).select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("int").alias("seq"), ((F.col("l_linenumber") * 7 + F.col("l_orderkey")) % 3).alias("level")).distinct()
+    return flow.number_items(items).select("doc_id", "seq", "level", "number", "label")
+
+
+@query("""with c as (select c_nationkey doc_id, c_custkey, c_custkey::varchar as key, c_name as name, c_mktsegment as segment from customer),
+w as (select doc_id, greatest(max(length(key)), 3) a, greatest(max(length(name)), 4) b, greatest(max(length(segment)), 7) d from c group by doc_id),
+n as (select *, row_number() over (partition by doc_id order by c_custkey) - 1 n from c),
+r as (select doc_id, (n // 20)::int page_index, (n % 20 + 1)::int line, key, name, segment from n union all select distinct doc_id, (n // 20)::int, 0, 'key', 'name', 'segment' from n)
+select doc_id, page_index, line, rtrim(rpad(key, a::int, ' ') || ' | ' || rpad(name, b::int, ' ') || ' | ' || rpad(segment, d::int, ' ')) as text from r join w using (doc_id)""")
+def flow_tables(spark, sf_dir):
+    """A table a nation: columns as wide as their widest cell, pages of twenty rows under a repeated header."""
+    from vellum.operators import flow
+
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("doc_id"), F.col("c_custkey").alias("row"), F.col("c_custkey").cast("string").alias("key"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    return flow.flow_table(c, ["key", "name", "segment"], 20)
+
+
+def bitmaps_of(spark, sf_dir) -> DataFrame:
+    """A small bitmap a part: byte i is (31 k + 17 i) mod 256."""
+    k, w, h = F.col("p_partkey"), (F.col("p_size") % 7 + 1).cast("int"), (F.col("p_partkey") % 5 + 1).cast("int")
+    data = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), w * h * 3 - 1), lambda i: F.lpad(F.hex((k * 31 + i * 17) % 256), 2, "0")), ""))
+    return table(spark, sf_dir, "part").select("p_partkey", F.struct(w.alias("width"), h.alias("height"), data.alias("data")).alias("b"))
+
+
+BYTES = "b as (select p_partkey k, (p_size % 7 + 1)::int w, (p_partkey % 5 + 1)::int h from part), d as (select *, list_transform(range(w * h * 3), lambda i: ((k * 31 + i * 17) % 256)::int) v from b)"
+
+
+def sql_bytes(x: str) -> str:
+    return f"array_to_string(list_transform({x}, lambda y: printf('%02x', y)), '')"
+
+
+@query(f"with {BYTES} select k p_partkey, lower(hex(encode('P6' || chr(10) || w || ' ' || h || chr(10) || '255' || chr(10)))) || {sql_bytes('v')} ppm, {sql_bytes('v')} png, {sql_bytes('v')} bmp, (54 + h * ((3 * w + 3) // 4 * 4))::int bmp_size from d")
+def bitmap_encodings(spark, sf_dir):
+    """Bitmaps as PPM byte for byte, and through PNG and BMP and back."""
+    from vellum.functions import bitmaps
+
+    low = lambda c: F.lower(F.hex(c))
+    b = bitmaps_of(spark, sf_dir).withColumn("bmp", bitmaps.encode(F.col("b"), "bmp")).withColumn("png", bitmaps.encode(F.col("b"), "png"))
+    return b.select("p_partkey", low(bitmaps.encode(F.col("b"), "ppm")).alias("ppm"), low(bitmaps.decode(F.col("png"), "png")["data"]).alias("png"), low(bitmaps.decode(F.col("bmp"), "bmp")["data"]).alias("bmp"), F.length("bmp").alias("bmp_size"))
+
+
+PIXEL = "list_transform(range({n} * 3), lambda i: v[1 + 3 * ({at}) + i % 3])"
+
+
+@query(f"""with {BYTES} select k p_partkey, len(list_filter(range(w * h), lambda p: v[3 * p + 1] < 128 and v[3 * p + 2] < 128 and v[3 * p + 3] < 128))::bigint dark,
+{sql_bytes(PIXEL.format(n='w * h', at='(i // 3) // w * w + w - 1 - (i // 3) % w'))} mirrored, {sql_bytes(PIXEL.format(n='w * h', at='(h - 1 - (i // 3) // w) * w + (i // 3) % w'))} flipped,
+{sql_bytes(PIXEL.format(n='w * h', at='(h - 1 - (i // 3) % h) * w + (i // 3) // h'))} turned, {sql_bytes(PIXEL.format(n='4', at='((i // 3) // 2 * h // 2) * w + (i // 3) % 2 * w // 2'))} small,
+{sql_bytes('list_transform(range(w * h * 3), lambda i: floor((v[i + 1] / 255.0::double) * (v[w * h * 3 - i] / 255.0::double) * 255 + 0.5)::int)')} multiplied from d""")
+def bitmap_changes(spark, sf_dir):
+    """Dark pixels counted, bitmaps mirrored, flipped, turned, made small, and multiplied with their reverse."""
+    from vellum.functions import bitmaps
+
+    b, low = bitmaps_of(spark, sf_dir), lambda c: F.lower(F.hex(c))
+    made = lambda what, *args: low(bitmaps.change(F.col("b"), what, *args)["data"])
+    backwards = F.unhex(F.array_join(F.reverse(F.regexp_extract_all(F.hex("b.data"), F.lit("(..)"), F.lit(1))), ""))
+    return b.select("p_partkey", bitmaps.dark_pixels(F.col("b")).alias("dark"), made("flip_horizontal").alias("mirrored"), made("flip_vertical").alias("flipped"), made("rotate", 1).alias("turned"), made("resize", 2, 2).alias("small"), low(bitmaps.blended(F.col("b.data"), backwards, "Multiply")).alias("multiplied"))
+
+
+@query("select p_partkey, round(0.25 + power(least(1.0, p_size / 40.0), 2) * 0.5, 9) two, round(abs(least(1.0, p_size / 40.0) * 3 - 2), 9) four from part")
+def parsed_functions(spark, sf_dir):
+    """Functions of types 2 and 4 read from their dictionaries' texts."""
+    two, four = F.lit("<</FunctionType 2 /Domain [0 1] /C0 [0.25] /C1 [0.75] /N 2>>"), F.lit("<</FunctionType 4 /Domain [0 1] /Range [0 9]>> { 3 mul 2 sub abs }")
+    x = F.col("p_size") / 40.0
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(geo.parsed_function(two, x)[0], 9).alias("two"), F.round(geo.parsed_function(four, x)[0], 9).alias("four"))
+
+
+@query("select event_id, case when event_id % 3 < 2 then event_type else '' end v from events")
+def string_or_name(spark, sf_dir):
+    kind = F.element_at(F.array(F.lit("string"), F.lit("name"), F.lit("integer")), (F.col("event_id") % 3 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", st.string_or_name(kind, F.col("event_type")).alias("v"))
+
+
+@query(f"with {TURNS} select doc_id, k page_index, text, 0::bigint left_over from tn")
+def pdf_flatten(spark, sf_dir):
+    """Fields drawn into their pages: the values are page text, no widget is left."""
+    from vellum.sources import authoring, pdf
+
+    rows = over_turns(lambda x: {"name": F.concat(F.lit("f"), x["k"].cast("string")), "ft": F.lit("Tx"), "v": x["text"], "page": x["k"], "l": F.lit(10.0), "b": F.lit(10.0), "r": F.lit(90.0), "t": F.lit(24.0), "appearance": F.lit(True)})
+    flat = authoring.flatten(conversation_files(spark, sf_dir, fields=rows))
+    left = pdf.read_annotations(flat).groupBy("doc_id").agg(F.count("subtype").alias("n")).unionByName(pdf.read_fields(flat).groupBy("doc_id").agg(F.count("num").alias("n"))).groupBy("doc_id").agg(F.sum("n").alias("n"))
+    shown = pdf.read_chunks(flat).where("y < 20 and font_size > 9 and font_size < 10").select("doc_id", "page_index", "text")
+    return shown.join(left, "doc_id", "left").select("doc_id", "page_index", "text", F.coalesce("n", F.lit(0)).alias("left_over"))
+
+
+@query(f"with {TURNS} select doc_id, k page_index, 'DRAFT' as text, 72.0::double x0, 72.0::double y from tn")
+def pdf_stamps(spark, sf_dir):
+    """A stamp on every page of every file."""
+    from vellum.sources import authoring, pdf
+
+    return pdf.read_chunks(authoring.stamp(conversation_files(spark, sf_dir), "DRAFT")).where("font_size = 24").select("doc_id", "page_index", "text", "x0", "y")
+
+
+@query(f"with {TURNS}, f as (select doc_id, count(distinct role) filter (where k % 2 = 0) forms from tn group by doc_id) select doc_id, 'revised' title, n page_count, (4 + 2 * n + forms)::bigint objects from tn join f using (doc_id) where k = 0")
+def pdf_resave(spark, sf_dir):
+    """Files with a revision written anew: reachable objects under dense numbers, equal streams (the forms of one role) once."""
+    from vellum.sources import authoring, pdf
+
+    revised = authoring.revise(conversation_files(spark, sf_dir), lambda row, f: {f.trailer["Info"].num: {"Title": "revised"}, int(f.trailer["Size"]): {"Unused": True}})
+    again = authoring.resave(revised)
+    count = pdf.read_objects(again).groupBy("doc_id").agg(F.count("num").alias("objects"))
+    return pdf.read_documents(again).select("doc_id", "title", "page_count").join(count, "doc_id")
+
+
+@query(f"with {GRID}, {INDEX} select doc_id, count(*)::bigint pages, sum(length(t))::bigint characters, sum(strlen(t))::bigint bytes from tx group by doc_id")
+def search_statistics(spark, sf_dir):
+    """What a search index of all pages would hold."""
+    return search.index_statistics(search.search_text(search.spans(chunks_of(spark, sf_dir))))
+
+
+@query(f"with {GRID}, {INDEX}, {found_sql(LOW, 'ing')}, c as (select doc_id, max(page_index) + 1 n from tx group by doc_id) select doc_id, page_index, match_no, start, ((page_index - 1 + n) % n)::int turn from mt join c using (doc_id)")
+def search_from_page(spark, sf_dir):
+    """A viewer's search from the second page on, round to the first."""
+    found = search.viewer_find(search.search_text(search.spans(chunks_of(spark, sf_dir))), "ing", F.lit(1))
+    return found.select("doc_id", "page_index", "match_no", "start", F.col("turn").cast("int").alias("turn"))

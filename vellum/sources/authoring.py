@@ -294,3 +294,124 @@ def revise(files: DataFrame, change: Callable[[dict, File], dict[int, object]])
         return append_revision(row["content"], changed) if changed else row["content"]
 
     return _map_documents(files, build, keep)
+
+
+def _drawn(f: File, page: dict, refs: list, top: int) -> tuple[dict[int, object], list[Ref]]:
+    """The page with these annotations' appearances in its content and the annotations gone; a new stream from number top on."""
+    node = dict(page["node"])
+    resources = dict(f.get(page["resources"]) or {})
+    objects = dict(f.get(resources.get("XObject")) or {})
+    body, gone = b"", []
+    for k, ref in enumerate(refs):
+        a = f.get(ref)
+        n = f.part(a, "AP").get("N")
+        if isinstance(f.get(n), Stream):
+            l, b = (float(f.get(x)) for x in f.get(a["Rect"])[:2])
+            objects[f"Fl{k}"] = n
+            body += b"\nq 1 0 0 1 %g %g cm /Fl%d Do Q" % (l, b, k)
+            gone.append(ref)
+    contents = f.get(node.get("Contents"))
+    node["Contents"] = [*(contents if isinstance(contents, list) else [node["Contents"]] if "Contents" in node else []), Ref(top, 0)]
+    node["Resources"] = {**resources, "XObject": objects}
+    node["Annots"] = [x for x in f.get(node.get("Annots")) or [] if x not in gone]
+    return {page["num"]: node, top: Stream({}, body)}, gone
+
+
+def flatten(files: DataFrame, widgets: bool = True, others: bool = True) -> DataFrame:
+    """Appearances of form fields, of other annotations, or both drawn into the pages; what is drawn is no annotation or field any more."""
+
+    def change(row: dict, f: File) -> dict[int, object]:
+        changed, top, done = {}, int(f.trailer["Size"]), []
+        for page in f.pages():
+            refs = [r for r in f.get(page["node"].get("Annots")) or [] if isinstance(x := f.get(r), dict) and (widgets if x.get("Subtype") == "Widget" else others)]
+            if refs:
+                new, gone = _drawn(f, page, refs, top)
+                if gone:
+                    changed.update(new)
+                    done += gone
+                    top += 1
+        form = f.part(f.root, "AcroForm")
+        if form and done:
+            left = [x for x in f.get(form.get("Fields")) or [] if any(k not in done for k in leaves(f, x))]
+            changed[f.trailer["Root"].num] = {**f.root, "AcroForm": {**form, "Fields": left}}
+        return changed
+
+    return revise(files, change)
+
+
+def leaves(f: File, ref) -> list:
+    todo, out, seen = [ref], [], set()
+    while todo:
+        x = todo.pop()
+        if isinstance(x, Ref) and x in seen:
+            continue
+        seen.add(x)
+        kids = f.get((f.get(x) or {}).get("Kids")) if isinstance(f.get(x), dict) else None
+        if kids:
+            todo += kids
+        else:
+            out.append(x)
+    return out
+
+
+def stamp(files: DataFrame, text: str, x: float = 72, y: float = 72, size: float = 24) -> DataFrame:
+    """A text on every page, in a stream after its own."""
+    body = b"q BT /F1 %g Tf 1 0 0 1 %g %g Tm " % (size, x, y) + dump(text.encode("latin-1", "replace")) + b" Tj ET Q"
+
+    def change(row: dict, f: File) -> dict[int, object]:
+        top = int(f.trailer["Size"])
+        changed: dict[int, object] = {top: Stream({}, body)}
+        for page in f.pages():
+            contents = f.get(page["node"].get("Contents"))
+            own = contents if isinstance(contents, list) else [page["node"]["Contents"]] if "Contents" in page["node"] else []
+            changed[page["num"]] = {**page["node"], "Contents": [*own, Ref(top, 0)]}
+        return changed
+
+    return revise(files, change)
+
+
+def resave(files: DataFrame, deduplicate: bool = True) -> DataFrame:
+    """Files written anew: what the trailer reaches, breadth first, under dense numbers; equal streams once."""
+    keep = [c for c in files.columns if c != "content"]
+
+    def build(row: dict) -> bytes:
+        f = File(row["content"])
+        found, order, first = {}, [], {}
+        todo = [x for x in f.trailer.values() if isinstance(x, Ref)]
+        while todo:
+            ahead = []
+            for ref in todo:
+                if ref in found:
+                    continue
+                x = f.get(ref)
+                key = (dump(x.head), x.raw) if deduplicate and isinstance(x, Stream) else None
+                if key is not None and key in first:
+                    found[ref] = found[first[key]]
+                    continue
+                if key is not None:
+                    first[key] = ref
+                found[ref] = len(order) + 1
+                order.append(x)
+                ahead += references(x)
+            todo = ahead
+        objects = {k + 1: renumbered(x, found) for k, x in enumerate(order)}
+        return assemble(objects, renumbered({k: v for k, v in f.trailer.items() if k in ("Root", "Info", "ID")}, found), f.version)
+
+    return _map_documents(files, build, keep)
+
+
+def references(x) -> list[Ref]:
+    if isinstance(x, Ref):
+        return [x]
+    parts = x.head.values() if isinstance(x, Stream) else x.values() if isinstance(x, dict) else x if isinstance(x, list) else ()
+    return [r for p in parts for r in references(p)]
+
+
+def renumbered(x, numbers: dict[Ref, int]):
+    if isinstance(x, Ref):
+        return Ref(numbers[x], 0) if x in numbers else None
+    if isinstance(x, Stream):
+        return Stream(renumbered(x.head, numbers), x.raw)
+    if isinstance(x, dict):
+        return {k: renumbered(v, numbers) for k, v in x.items()}
+    return [renumbered(v, numbers) for v in x] if isinstance(x, list) else x
