@@ -99,13 +99,15 @@ def multipliers(cells: DataFrame, sides: dict[int, float], cap: float = CAP, hol
     def look(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Gradient and Schur complement at b."""
         w = tilted(cells, dict(zip(keys, b.tolist(), strict=True)), cap)
-        w = w.withColumn("all", F.sum("free").over(Window.partitionBy("g0")))
-        own = w.groupBy(F.col("k1").alias("i"), F.lit(-1).alias("j")).agg(F.sum(F.col("n") * F.col("rate")).alias("m"), F.sum("free").alias("f"))
-        pairs = w.where("free > 0").groupBy("g0").agg(F.collect_list(F.struct("k1", "free")).alias("x"), F.max("all").alias("all"))
-        pairs = pairs.select("all", F.explode("x").alias("i"), "x").select("all", "i", F.explode("x").alias("j"))
-        cross = pairs.groupBy(F.col("i.k1").alias("i"), F.col("j.k1").alias("j")).agg(F.sum(F.col("i.free") * F.col("j.free") / F.col("all")).alias("m"), F.lit(0.0).alias("f"))
+        # a source's cells side by side give its part of both sums, the languages' own (j = -1) and those of pairs
+        x = w.groupBy("g0").agg(F.collect_list(F.struct("k1", "n", "rate", "free")).alias("x"), F.sum("free").alias("all"))
+        entry = lambda i, j, m, f: F.struct(i.alias("i"), j.alias("j"), m.alias("m"), f.alias("f"))
+        own = F.transform("x", lambda c: entry(c["k1"], F.lit(-1), c["n"] * c["rate"], c["free"]))
+        live_cells = F.filter("x", lambda c: c["free"] > 0)
+        cross = F.flatten(F.transform(live_cells, lambda c: F.transform(live_cells, lambda d: entry(c["k1"], d["k1"], c["free"] * d["free"] / F.col("all"), F.lit(0.0)))))
+        sums = x.select(F.inline(F.concat(own, cross))).groupBy("i", "j").agg(F.sum("m").alias("m"), F.sum("f").alias("f"))
         mass, hess = np.zeros(len(keys)), np.diag(want / hold)
-        for r in own.union(cross).collect():
+        for r in sums.collect():
             i = at[r["i"]]
             if r["j"] < 0:
                 mass[i] = r["m"]
