@@ -61,9 +61,12 @@ def duplicate(pages: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def merge(pages: DataFrame, target: Column) -> DataFrame:
-    """Documents of one target become one, in the order of their ids: target, new_index, doc_id, page_index."""
-    merged = pages.withColumn("target", target)
-    return merged.withColumn("new_index", F.row_number().over(Window.partitionBy("target").orderBy("doc_id", "page_index")) - 1)
+    """Documents of one target become one, in the order of their ids: target, new_index, doc_id, page_index. Documents are counted
+    first and only their counts are put in order, so a target of many pages is no one task's work (pages are 0 to n - 1)."""
+    keyed = pages.withColumn("target", target)
+    counts = keyed.groupBy("target", "doc_id").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("target").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    return keyed.join(counts.select("target", "doc_id", before.alias("_before")), ["target", "doc_id"]).withColumn("new_index", (F.col("_before") + F.col("page_index")).cast("int")).drop("_before")
 
 
 def rename_conflicts(fields: DataFrame) -> DataFrame:
@@ -92,11 +95,14 @@ def apply_edits(edits: DataFrame) -> DataFrame:
 
 
 def labels(pages: DataFrame, ranges: DataFrame) -> DataFrame:
-    """As-of lookup: each page's label from the range (doc_id, first_page, style, prefix, start_number) that starts last at or before it."""
+    """As-of lookup: each page's label from the range (doc_id, first_page, style, prefix, start_number) that starts last at or before it.
+    Pages and ranges run in one order by document; the last range met is the page's."""
     from vellum.functions.strings import alphabetic, roman
 
-    found = pages.join(ranges, "doc_id").where("first_page <= page_index")
-    best = found.groupBy("doc_id", "page_index").agg(F.max_by(F.struct("first_page", "style", "prefix", "start_number"), "first_page").alias("r"))
+    rows = pages.select("doc_id", "page_index", F.lit(1).alias("_page"), F.lit(None).cast("struct<first_page:int,style:string,prefix:string,start_number:int>").alias("r"))
+    heads = ranges.select("doc_id", F.col("first_page").cast("int").alias("page_index"), F.lit(0).alias("_page"), F.struct(F.col("first_page").cast("int").alias("first_page"), "style", "prefix", F.col("start_number").cast("int").alias("start_number")).alias("r"))
+    order = Window.partitionBy("doc_id").orderBy("page_index", "_page").rowsBetween(Window.unboundedPreceding, 0)
+    best = rows.unionByName(heads).withColumn("r", F.last("r", ignorenulls=True).over(order)).where("_page = 1 and r is not null")
     n = F.col("page_index") - F.col("r.first_page") + F.col("r.start_number")
     body = F.when(F.col("r.style") == "D", n.cast("string")).when(F.col("r.style") == "R", roman(n)).when(F.col("r.style") == "r", F.lower(roman(n))).when(F.col("r.style") == "A", alphabetic(n)).when(F.col("r.style") == "a", F.lower(alphabetic(n))).otherwise("")
     return best.select("doc_id", "page_index", F.concat(F.coalesce("r.prefix", F.lit("")), body).alias("label"))

@@ -2,8 +2,7 @@
 
 A page's search text runs its chunks together; a newline (a barrier) stands between chunks that are not connected: centres
 over ``line_tolerance`` apart, or a gap over ``max_gap``. A match may not hold a barrier unless asked for. Offsets are code points;
-rectangles cut a chunk's box in proportion to UTF-8 bytes. Geometry joins matches and chunks on a bucket of offsets, so a page's
-matches are not paired with all its chunks.
+rectangles cut a chunk's box in proportion to UTF-8 bytes. A page is gathered into one row, where its text, matches and boxes are found.
 """
 
 from __future__ import annotations
@@ -15,8 +14,8 @@ from vellum.functions import geometry
 from vellum.functions.strings import remove_diacritics, to_lower
 from vellum.operators.layout import PAGE
 
-BUCKET = 64
-
+#: chunks to a stretch
+STEP = 24
 
 def spans(chunks: DataFrame, line_tolerance: float = 2.0, max_gap: float = 6.0) -> DataFrame:
     """Chunks that are not empty with barrier (one before it) and start, stop in the page's search text."""
@@ -39,37 +38,41 @@ def literal(s: str) -> str:
     return "\\Q" + s.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
-def matches(pages: DataFrame, pattern: str, *, regex: bool = False, ignore_case: bool = True, ignore_accents: bool = False, across_lines: bool = False, most: int = 0) -> DataFrame:
-    """doc_id, page_index, match_no (from 0), start, stop, matched: leftmost, not overlapping. most: at most so many a page (0: all)."""
+def _matches(pattern: str, *, regex: bool = False, ignore_case: bool = True, ignore_accents: bool = False, across_lines: bool = False, most: int = 0) -> Column:
+    """The matches in a page's text as an array of match_no, start, stop and matched, in one pass: the pieces between the matches
+    and the matches themselves give all places."""
     if not pattern:
         raise ValueError("an empty keyword")
     fold = (lambda c: to_lower(c)) if ignore_case else (lambda c: c)
     plain = (lambda c: remove_diacritics(fold(c))) if ignore_accents else fold
     if regex:
-        java = ("(?i)" if ignore_case else "") + pattern
-        hay = F.col("text")
+        java, hay = ("(?i)" if ignore_case else "") + pattern, F.col("text")
+        sizes = F.transform(F.regexp_extract_all(hay, F.lit(f"({java})"), F.lit(1)), lambda m: F.length(m))
     else:
-        needle = pattern
-        if ignore_case or ignore_accents:
-            needle = fold_text(pattern, ignore_case, ignore_accents)
+        needle = fold_text(pattern, ignore_case, ignore_accents) if ignore_case or ignore_accents else pattern
         java, hay = literal(needle), plain(F.col("text"))
-    # pieces between matches and the matches themselves give all offsets, in one pass over the text
-    found = F.regexp_extract_all(hay, F.lit(f"({java})"), F.lit(1)) if regex else None
-    parts = F.split(hay, java, -1)
-    base = pages.select(*PAGE, F.col("text"), parts.alias("parts"), *([found.alias("found")] if regex else []))
-    ends = F.size("parts") - 1
-    rows = base.where(ends > 0).select(*PAGE, "text", F.posexplode(F.slice("parts", F.lit(1), ends)).alias("k", "part"), *(["found"] if regex else []))
-    size = F.length(F.col("found")[F.col("k")]) if regex else F.lit(len(needle))
-    rows = rows.withColumn("size", size)
-    page = Window.partitionBy(*PAGE).orderBy("k")
-    rows = rows.withColumn("stop", F.sum(F.length("part") + F.col("size")).over(page.rowsBetween(Window.unboundedPreceding, 0))).withColumn("start", F.col("stop") - F.col("size"))
-    rows = rows.withColumn("matched", F.col("text").substr(F.col("start") + 1, F.col("size"))).where("size > 0")
-    if not across_lines:
-        rows = rows.where(~F.col("matched").contains("\n"))
-    rows = rows.withColumn("match_no", F.row_number().over(page) - 1)
-    if most:
-        rows = rows.where(F.col("match_no") < most)
-    return rows.select(*PAGE, "match_no", "start", "stop", "matched")
+        sizes = None
+    lengths = F.transform(F.split(hay, java, -1), lambda x: F.length(x))
+    gaps = F.slice(lengths, F.lit(1), F.size(lengths) - 1)
+    pairs = F.arrays_zip(gaps.alias("gap"), sizes.alias("size")) if regex else F.transform(gaps, lambda g: F.struct(g.alias("gap"), F.lit(len(needle)).alias("size")))
+    none = F.array().cast("array<struct<start:bigint,stop:bigint>>")
+
+    def step(s: Column, p: Column) -> Column:
+        start = (s["at"] + p["gap"]).cast("bigint")
+        stop = (start + p["size"]).cast("bigint")
+        return F.struct(stop.alias("at"), F.concat(s["out"], F.array(F.struct(start.alias("start"), stop.alias("stop")))).alias("out"))
+
+    places = F.aggregate(pairs, F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("out")), step, lambda s: s["out"])
+    text = F.transform(places, lambda p: F.struct(p["start"].alias("start"), p["stop"].alias("stop"), F.col("text").substr((p["start"] + 1).cast("int"), (p["stop"] - p["start"]).cast("int")).alias("matched")))
+    good = F.filter(text, lambda m: (m["stop"] > m["start"]) & (F.lit(across_lines) | ~m["matched"].contains("\n")))
+    good = F.slice(good, 1, most) if most else good
+    return F.transform(good, lambda m, k: F.struct(k.alias("match_no"), m["start"].alias("start"), m["stop"].alias("stop"), m["matched"].alias("matched")))
+
+
+def matches(pages: DataFrame, pattern: str, **options) -> DataFrame:
+    """doc_id, page_index, match_no (from 0), start, stop, matched: leftmost, not overlapping. Options: regex, ignore_case, ignore_accents,
+    across_lines, and most, at most so many a page (0: all)."""
+    return pages.select(*PAGE, F.inline(_matches(pattern, **options)))
 
 
 def fold_text(s: str, case: bool, accents: bool) -> str:
@@ -82,25 +85,46 @@ def fold_text(s: str, case: bool, accents: bool) -> str:
     return s
 
 
+def _overlap(start: Column, stop: Column) -> Column:
+    """A page's chunks (_c, by their starts) that share characters with a match: (chunk_index, the box of the shared part). The starts of
+    every ``STEP``-th chunk (_b) tell which stretch of them to look at."""
+    first = F.greatest(F.size(F.filter("_b", lambda b: b <= start)), F.lit(1))
+    last = F.size(F.filter("_b", lambda b: b < stop))
+    own = F.filter(F.slice("_c", (first - 1) * STEP + 1, (F.greatest(last, first) - first + 1) * STEP), lambda c: (c["start"] < stop) & (start < c["stop"]))
+
+    def part(c: Column) -> Column:
+        total = F.octet_length(c["text"])
+        share = lambda k: F.octet_length(c["text"].substr(F.lit(1), k)) / total
+        a, b = share(F.greatest(start, c["start"]) - c["start"]), share(F.least(stop, c["stop"]) - c["start"])
+        wide = geometry.width(c["bbox"])
+        return F.struct(c["chunk_index"].alias("chunk_index"), geometry.rect(c["bbox"]["l"] + wide * a, c["bbox"]["b"], c["bbox"]["l"] + wide * b, c["bbox"]["t"]).alias("rect"))
+
+    return F.transform(own, part)
+
+
 def with_geometry(found: DataFrame, spanned: DataFrame) -> DataFrame:
-    """Matches with first_chunk, last_chunk, n_rects and bbox."""
-    bucket = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / BUCKET), F.floor((F.col(b) - 1) / BUCKET)))
-    m = found.withColumn("bucket", bucket("start", "stop"))
-    c = spanned.select(*PAGE, "chunk_index", F.col("text").alias("chunk"), "bbox", F.col("start").alias("c0"), F.col("stop").alias("c1")).withColumn("bucket", bucket("c0", "c1"))
-    # a pair may meet in several buckets; it counts in the first they share
-    pairs = m.join(c, [*PAGE, "bucket"]).where("start < c1 and c0 < stop").where(F.col("bucket") == F.floor(F.greatest("start", "c0") / BUCKET))
-    total = F.octet_length("chunk")
-    share = lambda k: F.octet_length(F.col("chunk").substr(F.lit(1), k)) / total
-    a, b = share(F.greatest("start", "c0") - F.col("c0")), share(F.least("stop", "c1") - F.col("c0"))
-    wide = geometry.width(F.col("bbox"))
-    box = geometry.rect(F.col("bbox")["l"] + wide * a, F.col("bbox")["b"], F.col("bbox")["l"] + wide * b, F.col("bbox")["t"])
-    return pairs.withColumn("rect", box).groupBy(*PAGE, "match_no", "start", "stop", "matched").agg(F.min("chunk_index").alias("first_chunk"), F.max("chunk_index").alias("last_chunk"), F.count(F.lit(1)).alias("n_rects"), geometry.union_of(F.col("rect")).alias("bbox"))
+    """Matches with first_chunk, last_chunk, n_rects and bbox. A page's chunks and matches meet in one row each, which is where both are
+    grouped already; nothing is paired but a match and the chunks it touches."""
+    chunks = spanned.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("chunk_index", "text", "bbox", "start", "stop"))).alias("_c"))
+    own = found.groupBy(*PAGE).agg(F.collect_list(F.struct("match_no", "start", "stop", "matched")).alias("_m"))
+    return _placed(own.join(chunks, list(PAGE)))
+
+
+def _placed(pages: DataFrame) -> DataFrame:
+    """pages: doc_id, page_index, _c (chunks in order), _m (matches)."""
+    pages = pages.withColumn("_b", F.transform(F.sequence(F.lit(0), F.size("_c") - 1, F.lit(STEP)), lambda i: F.get("_c", i)["start"]))
+    rows = F.transform("_m", lambda m: F.struct(m["match_no"].alias("match_no"), m["start"].alias("start"), m["stop"].alias("stop"), m["matched"].alias("matched"), _overlap(m["start"], m["stop"]).alias("_r")))
+    r = lambda k, f: f(F.transform("_r", lambda x: x["rect"][k])).alias(k)
+    box = F.struct(r("l", F.array_min), r("b", F.array_min), r("r", F.array_max), r("t", F.array_max))
+    index = F.transform("_r", lambda x: x["chunk_index"])
+    return pages.select(*PAGE, F.inline(rows)).where(F.size("_r") > 0).select(*PAGE, "match_no", "start", "stop", "matched", F.array_min(index).alias("first_chunk"), F.array_max(index).alias("last_chunk"), F.size("_r").cast("bigint").alias("n_rects"), box.alias("bbox"))
 
 
 def find(chunks: DataFrame, pattern: str, **options) -> DataFrame:
-    """Matches with geometry from chunks."""
-    spanned = spans(chunks)
-    return with_geometry(matches(search_text(spanned), pattern, **options), spanned)
+    """Matches with geometry from chunks: each page's chunks are gathered once, and give its text, its matches and their boxes."""
+    gathered = spans(chunks).groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("chunk_index", "text", "bbox", "barrier", "start", "stop"))).alias("_c"))
+    pages = gathered.select(*PAGE, "_c", F.array_join(F.transform("_c", lambda c: F.when(c["barrier"], F.concat(F.lit("\n"), c["text"])).otherwise(c["text"])), "").alias("text"))
+    return _placed(pages.select(*PAGE, "_c", _matches(pattern, **options).alias("_m")))
 
 
 def in_region(found: DataFrame, region: Column) -> DataFrame:
