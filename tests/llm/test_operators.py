@@ -134,6 +134,29 @@ def test_suffix_dedup_long_texts_in_pieces(spark):
     assert got[1]["n_removed"] == 0
 
 
+def test_hot_pieces_do_not_make_large_shards(spark, monkeypatch):
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(8))
+    shared = " ".join(word() for _ in range(30))
+    # one piece of 12 bytes every 40 bytes of all rows, with other bytes around it
+    rows = [(i, "".join(f"{word()}{word()}{word()}THE HOT ONE!" for _ in range(60)) + (shared if i % 2 else ""), "en", "a") for i in range(60)]
+    piece = suffixes.Block(0, np.frombuffer(b"THE HOT ONE!", np.uint8), np.array([0, 12])).prefix()
+    key = (piece[12:] - piece[:-12]) * suffixes.power("down", 1)
+    monkeypatch.setattr(suffixes, "SAMPLE_EVERY", 2)
+    monkeypatch.setattr(suffixes, "HOT_SHARDS", 0.2)
+    texts = frame(spark, rows).select("doc_id", "text", (F.col("doc_id") % 20).cast("int").alias("chunk"))
+    hot = suffixes.hot_pieces(texts, 50, 20, sum(len(x[1]) for x in rows))
+    text = np.frombuffer(rows[0][1].encode(), np.uint8)
+    prefix = suffixes.Block(0, text, np.array([0, len(text)])).prefix()
+    share = lambda h: np.unique(suffixes.least_piece(prefix, 12, 50, h), return_counts=True)[1].max() / (len(text) - 49)
+    forced = np.sort(np.append(hot, key).astype(np.uint64))
+    assert share(forced) < 0.05 and len(hot) <= suffixes.MOST_HOT
+    # whichever pieces are hot, the same bytes go
+    assert rows_of(suffixes.digest(suffixes.suffix_dedup(frame(spark, rows)))) == suffix_dedup(rows)
+    monkeypatch.setattr(suffixes, "hot_pieces", lambda *a: forced)
+    assert rows_of(suffixes.digest(suffixes.suffix_dedup(frame(spark, rows)))) == suffix_dedup(rows)
+
+
 def test_suffix_array_sorts(monkeypatch):
     r = np.random.default_rng(0)
     for trial in range(200):

@@ -5,7 +5,8 @@ Windows are the length-byte strings of a document; a document is earlier than an
 1. Anchors. Each window is keyed by the least hash of its 24-byte pieces, so equal windows have equal keys. ``sharing``
    tells each chunk of documents which keys other documents hold; windows with other keys cannot repeat and need no sorting.
 2. Shards. The windows left are cut into segments (runs of windows that agree in the least hash of their 12-byte pieces) and
-   dealt to shards by that hash, so equal windows meet. A chunk sends each distinct segment once, with its earliest document:
+   dealt to shards by that hash, so equal windows meet. Pieces that are found in very many places (``hot_pieces``) come after all
+   others, so they deal only windows that hold nothing else. A chunk sends each distinct segment once, with its earliest document:
    a passage that every document holds costs one entry a chunk.
 3. Suffix arrays. A shard sorts the suffixes of its distinct segments by induced sorting (``induced_sort``) and computes the
    permuted common prefixes: lengths carry from a position to the next, minus one. Neighbours that share length bytes
@@ -36,6 +37,8 @@ from vellum.llm.textblock import BLOCK_BYTES, Block, U, blocks, cut, mix, power
 LENGTH = 50
 ANCHOR, SHARD_PIECE = 24, 12
 CHUNK_TEXT, BUCKET_TEXT, SHARD_TEXT = 4 << 20, 16 << 20, 4 << 20
+#: when a piece counts as hot, how many there may be, and of how many chunks one is looked at
+HOT_SHARDS, MOST_HOT, SAMPLE_EVERY = 4, 20_000, 16
 #: distinct text in one suffix array
 ARRAY_TEXT = 250_000
 LAST = np.iinfo(np.int64).max
@@ -45,10 +48,13 @@ FOUND = "chunk int, shard int, segment binary, start binary, windows binary, ear
 FOUND_NAMES = ["chunk", "shard", "segment", "start", "windows", "earliest"]
 
 
-def least_piece(prefix: np.ndarray, piece: int, length: int) -> np.ndarray:
-    """For each window the least hash of its pieces of this size, by doubling."""
+def least_piece(prefix: np.ndarray, piece: int, length: int, hot: np.ndarray | None = None) -> np.ndarray:
+    """For each window the least hash of its pieces of this size, by doubling; hot (hashes in order): pieces that come after all others."""
     n = len(prefix) - piece
     h = (prefix[piece:] - prefix[:-piece]) * power("down", n)
+    if hot is not None and len(hot):
+        is_hot = hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h
+        h = (h >> U(1)) | (is_hot.astype(U) << U(63))
     size, want = 1, length - piece + 1
     while size * 2 <= want:
         h = np.minimum(h[:-size], h[size:])
@@ -133,7 +139,7 @@ class Segments:
     earliest: np.ndarray
 
 
-def cut_segments(chunk: Chunk, level: np.ndarray, length: int, n_shards: int) -> Segments:
+def cut_segments(chunk: Chunk, level: np.ndarray, length: int, n_shards: int, hot: np.ndarray) -> Segments:
     out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, U)], [np.zeros(0, U)]]
     for at, block, first, run, size, good, anchor, prefix in chunk.parts:
         hold = good.copy()
@@ -141,7 +147,7 @@ def cut_segments(chunk: Chunk, level: np.ndarray, length: int, n_shards: int) ->
         p = np.flatnonzero(np.repeat(hold, size))
         if not len(p):
             continue
-        key = least_piece(prefix, SHARD_PIECE, length)[p]
+        key = least_piece(prefix, SHARD_PIECE, length, hot)[p]
         start = np.flatnonzero(np.concatenate([[True], (np.diff(p) != 1) | (key[1:] != key[:-1])]))
         s, n = p[start], np.diff(np.append(start, len(p)))
         for x, v in zip(out, (s + at, n, chunk.ids[first + np.searchsorted(block.offs, s, "right") - 1], cut(prefix, s, s + n + length - 1), mix(key[start])), strict=True):
@@ -177,10 +183,10 @@ def send_keys(length: int, n_buckets: int):
     return run
 
 
-def send_segments(length: int, n_buckets: int, n_shards: int):
+def send_segments(length: int, n_buckets: int, n_shards: int, hot: np.ndarray):
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         chunk = read_chunk(left, length, True)
-        g = cut_segments(chunk, levels_of(chunk, right, n_buckets), length, n_shards)
+        g = cut_segments(chunk, levels_of(chunk, right, n_buckets), length, n_shards, hot)
         full, at = np.unique(g.shard, return_index=True)
         end = np.append(at[1:], len(g.shard))[: len(at)]
         rows = list(zip(at.tolist(), end.tolist(), strict=True))
@@ -303,10 +309,10 @@ def removed_bytes(chunk: Chunk, g: Segments, side: pa.Table, length: int) -> np.
     return np.cumsum(edge)[:-1] > 0
 
 
-def apply(length: int, n_buckets: int, n_shards: int):
+def apply(length: int, n_buckets: int, n_shards: int, hot: np.ndarray):
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         chunk = read_chunk(left, length, True)
-        g = cut_segments(chunk, levels_of(chunk, right, n_buckets), length, n_shards)
+        g = cut_segments(chunk, levels_of(chunk, right, n_buckets), length, n_shards, hot)
         gone = removed_bytes(chunk, g, right, length)
         opens = gone.copy()
         opens[1:] &= ~gone[:-1]
@@ -335,6 +341,36 @@ def apply(length: int, n_buckets: int, n_shards: int):
     return run
 
 
+def count_pieces(length: int, least: float):
+    """A chunk's pieces that are the least of at least so many windows, with their numbers."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        keys, counts = [np.zeros(0, U)], [np.zeros(0, np.int64)]
+        for _, block, _ in pieces(table.column("text").combine_chunks(), length):
+            k, n = np.unique(least_piece(block.prefix(), SHARD_PIECE, length), return_counts=True)
+            keys.append(k)
+            counts.append(n)
+        k, at = np.unique(np.concatenate(keys), return_inverse=True)
+        n = np.bincount(at, weights=np.concatenate(counts), minlength=len(k)).astype(np.int64)
+        full = n >= least
+        return pa.table([pa.array(k[full].view(np.int64)), pa.array(n[full])], names=["piece", "n"])
+
+    return run
+
+
+def hot_pieces(texts: DataFrame, length: int, n_chunks: int, total: int) -> np.ndarray:
+    """Pieces that would deal more than ``HOT_SHARDS`` shards' text to one shard, as estimated from some chunks; at most ``MOST_HOT``,
+    for each takes at least that share of the text. They only tell how windows are dealt, not what is found."""
+    heavy = max(HOT_SHARDS * SHARD_TEXT, total / MOST_HOT)
+    if total <= heavy:
+        return np.zeros(0, U)
+    every = max(SAMPLE_EVERY, n_chunks // 64)
+    share = heavy / total
+    counts = texts.where(F.col("chunk") % every == 0).groupBy("chunk").applyInArrow(count_pieces(length, share * CHUNK_TEXT / 4), "piece bigint, n bigint")
+    found = counts.groupBy("piece").agg(F.sum("n").alias("n")).where(F.col("n") >= share * CHUNK_TEXT * (-(-n_chunks // every))).select("piece").collect()
+    return np.sort(np.array([r["piece"] for r in found], np.int64).view(U))
+
+
 def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """One row a document: doc_id, n_bytes, n_removed, the removed spans (byte offsets) and the SHA-256 of what is kept.
     length: at least ANCHOR + 1 bytes."""
@@ -343,10 +379,11 @@ def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), sharing.chunk_of(n_chunks, id_col, text_col).alias("chunk"))
     by_chunk = texts.groupBy("chunk")
     replies = sharing.shared(by_chunk.applyInArrow(send_keys(length, n_buckets), sharing.MESSAGE))
-    sent = by_chunk.cogroup(replies.groupBy("chunk")).applyInArrow(send_segments(length, n_buckets, n_shards), SENT)
+    hot = hot_pieces(texts, length, n_chunks, total)
+    sent = by_chunk.cogroup(replies.groupBy("chunk")).applyInArrow(send_segments(length, n_buckets, n_shards, hot), SENT)
     found = sent.groupBy("shard").applyInArrow(sort_shard(length), FOUND)
     side = replies.unionByName(found, allowMissingColumns=True)
-    return by_chunk.cogroup(side.groupBy("chunk")).applyInArrow(apply(length, n_buckets, n_shards), RESULT)
+    return by_chunk.cogroup(side.groupBy("chunk")).applyInArrow(apply(length, n_buckets, n_shards, hot), RESULT)
 
 
 def digest(result: DataFrame) -> DataFrame:
