@@ -38,7 +38,8 @@ def split_round(sums: DataFrame, depth: int, limit: int) -> DataFrame:
     full = depth + STRIDE
     level = sums.withColumn("d", F.explode(F.sequence(F.lit(depth), F.lit(full)))).withColumn("prefix", F.expr(f"shiftright(cell, {full} - d)"))
     buckets = level.groupBy("stem", "d", "prefix").agg(F.sum("bytes").alias("b"), F.sum("rows").alias("n")).where((F.col("b") <= limit) | (F.col("n") == 1))
-    best = level.select("stem", "cell", "d", "prefix").join(buckets, ["stem", "d", "prefix"]).groupBy("stem", "cell").agg(F.min_by(F.struct("d", "prefix", "b", "n"), "d").alias("s"))
+    # cells times depths are no table to broadcast, small as the cells' files look
+    best = level.select("stem", "cell", "d", "prefix").join(buckets.hint("merge"), ["stem", "d", "prefix"]).groupBy("stem", "cell").agg(F.min_by(F.struct("d", "prefix", "b", "n"), "d").alias("s"))
     return sums.select("stem", "cell").join(best, ["stem", "cell"], "left").select("stem", "cell", F.col("s.d").alias("depth"), F.col("s.prefix").alias("prefix"), F.col("s.b").alias("shard_bytes"), F.col("s.n").alias("shard_rows"))
 
 
