@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import bitmaps, codecs, geometry
 from vellum.operators import conformance, flow
-from vellum.sources import authoring, cmap, content, datasource, pdf, security
+from vellum.sources import authoring, cmap, content, datasource, pdf, render, security
 
 NAME, REF = pdf.Name, lambda n: pdf.Ref(n, 0)
 SMALL = {1: {"Type": NAME("Catalog"), "Pages": REF(2)}, 2: {"Type": NAME("Pages"), "Kids": [REF(3)], "Count": 1}, 3: {"Type": NAME("Page"), "Parent": REF(2), "MediaBox": [0, 0, 100, 100], "Contents": REF(4)}, 4: pdf.Stream({}, b"BT /F1 10 Tf (plain) Tj ET"), 5: {"Title": "tïtle"}}
@@ -185,3 +185,25 @@ def test_images_inline_and_in_forms():
     root = g.add({"Type": NAME("Catalog"), "Pages": g.add({"Type": NAME("Pages"), "Kids": [page], "Count": 1})})
     got = list(pdf.File(pdf.assemble(g.objects, {"Root": root})).images())
     assert [(x[2], x[4], x[5], x[9], x[11]) for x in got] == [("Page", 1, 1, [1.0, 1.0, 5.0, 5.0], b"A"), ("Form1", 2, 1, got[1][9], raw)]
+
+
+def rendered(body: bytes, box=(20, 20), smooth: int = 1) -> np.ndarray:
+    f = pdf.File(pdf.build([body], "", box))
+    return render.render_page(f, next(f.pages()), 72, smooth)
+
+
+def test_rendering():
+    dark = lambda body, **o: int((rendered(body, **o) < 128).all(axis=2).sum())
+    assert rendered(b"", (10.2, 20)).shape == (20, 11, 3) and dark(b"2 3 4 5 re f") == 20
+    # the first row is the top of the page
+    assert (rendered(b"0 19 1 1 re f")[0, 0] == 0).all() and (rendered(b"1 0 0 rg 0 0 1 1 re f")[19, 0] == [255, 0, 0]).all()
+    both = b"2 2 10 10 re 4 4 4 4 re "
+    assert dark(both + b"f") == 100 and dark(both + b"f*") == 84
+    assert dark(b"2 2 10 10 re 4 8 m 8 8 l 8 4 l 4 4 l h f") == 84  # an inner path the other way round
+    assert dark(b"5 5 2 2 re W n 0 0 20 20 re f") == 4 and dark(b"q 5 5 2 2 re W n Q 0 0 3 3 re f") == 9
+    assert dark(b"4 w 2 10 m 12 10 l S") == 40 and dark(b"0 w 2 10 m 12 10 l S") == 10
+    disc = sum((i - 9.5) ** 2 + (j - 9.5) ** 2 < 64 for i in range(20) for j in range(20))
+    assert abs(dark(b"18 10 m 18 14.4 14.4 18 10 18 c 5.6 18 2 14.4 2 10 c 2 5.6 5.6 2 10 2 c 14.4 2 18 5.6 18 10 c f") - disc) <= 4
+    assert dark(b"0 1 -1 0 20 0 cm 2 3 4 5 re f") == 20 and dark(b"0 0 5 5 re f 1 g 0 0 3 3 re f") == 16
+    half = rendered(b"0 0 1.5 20 re f", smooth=2)
+    assert half.shape == (20, 20, 3) and half[5, 0, 0] == 0 and 120 < half[5, 1, 0] < 135

@@ -1332,3 +1332,51 @@ def search_from_page(spark, sf_dir):
     """A viewer's search from the second page on, round to the first."""
     found = search.viewer_find(search.search_text(search.spans(chunks_of(spark, sf_dir))), "ing", F.lit(1))
     return found.select("doc_id", "page_index", "match_no", "start", F.col("turn").cast("int").alias("turn"))
+
+
+@query("select s_suppkey doc_id, 0 page_index, 612 width, 792 height, ((20 + s_suppkey % 7) * 30 - 100 + 1200 + 100 + 200 + 50)::bigint dark from supplier")
+def render_pages(spark, sf_dir):
+    """Pages rendered at one pixel a point: a light rectangle over a dark one, a ring by the even-odd rule, a clip, a wide line, an image;
+    dark pixels counted."""
+    from vellum.functions import bitmaps, canvas
+    from vellum.sources import authoring, render
+
+    k = F.col("s_suppkey")
+    x, y = (k % 50 + 10).cast("double"), (k % 90 + 20).cast("double")
+    body = canvas.together(
+        canvas.rectangle(x, y, (k % 7 + 20).cast("double"), 30.0, "f"), canvas.saved(canvas.fill_color(0.9, 0.9, 0.9), canvas.rectangle(x + 10, y + 5, 10.0, 10.0, "f")),
+        canvas.command("re", 200.0, 200.0, 40.0, 40.0), canvas.rectangle(210.0, 210.0, 20.0, 20.0, "f*"),
+        canvas.saved(canvas.rectangle(300.0, 300.0, 10.0, 10.0, "W n"), canvas.rectangle(290.0, 290.0, 100.0, 100.0, "f")),
+        canvas.line_style(4.0), canvas.line(100.0, 500.0, 150.0, 500.0),
+    )
+    image = F.struct(F.lit(0).alias("page"), F.lit(2).alias("width"), F.lit(1).alias("height"), F.lit("DeviceGray").alias("space"), F.unhex(F.lit("00FF")).alias("data"), F.lit(400.0).alias("l"), F.lit(600.0).alias("b"), F.lit(410.0).alias("r"), F.lit(610.0).alias("t"))
+    files = authoring.write_documents(table(spark, sf_dir, "supplier").select(k.alias("doc_id"), F.array(F.struct(body.alias("content"))).alias("pages"), F.array(image).alias("images")))
+    p = render.render_pages(files, 72)
+    return p.select("doc_id", "page_index", "width", "height", bitmaps.dark_pixels(F.struct("width", "height", "data")).alias("dark"))
+
+
+@query(f"with {TURNS} select doc_id, k page_index, 'F1' as name, 'Type1' subtype, 'Helvetica' base_font, '' encoding, null::varchar program, false to_unicode, 0 first_char, 256 widths, 128000.0::double total from tn")
+def pdf_fonts(spark, sf_dir):
+    """The fonts of pages with their widths."""
+    from vellum.sources import pdf
+
+    total = F.aggregate("widths", F.lit(0.0), lambda a, x: a + x).alias("total")
+    return pdf.read_fonts(conversation_files(spark, sf_dir)).select("doc_id", "page_index", "name", "subtype", "base_font", "encoding", "program", "to_unicode", "first_char", F.size("widths").alias("widths"), total)
+
+
+@query(f"with {TURNS} select doc_id, encrypted, case when encrypted then -60 else -1 end permissions, 'conversation ' || doc_id title, n page_count from tn, lateral (values (true), (false)) v(encrypted) where k = 0")
+def pdf_protection(spark, sf_dir):
+    """Files put under passwords, and taken from under them again."""
+    from vellum.sources import authoring, pdf
+
+    shut = authoring.protect(conversation_files(spark, sf_dir), "u", "o", permissions=-60)
+    both = pdf.read_documents(shut, pdf.Limits(password=b"u")).unionByName(pdf.read_documents(authoring.unprotect(shut, "o")))
+    return both.where("authenticated").select("doc_id", "encrypted", "permissions", "title", "page_count")
+
+
+@query(f"with {TURNS} select doc_id, 'me' as name, true signed, 'digest_matches' status from tn where k = 0")
+def pdf_signing(spark, sf_dir):
+    """Signatures added to files in a revision."""
+    from vellum.sources import authoring, pdf
+
+    return pdf.read_signatures(authoring.sign(conversation_files(spark, sf_dir), "me")).select("doc_id", "name", "signed", "status")

@@ -1,7 +1,7 @@
 """The readers as a Python data source: ``spark.read.format("vellum_pdf").option("table", "pages").load(path)``.
 
 Options: path (a file, folder or glob that all executors see), table (documents, objects, xref, trailer, pages, events, chunks, outlines,
-labels, annotations, fields, signatures, images, embedded, xmp), password, and the reader's limits by name (depth, pages, forms, objects,
+labels, annotations, fields, signatures, images, embedded, fonts, xmp), password, and the reader's limits by name (depth, pages, forms, objects,
 file_bytes, stream_bytes, header_bytes, tail_bytes, header_drift, recover, strict). Files are dealt to partitions by size. Where files
 are in a store that only Spark reads, ``pdf.read_files`` and the functions on rows of bytes do the same.
 """
@@ -31,7 +31,7 @@ TABLES = {
     "events": (f"page_index int, scope string, {content.EVENT}, error string", lambda f: ((p["page_index"], *e) for p in f.pages() for e in f.events(p["content"], p["resources"]))),
     "chunks": (f"page_index int, {content.FLAT}, error string", lambda f: ((p["page_index"], k, *c) for p in f.pages() for k, c in enumerate(f.chunks(p["content"], p["resources"])))),
     "outlines": (pdf.OUTLINE, pdf.File.outlines), "labels": (pdf.LABEL, pdf.File.labels), "annotations": (pdf.ANNOTATION, pdf.File.annotations), "fields": (pdf.FIELD, pdf.File.fields),
-    "signatures": (pdf.SIGNATURE, pdf.File.signatures), "images": (pdf.IMAGE, pdf.File.images), "embedded": (pdf.EMBEDDED, pdf.File.files),
+    "signatures": (pdf.SIGNATURE, pdf.File.signatures), "images": (pdf.IMAGE, pdf.File.images), "embedded": (pdf.EMBEDDED, pdf.File.files), "fonts": (pdf.FONT, pdf.File.fonts),
     "xmp": ("xmp binary, error string", lambda f: ((x,) for x in [f.xmp()] if x is not None)),
 }
 

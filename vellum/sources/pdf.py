@@ -567,6 +567,20 @@ class File:
                 box = [f(c[i] for c in corners) for f, i in ((min, 0), (min, 1), (max, 0), (max, 1))]
                 yield p["page_index"], k, where, name, int(self.get(d.get("Width", 0))), int(self.get(d.get("Height", 0))), int(self.get(d.get("BitsPerComponent", 1))), str(space[0] if isinstance(space, list) and space else space or ""), filters, box, "SMask" in d, raw
 
+    def fonts(self) -> Iterator[tuple]:
+        """(page, resource name, subtype, base font, encoding, embedded, map to Unicode, first code, widths) of each page's fonts."""
+        for p in self.pages():
+            for name, ref in sorted(self.part(p["resources"], "Font").items()):
+                d = self.get(ref)
+                if not isinstance(d, dict):
+                    continue
+                inner = self.get((self.get(d.get("DescendantFonts")) or [None])[0])
+                holder = self.part(d, "FontDescriptor") or self.part(inner, "FontDescriptor")
+                encoding = self.get(d.get("Encoding"))
+                widths = [float(self.get(x)) for x in self.get(d.get("Widths")) or []]
+                program = next((k for k in ("FontFile", "FontFile2", "FontFile3") if isinstance(self.get(holder.get(k)), Stream)), None)
+                yield p["page_index"], name, self.text(d.get("Subtype")), self.text(d.get("BaseFont")), self.text(encoding.get("BaseEncoding") if isinstance(encoding, dict) else encoding), program, isinstance(self.get(d.get("ToUnicode")), Stream), int(self.get(d.get("FirstChar", 0))), widths
+
     def files(self) -> Iterator[tuple]:
         """(name, MIME type, relationship, size, bytes) of the embedded files' name tree."""
         todo, seen = [self.part(self.root, "Names").get("EmbeddedFiles")], set()
@@ -617,6 +631,7 @@ ANNOTATION = "page_index int, ordinal int, num int, subtype string, rect array<d
 FIELD = "num int, parent int, partial string, ft string, ff int, v string, options array<string>, widget boolean, page_index int, error string"
 SIGNATURE = "field string, signed boolean, byte_range array<bigint>, contents binary, filter string, sub_filter string, name string, reason string, digest string, stated_digest binary, status string, error string"
 IMAGE = "page_index int, ordinal int, scope string, name string, width int, height int, bits int, color_space string, filters array<string>, box array<double>, has_mask boolean, data binary, error string"
+FONT = "page_index int, name string, subtype string, base_font string, encoding string, program string, to_unicode boolean, first_char int, widths array<double>, error string"
 EMBEDDED = "name string, mime string, relationship string, n_bytes bigint, data binary, error string"
 
 
@@ -658,6 +673,7 @@ read_fields = reader(FIELD, lambda f: f.fields())
 read_signatures = reader(SIGNATURE, lambda f: f.signatures())
 read_images = reader(IMAGE, lambda f: f.images())
 read_embedded = reader(EMBEDDED, lambda f: f.files())
+read_fonts = reader(FONT, lambda f: f.fonts())
 read_events = reader(f"page_index int, scope string, {EVENT}, error string", lambda f: ((p["page_index"], *e) for p in f.pages() for e in f.events(p["content"], p["resources"])))
 
 
