@@ -134,6 +134,20 @@ def test_suffix_dedup_long_texts_in_pieces(spark):
     assert got[1]["n_removed"] == 0
 
 
+@pytest.mark.parametrize("operator", ["ngram", "suffix"])
+def test_messages_in_two_steps(spark, monkeypatch, operator):
+    monkeypatch.setattr(suffixes.sharing, "ONE_LEVEL", 2)
+    monkeypatch.setattr(suffixes, "CHUNK_TEXT", 3000)
+    monkeypatch.setattr(suffixes, "BUCKET_TEXT", 6000)
+    monkeypatch.setattr(ngram_join, "BUCKET_TEXT", 6000)
+    monkeypatch.setattr(ngram_join.sharing, "CHUNK_BYTES", 3000)
+    assert suffixes.sharing.split(300_000, 6000) == (50, 8)
+    if operator == "ngram":
+        assert rows_of(ngram_join.digest(ngram_join.ngram_join(frame(spark, ROWS)))) == components(ROWS)
+    else:
+        assert rows_of(suffixes.digest(suffixes.suffix_dedup(frame(spark, ROWS)))) == suffix_dedup(ROWS)
+
+
 def test_hot_pieces_do_not_make_large_shards(spark, monkeypatch):
     r = random.Random(12)
     word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(8))

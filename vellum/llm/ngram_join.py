@@ -86,10 +86,10 @@ def distinct(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return u, n > 1
 
 
-def send(n_buckets: int):
+def send(split: sharing.Split):
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         _, sets = chosen_sets(left, set(right.column("node").to_pylist()))
-        return sharing.messages(key[0].as_py(), *distinct(sets), n_buckets)
+        return sharing.messages(key[0].as_py(), *distinct(sets), split)
 
     return run
 
@@ -102,12 +102,12 @@ def needed(n: int) -> int:
     return -(-PERCENT * n // 100)
 
 
-def select(n_buckets: int):
+def select(split: sharing.Split):
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         nodes = right.column("node").to_pylist()
         names, sets = chosen_sets(left, {x for x in nodes if x is not None})
         u, _ = distinct(sets)
-        level = sharing.levels(u, ((b, d) for x, b, d in zip(nodes, right.column("bucket").to_pylist(), right.column("reply").to_pylist(), strict=True) if x is None), n_buckets)
+        level = sharing.levels(u, ((b, d) for x, b, d in zip(nodes, right.column("bucket").to_pylist(), right.column("reply").to_pylist(), strict=True) if x is None), split)
         out: list[tuple] = []
         for node, s in zip(names, sets, strict=True):
             own = level[np.searchsorted(u, s)]
@@ -124,14 +124,14 @@ def select(n_buckets: int):
 
 def candidates(docs: DataFrame, classes: DataFrame, total: int) -> DataFrame:
     """Steps 1 and 2: the rows that may link. docs: text, chunk; classes: node and chunk of its first document."""
-    n_buckets = chunks_for(total, BUCKET_TEXT)
+    split = sharing.split(total, BUCKET_TEXT)
     texts = docs.select("chunk", "text")
     asked = classes.select("chunk", "node")
-    sent = texts.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(send(n_buckets), sharing.MESSAGE)
-    replies = sharing.shared(sent)
+    sent = texts.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(send(split), sharing.MESSAGE)
+    replies = sharing.shared(sent, split)
     side = asked.select("chunk", "node", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("reply"))
     side = side.unionByName(replies.select("chunk", F.lit(None).cast("bigint").alias("node"), "bucket", "reply"))
-    return texts.groupBy("chunk").cogroup(side.groupBy("chunk")).applyInArrow(select(n_buckets), CANDIDATE)
+    return texts.groupBy("chunk").cogroup(side.groupBy("chunk")).applyInArrow(select(split), CANDIDATE)
 
 
 def linked(pairs: DataFrame, rows: DataFrame) -> DataFrame:

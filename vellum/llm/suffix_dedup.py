@@ -170,23 +170,23 @@ def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - np.cumsum(size) + size, size) + np.arange(total)
 
 
-def levels_of(chunk: Chunk, side: pa.Table, n_buckets: int) -> np.ndarray:
+def levels_of(chunk: Chunk, side: pa.Table, split: sharing.Split) -> np.ndarray:
     rows = zip(side.column("bucket").to_pylist(), side.column("reply"), strict=True)
-    return sharing.levels(chunk.keys, ((b, r.as_buffer()) for b, r in rows if b is not None), n_buckets)
+    return sharing.levels(chunk.keys, ((b, r.as_buffer()) for b, r in rows if b is not None), split)
 
 
-def send_keys(length: int, n_buckets: int):
+def send_keys(length: int, split: sharing.Split):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         chunk = read_chunk(table, length, False)
-        return sharing.messages(key[0].as_py(), chunk.keys, chunk.many, n_buckets)
+        return sharing.messages(key[0].as_py(), chunk.keys, chunk.many, split)
 
     return run
 
 
-def send_segments(length: int, n_buckets: int, n_shards: int, hot: np.ndarray):
+def send_segments(length: int, split: sharing.Split, n_shards: int, hot: np.ndarray):
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         chunk = read_chunk(left, length, True)
-        g = cut_segments(chunk, levels_of(chunk, right, n_buckets), length, n_shards, hot)
+        g = cut_segments(chunk, levels_of(chunk, right, split), length, n_shards, hot)
         full, at = np.unique(g.shard, return_index=True)
         end = np.append(at[1:], len(g.shard))[: len(at)]
         rows = list(zip(at.tolist(), end.tolist(), strict=True))
@@ -309,10 +309,10 @@ def removed_bytes(chunk: Chunk, g: Segments, side: pa.Table, length: int) -> np.
     return np.cumsum(edge)[:-1] > 0
 
 
-def apply(length: int, n_buckets: int, n_shards: int, hot: np.ndarray):
+def apply(length: int, split: sharing.Split, n_shards: int, hot: np.ndarray):
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         chunk = read_chunk(left, length, True)
-        g = cut_segments(chunk, levels_of(chunk, right, n_buckets), length, n_shards, hot)
+        g = cut_segments(chunk, levels_of(chunk, right, split), length, n_shards, hot)
         gone = removed_bytes(chunk, g, right, length)
         opens = gone.copy()
         opens[1:] &= ~gone[:-1]
@@ -375,15 +375,15 @@ def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """One row a document: doc_id, n_bytes, n_removed, the removed spans (byte offsets) and the SHA-256 of what is kept.
     length: at least ANCHOR + 1 bytes."""
     n_rows, total = text_bytes(docs, text_col)
-    n_chunks, n_buckets, n_shards = chunks_for(total + 64 * n_rows, CHUNK_TEXT), chunks_for(total, BUCKET_TEXT), chunks_for(total, SHARD_TEXT)
+    n_chunks, n_shards, split = chunks_for(total + 64 * n_rows, CHUNK_TEXT), chunks_for(total, SHARD_TEXT), sharing.split(total, BUCKET_TEXT)
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), sharing.chunk_of(n_chunks, id_col, text_col).alias("chunk"))
     by_chunk = texts.groupBy("chunk")
-    replies = sharing.shared(by_chunk.applyInArrow(send_keys(length, n_buckets), sharing.MESSAGE))
+    replies = sharing.shared(by_chunk.applyInArrow(send_keys(length, split), sharing.MESSAGE), split)
     hot = hot_pieces(texts, length, n_chunks, total)
-    sent = by_chunk.cogroup(replies.groupBy("chunk")).applyInArrow(send_segments(length, n_buckets, n_shards, hot), SENT)
+    sent = by_chunk.cogroup(replies.groupBy("chunk")).applyInArrow(send_segments(length, split, n_shards, hot), SENT)
     found = sent.groupBy("shard").applyInArrow(sort_shard(length), FOUND)
     side = replies.unionByName(found, allowMissingColumns=True)
-    return by_chunk.cogroup(side.groupBy("chunk")).applyInArrow(apply(length, n_buckets, n_shards, hot), RESULT)
+    return by_chunk.cogroup(side.groupBy("chunk")).applyInArrow(apply(length, split, n_shards, hot), RESULT)
 
 
 def digest(result: DataFrame) -> DataFrame:
