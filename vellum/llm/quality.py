@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.tables import free
+from vellum.llm.tables import free, written
 from vellum.llm.textblock import LOWER, NOT_SPACE, Block, blocks, cut, words
 
 SAMPLE, SAMPLE_TOTAL_LINES = 3000, 600_000
@@ -289,6 +289,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     id_type = own.schema["id"].dataType.simpleString()
     # the sample is bounded, so it may be broadcast; of a repeated id the text with the least hash counts
     rows = own.join(F.broadcast(known), F.col("id") == F.col("i")).groupBy("id").agg(F.min_by(F.struct("y", "t"), F.xxhash64("t")).alias("x")).select(F.col("id").alias("_id"), F.col("x.y").alias("_y"), F.col("x.t").alias("t"))
+    rows = written(rows, "sample")
     # whole documents in hash order, up to the one with which the lines are enough
     n = F.coalesce(F.length("t") - F.length(F.replace("t", F.lit("\n"), F.lit(""))), F.lit(0)) + 1
     sizes = rows.select("_id", n.alias("n")).orderBy(F.xxhash64("_id"), "_id").collect()
