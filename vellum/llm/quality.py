@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.tables import free, written
+from vellum.llm.tables import free
 from vellum.llm.textblock import LOWER, NOT_SPACE, Block, blocks, cut, words
 
 SAMPLE, SAMPLE_TOTAL_LINES = 3000, 600_000
@@ -289,7 +289,6 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     id_type = own.schema["id"].dataType.simpleString()
     # the sample is bounded, so it may be broadcast; of a repeated id the text with the least hash counts
     rows = own.join(F.broadcast(known), F.col("id") == F.col("i")).groupBy("id").agg(F.min_by(F.struct("y", "t"), F.xxhash64("t")).alias("x")).select(F.col("id").alias("_id"), F.col("x.y").alias("_y"), F.col("x.t").alias("t"))
-    rows = written(rows, "sample")
     # whole documents in hash order, up to the one with which the lines are enough
     n = F.coalesce(F.length("t") - F.length(F.replace("t", F.lit("\n"), F.lit(""))), F.lit(0)) + 1
     sizes = rows.select("_id", n.alias("n")).orderBy(F.xxhash64("_id"), "_id").collect()
@@ -300,15 +299,13 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [[], [], []]
-            for block in blocks(batch.column("t")):
+            # features go out block by block, so none wait for a whole batch
+            for block in blocks(batch.column("t"), PIECE_BYTES):
                 x, size, first = line_features(block)
-                for k in range(block.n):
-                    a, b = first[k], first[k + 1]
-                    out[0].append(x[a:b].astype(np.float32).tobytes())
-                    out[1].append(size[a:b].tobytes())
-                    out[2].append(int(b - a))
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_y"), pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int32())], names=["_id", "_y", "x", "s", "n"])
+                x = x.astype(np.float32)
+                spans = list(zip(first[:-1].tolist(), first[1:].tolist(), strict=True))
+                part = batch.slice(block.first, block.n)
+                yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("_y"), pa.array([x[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([size[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([b - a for a, b in spans], pa.int32())], names=["_id", "_y", "x", "s", "n"])
 
     got = {r["_id"]: r for r in rows.mapInArrow(run, f"_id {id_type}, _y int, x binary, s binary, n int").toLocalIterator()}
     got = [got[k] for k in sorted(got)]
