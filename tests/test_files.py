@@ -6,9 +6,11 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from vellum import queries
 from vellum.functions import bitmaps, codecs, geometry
 from vellum.operators import conformance, flow
 from vellum.sources import authoring, cmap, content, datasource, pdf, render, security
@@ -207,3 +209,37 @@ def test_rendering():
     assert dark(b"0 1 -1 0 20 0 cm 2 3 4 5 re f") == 20 and dark(b"0 0 5 5 re f 1 g 0 0 3 3 re f") == 16
     half = rendered(b"0 0 1.5 20 re f", smooth=2)
     assert half.shape == (20, 20, 3) and half[5, 0, 0] == 0 and 120 < half[5, 1, 0] < 135
+
+
+def test_small_tables_give_files_on_all_cores(spark, tmp_path):
+    parts = [(k, 7, f"part {k}") for k in range(400)]
+    spark.createDataFrame(parts, "p_partkey bigint, p_size int, p_name string").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    files = queries.audited_files(spark, str(tmp_path))
+    # (partition, rows) of the files: one partition held them all before
+    held = files.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert sum(x["count"] for x in held) == 400 and len(held) >= 4 * spark.sparkContext.defaultParallelism
+    assert max(x["count"] for x in held) < 60
+
+
+def test_arrays_of_whole_numbers():
+    for text, want in ((b"[1 -2 +3]", [1, -2, 3]), (b"[ 1\n2 0 R 3]", [1, pdf.Ref(2, 0), 3]), (b"[1 2.5]", [1, 2.5]), (b"[]", []), (b"[1 [2]3]", [1, [2], 3]), (b"[12/A]", [12, "A"]), (b"[7%x\n8]", [7, 8])):
+        assert pdf.parse(text, 0) == (want, len(text))
+    assert pdf.dump([1, -2]) == b"[1 -2]" and pdf.dump([True, 1]) == b"[true 1]"
+
+
+def test_bitmaps_leave_in_small_batches(spark):
+    # 20 pages of 1,000 by 1,000 points, 3 MB each: all of them went out in one batch before
+    data = pdf.build([b"0 0 10 10 re f"], "", (1000, 1000))
+    files = spark.createDataFrame([(k, data) for k in range(20)], "doc_id int, content binary").coalesce(1)
+
+    class Kept:
+        columns, sparkSession, select = files.columns, spark, files.select
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    run = render.render_pages(Kept(), 72)
+    out = list(run([pa.RecordBatch.from_pylist([{"doc_id": k, "content": data} for k in range(20)])]))
+    assert sum(b.num_rows for b in out) == 20 and max(b.nbytes for b in out) < 10e6
+    inked = render.render_pages(files, 72, measures={"dark": bitmaps.count_dark}).collect()
+    assert [(x["page_index"], x["width"], x["dark"], x["error"]) for x in inked] == [(0, 1000, 100, None)] * 20
