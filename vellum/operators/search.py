@@ -2,36 +2,68 @@
 
 A page's search text runs its chunks together; a newline (a barrier) stands between chunks that are not connected: centres
 over ``line_tolerance`` apart, or a gap over ``max_gap``. A match may not hold a barrier unless asked for. Offsets are code points;
-rectangles cut a chunk's box in proportion to UTF-8 bytes. A page is gathered into one row, where its text, matches and boxes are found.
+rectangles cut a chunk's box in proportion to UTF-8 bytes. A page is one row, where its text, matches and boxes are found.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import geometry
 from vellum.functions.strings import remove_diacritics, to_lower
-from vellum.operators.layout import PAGE
+from vellum.plans.paged import PAGE, Chunks, Paged, before, glue, lists, paged, starts
 
 #: chunks to a stretch
 STEP = 24
 
-def spans(chunks: DataFrame, line_tolerance: float = 2.0, max_gap: float = 6.0) -> DataFrame:
-    """Chunks that are not empty with barrier (one before it) and start, stop in the page's search text."""
-    order = Window.partitionBy(*PAGE).orderBy("chunk_index")
-    before = F.lag("bbox").over(order)
-    apart = F.abs((before["b"] + before["t"]) / 2 - (F.col("bbox")["b"] + F.col("bbox")["t"]) / 2) > line_tolerance
-    far = F.col("bbox")["l"] - before["r"] > max_gap
-    marked = chunks.where("text <> ''").withColumn("barrier", F.coalesce(apart | far, F.lit(False)))
-    stop = F.sum(F.length("text") + F.col("barrier").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return marked.withColumn("stop", stop).withColumn("start", F.col("stop") - F.length("text"))
 
+@dataclass(frozen=True)
+class Spans:
+    """Chunks with what parts them in a page's search text; the texts and places are made a block of pages at a time."""
+
+    chunks: Paged
+    line_tolerance: float = 2.0
+    max_gap: float = 6.0
+
+    def map(self, make: Callable[..., list[pa.Array]], columns: str) -> DataFrame:
+        """make gets what cut gives."""
+        line_tolerance, max_gap = self.line_tolerance, self.max_gap
+        return self.chunks.map(lambda c: make(*cut(c, line_tolerance, max_gap)), columns)
+
+
+def cut(c: Chunks, line_tolerance: float, max_gap: float) -> tuple[Chunks, pa.Array, np.ndarray, np.ndarray]:
+    """Chunks that are not empty, their texts with the barrier before, and where they start and stop in the page's search text."""
+    c = c.where(pc.fill_null(pc.not_equal(c.text, ""), False).to_numpy(zero_copy_only=False))
+    n, first = c.n, starts(c.page)
+    middle = (n["b"] + n["t"]) / 2
+    barrier = (np.abs(before(middle, first) - middle) > line_tolerance) | (n["l"] - before(n["r"], first) > max_gap)
+    text = pc.binary_join_element_wise(pa.array(["", "\n"]).take(pa.array(barrier.astype(np.int8))), c.text, "")
+    stop = np.cumsum(pc.utf8_length(c.text).to_numpy().astype(np.int64) + barrier)
+    at = np.flatnonzero(first)
+    stop -= np.repeat(np.append(0, stop)[at], np.diff(np.append(at, len(first))))
+    return c, text, stop - pc.utf8_length(c.text).to_numpy(), stop
+
+
+def spans(chunks: DataFrame | Paged, line_tolerance: float = 2.0, max_gap: float = 6.0) -> Spans:
+    """Chunks by the page with the distances that part them."""
+    return Spans(paged(chunks), line_tolerance, max_gap)
 
-def search_text(spanned: DataFrame) -> DataFrame:
+
+def search_text(spanned: Spans) -> DataFrame:
     """doc_id, page_index, text."""
-    piece = F.when(F.col("barrier"), F.concat(F.lit("\n"), "text")).otherwise(F.col("text"))
-    return spanned.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("chunk_index", piece.alias("t")))).alias("p")).select(*PAGE, F.array_join(F.transform("p", lambda x: x["t"]), "").alias("text"))
+
+    def make(c: Chunks, text: pa.Array, *_) -> list:
+        top = starts(c.page)
+        return [*c.of_pages(c.page[top]), glue(text, top)]
+
+    return spanned.map(make, "text string")
 
 
 def literal(s: str) -> str:
@@ -102,14 +134,6 @@ def _overlap(start: Column, stop: Column) -> Column:
     return F.transform(own, part)
 
 
-def with_geometry(found: DataFrame, spanned: DataFrame) -> DataFrame:
-    """Matches with first_chunk, last_chunk, n_rects and bbox. A page's chunks and matches meet in one row each, which is where both are
-    grouped already; nothing is paired but a match and the chunks it touches."""
-    chunks = spanned.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("chunk_index", "text", "bbox", "start", "stop"))).alias("_c"))
-    own = found.groupBy(*PAGE).agg(F.collect_list(F.struct("match_no", "start", "stop", "matched")).alias("_m"))
-    return _placed(own.join(chunks, list(PAGE)))
-
-
 def _placed(pages: DataFrame) -> DataFrame:
     """pages: doc_id, page_index, _c (chunks in order), _m (matches)."""
     pages = pages.withColumn("_b", F.transform(F.sequence(F.lit(0), F.size("_c") - 1, F.lit(STEP)), lambda i: F.get("_c", i)["start"]))
@@ -120,10 +144,16 @@ def _placed(pages: DataFrame) -> DataFrame:
     return pages.select(*PAGE, F.inline(rows)).where(F.size("_r") > 0).select(*PAGE, "match_no", "start", "stop", "matched", F.array_min(index).alias("first_chunk"), F.array_max(index).alias("last_chunk"), F.size("_r").cast("bigint").alias("n_rects"), box.alias("bbox"))
 
 
-def find(chunks: DataFrame, pattern: str, **options) -> DataFrame:
-    """Matches with geometry from chunks: each page's chunks are gathered once, and give its text, its matches and their boxes."""
-    gathered = spans(chunks).groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("chunk_index", "text", "bbox", "barrier", "start", "stop"))).alias("_c"))
-    pages = gathered.select(*PAGE, "_c", F.array_join(F.transform("_c", lambda c: F.when(c["barrier"], F.concat(F.lit("\n"), c["text"])).otherwise(c["text"])), "").alias("text"))
+def find(chunks: DataFrame | Paged, pattern: str, **options) -> DataFrame:
+    """Matches with geometry from chunks: each page's chunks are one row, and give its text, its matches and their boxes."""
+
+    def make(c: Chunks, text: pa.Array, start: np.ndarray, stop: np.ndarray) -> list:
+        top = starts(c.page)
+        box = pa.StructArray.from_arrays([pa.array(c.n[k], pa.float64()) for k in "lbrt"], names=list("lbrt"))
+        row = pa.StructArray.from_arrays([pa.array(c.n["chunk_index"].astype(np.int32)), c.text, box, pa.array(start, pa.int64()), pa.array(stop, pa.int64())], names=["chunk_index", "text", "bbox", "start", "stop"])
+        return [*c.of_pages(c.page[top]), glue(text, top), lists(row, top)]
+
+    pages = spans(chunks).map(make, "text string, _c array<struct<chunk_index:int,text:string,bbox:struct<l:double,b:double,r:double,t:double>,start:bigint,stop:bigint>>")
     return _placed(pages.select(*PAGE, "_c", _matches(pattern, **options).alias("_m")))
 
 

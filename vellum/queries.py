@@ -15,6 +15,7 @@ from vellum.functions import strings as st
 from vellum.operators import audit, edits, forms, layout, search
 from vellum.operators import pages as pg
 from vellum.plans import grid
+from vellum.plans.paged import Paged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -146,8 +147,8 @@ def docs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
-def chunks_of(spark: SparkSession, sf_dir: str, modes: bool = False) -> DataFrame:
-    return grid.chunks(docs_of(spark, sf_dir), modes)
+def chunks_of(spark: SparkSession, sf_dir: str, modes: bool = False) -> Paged:
+    return grid.paged(docs_of(spark, sf_dir), modes)
 
 
 def box(c: str = "bbox"):
@@ -156,7 +157,7 @@ def box(c: str = "bbox"):
 
 @query(f"with {GRID} select doc_id, page_index, chunk_index, txt as text, x0, x1, y, x0 l, y - 2 b, x1 r, y + 8 t from ch")
 def text_chunks(spark, sf_dir):
-    return chunks_of(spark, sf_dir).select("doc_id", "page_index", "chunk_index", "text", "x0", "x1", "y", *box())
+    return chunks_of(spark, sf_dir).rows().select("doc_id", "page_index", "chunk_index", "text", "x0", "x1", "y", *box())
 
 
 @query(f"with {GRID} select doc_id, page_index, chunk_index word_index, txt as text, chunk_index first_chunk, 1 chunk_count, x0 l, x1 r from ch")
@@ -182,7 +183,7 @@ def simple_text(spark, sf_dir):
 @query(f"with {GRID}, {LINES.format(c='ch')} select doc_id, string_agg(coalesce(t, ''), chr(10) order by page_index) as text from pgs left join ptx using (doc_id, page_index) group by doc_id")
 def document_text(spark, sf_dir):
     docs = docs_of(spark, sf_dir)
-    return layout.document_text(grid.pages(docs), layout.page_text(grid.chunks(docs)))
+    return layout.document_text(grid.pages(docs), layout.page_text(grid.paged(docs)))
 
 
 REGION = (100.0, 600.0, 300.0, 700.0)
@@ -194,12 +195,12 @@ def region():
 
 @query(f"with {GRID}, rg as (select * from ch where x0 <= 300 and x1 >= 100 and y - 2 <= 700 and y + 8 >= 600), {LINES.format(c='rg')} select doc_id, page_index, t as text from ptx")
 def region_text(spark, sf_dir):
-    return layout.page_text(layout.in_region(chunks_of(spark, sf_dir), region()))
+    return layout.page_text(layout.in_region(chunks_of(spark, sf_dir), REGION))
 
 
 @query(f"with {GRID} select doc_id, page_index, count(*)::bigint n from ch where x0 >= 100 and x1 <= 300 and y - 2 >= 600 and y + 8 <= 700 group by all")
 def region_contained(spark, sf_dir):
-    return layout.in_region(chunks_of(spark, sf_dir), region(), contained=True).groupBy("doc_id", "page_index").agg(F.count(F.lit(1)).alias("n"))
+    return layout.in_region(chunks_of(spark, sf_dir), REGION, contained=True).rows().groupBy("doc_id", "page_index").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"with {GRID}, vs as (select * from ch where mode <> 3), {LINES.format(c='vs')} select doc_id, page_index, t as text from ptx")
@@ -209,7 +210,7 @@ def visible_text(spark, sf_dir):
 
 @query(f"with {GRID} select doc_id, page_index, mode rendering_mode, count(*)::bigint n from ch where mode = 3 group by all")
 def render_mode_filter(spark, sf_dir):
-    return layout.of_mode(chunks_of(spark, sf_dir, True), 3).groupBy("doc_id", "page_index", "rendering_mode").agg(F.count(F.lit(1)).alias("n"))
+    return layout.of_mode(chunks_of(spark, sf_dir, True), 3).rows().groupBy("doc_id", "page_index", "rendering_mode").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- search ---------------------------------------------------------------------------------------------------------------------
@@ -312,7 +313,7 @@ def highlight_matches(spark, sf_dir):
 def redaction_rects(spark, sf_dir) -> DataFrame:
     docs = docs_of(spark, sf_dir)
     zones = docs.select("doc_id", F.lit(0).alias("page_index"), region().alias("rect"))
-    return edits.redactions(search.find(grid.chunks(docs), "ing"), zones)
+    return edits.redactions(search.find(grid.paged(docs), "ing"), zones)
 
 
 REDACT = f"{KEY}, rr as (select doc_id, page_index, l - 1 l, b - 1 b, r + 1 r, t + 1 t from gm union all select doc_id, 0, 100.0, 600.0, 300.0, 700.0 from documents)"
@@ -800,24 +801,23 @@ def pdf_roundtrip(spark, sf_dir):
     """Documents written as PDF files, read again, their pages' text built from the content streams, forms and fonts."""
     from vellum.sources import pdf
 
-    files = pdf.write_files(pdf.page_streams(chunks_of(spark, sf_dir)))
-    pages = pdf.read_pages(files)
-    text = layout.page_text(pdf.read_chunks(files).where("error is null"))
-    return pages.select("doc_id", "page_index", F.col("media_box")[2].alias("width"), "rotation").join(text, ["doc_id", "page_index"])
+    files = pdf.write_pages(chunks_of(spark, sf_dir))
+    text = layout.page_text(pdf.paged_chunks(files))
+    return text.select("doc_id", "page_index", F.col("media_box")[2].alias("width"), "rotation", "text")
 
 
 @query(f"with {GRID}, n as (select doc_id, max(page_index) + 1 n from ch group by doc_id) select doc_id, '1.7' as version, n page_count, 5 + 2 * n xref_count, 'document ' || doc_id title from n")
 def pdf_documents(spark, sf_dir):
     from vellum.sources import pdf
 
-    return pdf.read_documents(pdf.write_files(pdf.page_streams(chunks_of(spark, sf_dir)))).select("doc_id", "version", "page_count", "xref_count", "title")
+    return pdf.read_documents(pdf.write_pages(chunks_of(spark, sf_dir))).select("doc_id", "version", "page_count", "xref_count", "title")
 
 
 @query(f"with {GRID}, n as (select doc_id, max(page_index) + 1 n from ch group by doc_id) select doc_id, obj_type, c from n, lateral (values ('dictionary', (4 + n)::bigint), ('stream', n::bigint)) v(obj_type, c)")
 def pdf_objects(spark, sf_dir):
     from vellum.sources import pdf
 
-    return pdf.read_objects(pdf.write_files(pdf.page_streams(chunks_of(spark, sf_dir)))).groupBy("doc_id", "obj_type").agg(F.count(F.lit(1)).alias("c"))
+    return pdf.read_objects(pdf.write_pages(chunks_of(spark, sf_dir))).groupBy("doc_id", "obj_type").agg(F.count(F.lit(1)).alias("c"))
 
 
 @query("select * from (values (1, 'בא', 'ﺑﺖ', 'é', 'aaa|bb cc'), (2, 'ABC', 'x', 'z', 'abcde|f')) v(id, bidi, arabic, nfc, wrapped)")
@@ -862,7 +862,7 @@ def inspector_report(spark, sf_dir):
     """A tab-separated report of each document; white space in values becomes a blank."""
     docs = docs_of(spark, sf_dir)
     pages = grid.pages(docs)
-    text = layout.document_text(pages, layout.page_text(grid.chunks(docs)))
+    text = layout.document_text(pages, layout.page_text(grid.paged(docs)))
     n = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     return text.join(n, "doc_id").select("doc_id", F.concat(F.lit("pages\t"), F.col("n").cast("string"), F.lit("\npage_text\t"), F.regexp_replace("text", "[\t\r\n]", " ")).alias("report"))
 
