@@ -79,3 +79,32 @@ def test_pages_of_files_in_one_pass(spark, docs):
     assert all(x["rotation"] == 0 and x["media_box"] == [0, 0, 612, 792] for x in got.values())
     # files were written twice, for pages and for chunks, and joined before
     assert "Join" not in queries.QUERIES["pdf_roundtrip"](spark, docs)._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("keyword, options", [("th", {}), ("THE", {"most": 2}), ("The", {"ignore_case": False}), ("ción", {"ignore_accents": True}), ("nandu", {"ignore_accents": True}), ("e\nt", {"across_lines": True}), ("\n", {"across_lines": True}), ("e\nt", {}), ("\x00", {})])
+def test_literals_in_pages_as_in_rows(spark, keyword, options):
+    odd = [*TEXTS, "the THE\x00the " * 60, "éño ción ción CIÓN 😀the😀ción ñandú", "the\nthe " * 50, "́́the", "\x00\x01\x02"]
+    pages = grid.paged(spark.createDataFrame(list(enumerate(odd)), "doc_id bigint, text string"))
+    key = lambda df: sorted(map(repr, df.collect()))
+    rows = search.matches(search.search_text(search.spans(pages)), keyword, **options)
+    assert key(search.matches(search.spans(pages), keyword, **options)) == key(rows)
+    # with rectangles, as a regular expression's are found; a match that holds none of the chunks' letters has none
+    fold = search.fold_text(keyword, options.get("ignore_case", True), options.get("ignore_accents", False))
+    if keyword == fold and not options.get("ignore_accents") and "most" not in options:
+        java = {"regex": True, **options}
+        assert key(search.find(pages, keyword, **options)) == key(search.find(pages, search.literal(keyword), **java))
+    assert key(search.find(pages, keyword, **options).select(*rows.columns)) == key(rows.where("matched <> '\n'"))
+
+
+def test_one_long_page_of_matches(spark):
+    # each match copied the list of those before, and looked through the page's chunks: 200,000 of them did not end
+    pages = grid.paged(spark.createDataFrame([(1, "the " * 200_000)], "doc_id bigint, text string"))
+    got = search.find(pages, "THE").agg(F.count("*"), F.sum("match_no"), F.sum("first_chunk"), F.max("stop"), F.max("bbox.r"), F.sum("n_rects")).first()
+    n, top = 200_000, 199_999 * 200_000 // 2
+    assert tuple(got) == (n, top, top, 3 * n, 36.0 + 6 * (4 * n - 1), n)
+    assert search.matches(search.spans(pages), "the").count() == n
+
+
+def test_literals_stay_in_the_worker(spark, docs):
+    for name in ("search_literal", "search_region", "highlight_matches", "redact_text_rects", "search_max_matches", "search_ignore_accents"):
+        assert "lambdafunction" not in queries.QUERIES[name](spark, docs)._jdf.queryExecution().optimizedPlan().toString()

@@ -2,13 +2,16 @@
 
 A page's search text runs its chunks together; a newline (a barrier) stands between chunks that are not connected: centres
 over ``line_tolerance`` apart, or a gap over ``max_gap``. A match may not hold a barrier unless asked for. Offsets are code points;
-rectangles cut a chunk's box in proportion to UTF-8 bytes. A page is one row, where its text, matches and boxes are found.
+rectangles cut a chunk's box in proportion to UTF-8 bytes. Literals are found, and their boxes cut, where the pages are laid out, a block
+at a time and in proportion to its text and matches; a regular expression is Java's, so pages go to it as rows with text and chunks.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +21,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import geometry
 from vellum.functions.strings import remove_diacritics, to_lower
-from vellum.plans.paged import PAGE, Chunks, Paged, before, glue, lists, paged, starts
+from vellum.plans.paged import PAGE, Chunks, Paged, before, glue, lists, paged, place, starts
 
 #: chunks to a stretch
 STEP = 24
@@ -101,10 +104,74 @@ def _matches(pattern: str, *, regex: bool = False, ignore_case: bool = True, ign
     return F.transform(good, lambda m, k: F.struct(k.alias("match_no"), m["start"].alias("start"), m["stop"].alias("stop"), m["matched"].alias("matched")))
 
 
-def matches(pages: DataFrame, pattern: str, **options) -> DataFrame:
+def matches(pages: DataFrame | Spans, pattern: str, **options) -> DataFrame:
     """doc_id, page_index, match_no (from 0), start, stop, matched: leftmost, not overlapping. Options: regex, ignore_case, ignore_accents,
-    across_lines, and most, at most so many a page (0: all)."""
-    return pages.select(*PAGE, F.inline(_matches(pattern, **options)))
+    across_lines, and most, at most so many a page (0: all). pages: rows with text, or Spans."""
+    if isinstance(pages, Spans) and not options.get("regex"):
+        seek = literals(pattern, **options)
+
+        def make(c: Chunks, text: pa.Array, *_) -> list:
+            top = starts(c.page)
+            page, *found = seek(glue(text, top))
+            return [*c.of_pages(c.page[top][page]), *found]
+
+        return pages.map(make, MATCH)
+    return (search_text(pages) if isinstance(pages, Spans) else pages).select(*PAGE, F.inline(_matches(pattern, **options)))
+
+
+#: what a match has besides its page
+MATCH = "match_no int, start bigint, stop bigint, matched string"
+
+
+@cache
+def letters(case: bool, accents: bool) -> tuple[np.ndarray, np.ndarray]:
+    """For each code point: what it is folded to, and whether it is a mark that is taken out. As in translate, the first of equal letters holds."""
+    from vellum.functions import strings
+
+    table, mark = np.arange(0x110000, dtype=np.uint32), np.zeros(0x110000, bool)
+    for on, old, new in ((case, strings.LOWER_FROM, strings.LOWER_TO), (accents, strings.ACCENTS_FROM, strings.ACCENTS_TO)):
+        if on:
+            step = np.arange(0x110000, dtype=np.uint32)
+            for a, b in reversed(list(zip(old, new, strict=True))):
+                step[ord(a)] = ord(b)
+            table = step[table]
+    if accents:
+        mark[[ord(x) for x in re.findall(f"[{strings.MARKS}]", "".join(map(chr, range(0x10000))))]] = True
+    return table, mark
+
+
+def literals(pattern: str, *, regex: bool = False, ignore_case: bool = True, ignore_accents: bool = False, across_lines: bool = False, most: int = 0) -> Callable[[pa.Array], tuple]:
+    """A function from texts to the matches in them: the text's place, match_no, start, stop and matched."""
+    if not pattern:
+        raise ValueError("an empty keyword")
+    needle = fold_text(pattern, ignore_case, ignore_accents)
+    gap = next(k for k in range(len(needle) + 1) if chr(k) not in needle)
+
+    def seek(texts: pa.Array) -> tuple:
+        whole = "\n".join(texts.to_pylist())
+        size = pc.utf8_length(texts).to_numpy().astype(np.int64)
+        first = np.cumsum(size + 1) - size - 1
+        own, hay = first, np.frombuffer(bytearray(whole.encode("utf-32-le")), np.uint32)
+        if ignore_case or ignore_accents:
+            table, mark = letters(ignore_case, ignore_accents)
+            if ignore_accents and (out := mark[hay]).any():
+                own = first - np.append(0, np.cumsum(out))[first]
+                hay = hay[~out]
+            hay = table[hay]
+        hay[own[1:] - 1] = gap  # what is not in the keyword keeps texts apart
+        at = np.fromiter((m.start() for m in re.finditer(re.escape(needle), hay.tobytes().decode("utf-32-le"))), np.int64)
+        page = np.searchsorted(own, at, side="right") - 1
+        start = at - own[page] if len(at) else at
+        matched = np.array([whole[k : k + len(needle)] for k in (first[page] + start).tolist()] if len(at) else [], object)
+        if not across_lines:
+            good = np.array(["\n" not in m for m in matched], bool)
+            page, start, matched = page[good], start[good], matched[good]
+        no = place(page)
+        if most:
+            page, start, matched, no = (x[no < most] for x in (page, start, matched, no))
+        return page, no, start, start + len(needle), pa.array(matched, pa.string())
+
+    return seek
 
 
 def fold_text(s: str, case: bool, accents: bool) -> str:
@@ -144,8 +211,46 @@ def _placed(pages: DataFrame) -> DataFrame:
     return pages.select(*PAGE, F.inline(rows)).where(F.size("_r") > 0).select(*PAGE, "match_no", "start", "stop", "matched", F.array_min(index).alias("first_chunk"), F.array_max(index).alias("last_chunk"), F.size("_r").cast("bigint").alias("n_rects"), box.alias("bbox"))
 
 
+def boxes(c: Chunks, start: np.ndarray, stop: np.ndarray, page: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, list]:
+    """Matches on the page-th page of a block from left to right, in order: which share characters with chunks, and of these the first and last
+    chunk, the number of chunks, and the box of the shared parts (l, b, r, t)."""
+    top = starts(c.page)
+    row = np.cumsum(top) - 1
+    base = np.append(0, np.cumsum(stop[np.append(top[1:], True)] + 1))
+    from_, to = start + base[row], stop + base[row]
+    left, right = left + base[page], right + base[page]
+    lo, hi = np.searchsorted(to, left, side="right"), np.searchsorted(from_, right, side="left")
+    good = hi > lo
+    n = (hi - lo)[good]
+    if not len(n):
+        return good, [n] * 7
+    match, k = np.repeat(np.flatnonzero(good), n), np.repeat(lo[good], n)
+    k += place(match)
+    total, chars = pc.binary_length(c.text).to_numpy()[k].astype(float), (stop - start)[k]
+    a, b = np.maximum(left[match], from_[k]) - from_[k], np.minimum(right[match], to[k]) - from_[k]
+    wide = np.flatnonzero(total != chars)  # letters of more than a byte
+    if len(wide):
+        for cut_at in (a, b):
+            cut_at[wide] = [len(x[:m].encode()) for x, m in zip(c.text.take(pa.array(k[wide])).to_pylist(), cut_at[wide].tolist(), strict=True)]
+    l, r, at = c.n["l"][k], c.n["r"][k], np.cumsum(n) - n  # noqa: E741
+    index = c.n["chunk_index"][k].astype(np.int64)
+    box = [np.fmin.reduceat(l + (r - l) * (a / total), at), np.fmin.reduceat(c.n["b"][k], at), np.maximum.reduceat(l + (r - l) * (b / total), at), np.maximum.reduceat(c.n["t"][k], at)]
+    return good, [np.minimum.reduceat(index, at), np.maximum.reduceat(index, at), n, *box]
+
+
 def find(chunks: DataFrame | Paged, pattern: str, **options) -> DataFrame:
-    """Matches with geometry from chunks: each page's chunks are one row, and give its text, its matches and their boxes."""
+    """Matches with geometry from chunks: the chunks of a page give its text, its matches and their boxes."""
+    if not options.get("regex"):
+        seek = literals(pattern, **options)
+
+        def placed(c: Chunks, text: pa.Array, start: np.ndarray, stop: np.ndarray) -> list:
+            top = starts(c.page)
+            page, no, left, right, matched = seek(glue(text, top))
+            good, found = boxes(c, start, stop, page, left, right)
+            return [*c.of_pages(c.page[top][page[good]]), no[good], left[good], right[good], matched.filter(pa.array(good)), *found]
+
+        flat = spans(chunks).map(placed, f"{MATCH}, first_chunk int, last_chunk int, n_rects bigint, l double, b double, r double, t double")
+        return flat.select(*PAGE, "match_no", "start", "stop", "matched", "first_chunk", "last_chunk", "n_rects", F.struct(*"lbrt").alias("bbox"))
 
     def make(c: Chunks, text: pa.Array, start: np.ndarray, stop: np.ndarray) -> list:
         top = starts(c.page)

@@ -240,7 +240,7 @@ def flat(found: DataFrame) -> DataFrame:
 
 
 def hits(spark, sf_dir, pattern: str, **options) -> DataFrame:
-    return search.matches(search.search_text(search.spans(chunks_of(spark, sf_dir))), pattern, **options)
+    return search.matches(search.spans(chunks_of(spark, sf_dir)), pattern, **options)
 
 
 @query(f"with {GRID}, {INDEX}, {found_sql(LOW, 'inthe')}, {GEOMETRY} select * from gm")
