@@ -106,5 +106,13 @@ def test_one_long_page_of_matches(spark):
 
 
 def test_literals_stay_in_the_worker(spark, docs):
-    for name in ("search_literal", "search_region", "highlight_matches", "redact_text_rects", "search_max_matches", "search_ignore_accents"):
+    for name in ("search_literal", "search_region", "highlight_matches", "redact_text_rects", "search_max_matches", "search_ignore_accents", "search_from_page"):
         assert "lambdafunction" not in queries.QUERIES[name](spark, docs)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_viewer_finds_in_pages_as_in_rows(spark):
+    rows = spark.createDataFrame([(1, 0, 0, "the\r\n x the"), (1, 2, 0, "the"), (2, 1, 0, "x\r\nTHE"), (2, 1, 1, "he")], "doc_id bigint, page_index int, chunk_index int, text string")
+    pages = search.spans(rows)
+    for options in ({}, {"ignore_case": False}, {"regex": True}):
+        got = [sorted(map(repr, search.viewer_find(p, "the", F.lit(1), **options).collect())) for p in (pages, search.search_text(pages))]
+        assert got[0] == got[1] and len(got[0]) == (3 if "ignore_case" in options else 4)

@@ -108,14 +108,7 @@ def matches(pages: DataFrame | Spans, pattern: str, **options) -> DataFrame:
     """doc_id, page_index, match_no (from 0), start, stop, matched: leftmost, not overlapping. Options: regex, ignore_case, ignore_accents,
     across_lines, and most, at most so many a page (0: all). pages: rows with text, or Spans."""
     if isinstance(pages, Spans) and not options.get("regex"):
-        seek = literals(pattern, **options)
-
-        def make(c: Chunks, text: pa.Array, *_) -> list:
-            top = starts(c.page)
-            page, *found = seek(glue(text, top))
-            return [*c.of_pages(c.page[top][page]), *found]
-
-        return pages.map(make, MATCH)
+        return _literal_matches(pages, literals(pattern, **options))
     return (search_text(pages) if isinstance(pages, Spans) else pages).select(*PAGE, F.inline(_matches(pattern, **options)))
 
 
@@ -123,6 +116,17 @@ def matches(pages: DataFrame | Spans, pattern: str, **options) -> DataFrame:
 MATCH = "match_no int, start bigint, stop bigint, matched string"
 
 
+def _literal_matches(pages: Spans, seek: Callable[[pa.Array], tuple], plain: Callable[[pa.Array], pa.Array] = lambda text: text) -> DataFrame:
+    """What seek finds in the texts that plain makes of the pages'."""
+
+    def make(c: Chunks, text: pa.Array, *_) -> list:
+        top = starts(c.page)
+        page, *found = seek(plain(glue(text, top)))
+        return [*c.of_pages(c.page[top][page]), *found]
+
+    return pages.map(make, MATCH)
+
+
 @cache
 def letters(case: bool, accents: bool) -> tuple[np.ndarray, np.ndarray]:
     """For each code point: what it is folded to, and whether it is a mark that is taken out. As in translate, the first of equal letters holds."""
@@ -280,12 +284,16 @@ def search_filter(rows: DataFrame, columns: list[str], needle: str) -> DataFrame
     return rows.where(some)
 
 
-def viewer_find(pages: DataFrame, pattern: str, start: Column, *, regex: bool = False, ignore_case: bool = True) -> DataFrame:
+def viewer_find(pages: DataFrame | Spans, pattern: str, start: Column, *, regex: bool = False, ignore_case: bool = True) -> DataFrame:
     """The matches of a viewer that looks from page start on and goes round: turn is how many pages it turns to get to a match. In a
-    regular expression a dot takes line ends too; CR LF counts as one."""
-    plain = pages.withColumn("text", F.regexp_replace("text", "\r\n", "\n"))
-    found = matches(plain, f"(?s){pattern}" if regex else pattern, regex=regex, ignore_case=ignore_case, across_lines=regex)
-    count = pages.groupBy("doc_id").agg((F.max("page_index") + 1).alias("_n"))
+    regular expression a dot takes line ends too; CR LF counts as one. pages: rows with text, or Spans."""
+    texts = search_text(pages) if isinstance(pages, Spans) else pages
+    if isinstance(pages, Spans) and not regex:
+        found = _literal_matches(pages, literals(pattern, ignore_case=ignore_case), lambda text: pc.replace_substring(text, "\r\n", "\n"))
+    else:
+        plain = texts.withColumn("text", F.regexp_replace("text", "\r\n", "\n"))
+        found = matches(plain, f"(?s){pattern}" if regex else pattern, regex=regex, ignore_case=ignore_case, across_lines=regex)
+    count = texts.groupBy("doc_id").agg((F.max("page_index") + 1).alias("_n"))
     return found.join(count, "doc_id").withColumn("turn", F.pmod(F.col("page_index") - start, F.col("_n"))).drop("_n")
 
 

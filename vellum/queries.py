@@ -1331,7 +1331,7 @@ def search_statistics(spark, sf_dir):
 @query(f"with {GRID}, {INDEX}, {found_sql(LOW, 'ing')}, c as (select doc_id, max(page_index) + 1 n from tx group by doc_id) select doc_id, page_index, match_no, start, ((page_index - 1 + n) % n)::int turn from mt join c using (doc_id)")
 def search_from_page(spark, sf_dir):
     """A viewer's search from the second page on, round to the first."""
-    found = search.viewer_find(search.search_text(search.spans(chunks_of(spark, sf_dir))), "ing", F.lit(1))
+    found = search.viewer_find(search.spans(chunks_of(spark, sf_dir)), "ing", F.lit(1))
     return found.select("doc_id", "page_index", "match_no", "start", F.col("turn").cast("int").alias("turn"))
 
 
