@@ -116,3 +116,33 @@ def test_viewer_finds_in_pages_as_in_rows(spark):
     for options in ({}, {"ignore_case": False}, {"regex": True}):
         got = [sorted(map(repr, search.viewer_find(p, "the", F.lit(1), **options).collect())) for p in (pages, search.search_text(pages))]
         assert got[0] == got[1] and len(got[0]) == (3 if "ignore_case" in options else 4)
+
+
+def test_one_long_page_of_regular_matches(spark):
+    # Java's matches were put in place one after the other, each copying the list of those before, and looked through the page's chunks
+    pages = grid.paged(spark.createDataFrame([(1, "the " * 200_000)], "doc_id bigint, text string"))
+    got = search.find(pages, "TH[e]", regex=True).agg(F.count("*"), F.sum("match_no"), F.sum("first_chunk"), F.max("stop"), F.max("bbox.r"), F.sum("n_rects")).first()
+    n, top = 200_000, 199_999 * 200_000 // 2
+    assert tuple(got) == (n, top, top, 3 * n, 36.0 + 6 * (4 * n - 1), n)
+    assert search.matches(search.spans(pages), "th[e]", regex=True).count() == n
+
+
+@pytest.mark.parametrize("pattern, want", [("(?=a)|b", [(0, 1, 2, "b"), (1, 2, 3, "b")]), (r"(a)\1", [(0, 4, 6, "aa")]), ("[bc]*", [(0, 1, 4, "bbc")]), ("😀.", [(0, 6, 8, "😀é")]), ("z", [])])
+def test_matches_of_odd_expressions(spark, pattern, want):
+    # an empty match at the start shifted the others, of which the last was lost; a group's number was off by one
+    pages = grid.paged(spark.createDataFrame([(1, "abbcaa😀é"), (2, ""), (3, None)], "doc_id bigint, text string"))
+    for found in (search.find(pages, pattern, regex=True), search.matches(search.spans(pages), pattern, regex=True)):
+        assert sorted(tuple(x)[2:6] for x in found.collect()) == want
+
+
+def test_packed_chunks_in_small_blocks(spark, monkeypatch):
+    from vellum.plans import paged
+
+    rows = grid.paged(spark.createDataFrame(list(enumerate(TEXTS)), "doc_id bigint, text string"))
+    key = lambda df: sorted(map(repr, df.collect()))
+    whole = key(search.find(rows, "[a-z]\n[a-zé]|ñ.*", regex=True, across_lines=True))
+    monkeypatch.setattr(search, "PACK", 3)
+    assert key(search.find(rows, "[a-z]\n[a-zé]|ñ.*", regex=True, across_lines=True)) == whole != []
+    c = grid.lay_out(*(paged.pa.array(x) for x in ([1, 2, 3], ["a b c d\n" * 50, "", "x\ny"])))
+    assert [len(x.page) for x in paged.Paged(None, lambda _: iter([c]), "").apart(170).load(None)] == [160, 42]
+    assert [len(x.page) for x in paged.Paged(None, lambda _: iter([c]), "").apart(1).load(None)] == [160, 40, 2]

@@ -3,13 +3,14 @@
 A page's search text runs its chunks together; a newline (a barrier) stands between chunks that are not connected: centres
 over ``line_tolerance`` apart, or a gap over ``max_gap``. A match may not hold a barrier unless asked for. Offsets are code points;
 rectangles cut a chunk's box in proportion to UTF-8 bytes. Literals are found, and their boxes cut, where the pages are laid out, a block
-at a time and in proportion to its text and matches; a regular expression is Java's, so pages go to it as rows with text and chunks.
+at a time and in proportion to its text and matches. A regular expression is Java's: pages go to it as rows with their text, the lengths of
+the matches and of what lies before each come back to a worker, and places and boxes are made there, in proportion to text and matches too.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -21,10 +22,12 @@ from pyspark.sql import functions as F
 
 from vellum.functions import geometry
 from vellum.functions.strings import remove_diacritics, to_lower
-from vellum.plans.paged import PAGE, Chunks, Paged, before, glue, lists, paged, place, starts
+from vellum.plans.paged import PAGE, Chunks, Paged, before, blocks, declared, glue, paged, place, starts
 
-#: chunks to a stretch
-STEP = 24
+#: a chunk on its way beside its page's text; size: bytes of the text with the barrier before it
+PACKED = np.dtype([("chunk_index", "<i4"), ("size", "<i4"), ("start", "<i8"), ("stop", "<i8"), ("l", "<f8"), ("b", "<f8"), ("r", "<f8"), ("t", "<f8")])
+#: chunks packed at once, some 7 MB
+PACK = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -73,35 +76,47 @@ def literal(s: str) -> str:
     return "\\Q" + s.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
-def _matches(pattern: str, *, regex: bool = False, ignore_case: bool = True, ignore_accents: bool = False, across_lines: bool = False, most: int = 0) -> Column:
-    """The matches in a page's text as an array of match_no, start, stop and matched, in one pass: the pieces between the matches
-    and the matches themselves give all places."""
+def _pieces(pages: DataFrame, pattern: str, *, regex: bool = False, ignore_case: bool = True, ignore_accents: bool = False, across_lines: bool = False, most: int = 0) -> DataFrame:
+    """Pages of text that have matches, with the lengths of the matches (_n) and of what lies before each (_g); across_lines and most are left
+    to ``_places``."""
     if not pattern:
         raise ValueError("an empty keyword")
     fold = (lambda c: to_lower(c)) if ignore_case else (lambda c: c)
     plain = (lambda c: remove_diacritics(fold(c))) if ignore_accents else fold
     if regex:
         java, hay = ("(?i)" if ignore_case else "") + pattern, F.col("text")
-        sizes = F.transform(F.regexp_extract_all(hay, F.lit(f"({java})"), F.lit(1)), lambda m: F.length(m))
+        some, sizes = hay.rlike(java), F.transform(F.regexp_extract_all(hay, F.lit(java), F.lit(0)), lambda m: F.length(m))
     else:
-        needle = fold_text(pattern, ignore_case, ignore_accents) if ignore_case or ignore_accents else pattern
+        needle = fold_text(pattern, ignore_case, ignore_accents)
         java, hay = literal(needle), plain(F.col("text"))
-        sizes = None
-    lengths = F.transform(F.split(hay, java, -1), lambda x: F.length(x))
-    gaps = F.slice(lengths, F.lit(1), F.size(lengths) - 1)
-    pairs = F.arrays_zip(gaps.alias("gap"), sizes.alias("size")) if regex else F.transform(gaps, lambda g: F.struct(g.alias("gap"), F.lit(len(needle)).alias("size")))
-    none = F.array().cast("array<struct<start:bigint,stop:bigint>>")
-
-    def step(s: Column, p: Column) -> Column:
-        start = (s["at"] + p["gap"]).cast("bigint")
-        stop = (start + p["size"]).cast("bigint")
-        return F.struct(stop.alias("at"), F.concat(s["out"], F.array(F.struct(start.alias("start"), stop.alias("stop")))).alias("out"))
-
-    places = F.aggregate(pairs, F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("out")), step, lambda s: s["out"])
-    text = F.transform(places, lambda p: F.struct(p["start"].alias("start"), p["stop"].alias("stop"), F.col("text").substr((p["start"] + 1).cast("int"), (p["stop"] - p["start"]).cast("int")).alias("matched")))
-    good = F.filter(text, lambda m: (m["stop"] > m["start"]) & (F.lit(across_lines) | ~m["matched"].contains("\n")))
-    good = F.slice(good, 1, most) if most else good
-    return F.transform(good, lambda m, k: F.struct(k.alias("match_no"), m["start"].alias("start"), m["stop"].alias("stop"), m["matched"].alias("matched")))
+        some, sizes = hay.contains(needle), F.array_repeat(F.lit(len(needle)), F.size(F.split(hay, java, -1)) - 1)
+    return pages.where(some).withColumns({"_n": sizes, "_g": F.transform(F.split(hay, java, -1), lambda x: F.length(x))})
+
+
+def _places(batch: pa.RecordBatch, *, across_lines: bool = False, most: int = 0, **_) -> tuple:
+    """From pages of text with the lengths of matches and pieces: the page's place, match_no, start, stop and matched."""
+    many, pieces = (pc.list_value_length(batch.column(k)).to_numpy().astype(np.int64) for k in ("_n", "_g"))
+    size, gap = (batch.column(k).flatten().to_numpy().astype(np.int64) for k in ("_n", "_g"))
+    page, own = np.repeat(np.arange(len(many)), many), np.repeat(np.arange(len(many)), pieces)
+    # there is a piece after the last match; none comes before a match of no letters at the start
+    no = place(own) + (many + 1 - pieces)[own]
+    lead, first = np.zeros(len(size), np.int64), np.cumsum(many) - many
+    good = no < many[own]
+    lead[(first[own] + no)[good]] = gap[good]
+    stop = np.cumsum(lead + size)
+    stop -= np.append(0, stop)[first][page]
+    good = size > 0
+    page, start, stop = page[good], (stop - size)[good], stop[good]
+    texts, matched = batch.column("text").to_pylist(), np.empty(len(page), object)
+    for k, (p, a, b) in enumerate(zip(page.tolist(), start.tolist(), stop.tolist(), strict=True)):
+        matched[k] = texts[p][a:b]
+    if not across_lines:
+        good = np.array(["\n" not in m for m in matched], bool)
+        page, start, stop, matched = page[good], start[good], stop[good], matched[good]
+    no = place(page)
+    if most:
+        page, start, stop, matched, no = (x[no < most] for x in (page, start, stop, matched, no))
+    return page, no, start, stop, pa.array(matched, pa.string())
 
 
 def matches(pages: DataFrame | Spans, pattern: str, **options) -> DataFrame:
@@ -109,7 +124,28 @@ def matches(pages: DataFrame | Spans, pattern: str, **options) -> DataFrame:
     across_lines, and most, at most so many a page (0: all). pages: rows with text, or Spans."""
     if isinstance(pages, Spans) and not options.get("regex"):
         return _literal_matches(pages, literals(pattern, **options))
-    return (search_text(pages) if isinstance(pages, Spans) else pages).select(*PAGE, F.inline(_matches(pattern, **options)))
+    rows = (search_text(pages) if isinstance(pages, Spans) else pages).select(*PAGE, "text")
+
+    def make(batch: pa.RecordBatch) -> list:
+        page, *found = _places(batch, **options)
+        return [*(batch.column(k).take(pa.array(page)) for k in PAGE), *found]
+
+    return _by_block(_pieces(rows, pattern, **options), make, MATCH)
+
+
+def _by_block(rows: DataFrame, make: Callable[[pa.RecordBatch], list], columns: str, column: str = "text") -> DataFrame:
+    """The page and the columns declared, as make gives them for blocks of rows of about a megabyte of a column."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = ", ".join([*(f"{k} {declared(rows, k)}" for k in PAGE), columns])
+    arrow = to_arrow_schema(rows.sparkSession.createDataFrame([], schema).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in blocks(batch, column):
+                yield pa.RecordBatch.from_arrays([(x if isinstance(x, pa.Array) else pa.array(x)).cast(f.type) for x, f in zip(make(part), arrow, strict=True)], names=arrow.names)
+
+    return rows.mapInArrow(run, schema)
 
 
 #: what a match has besides its page
@@ -188,33 +224,6 @@ def fold_text(s: str, case: bool, accents: bool) -> str:
     return s
 
 
-def _overlap(start: Column, stop: Column) -> Column:
-    """A page's chunks (_c, by their starts) that share characters with a match: (chunk_index, the box of the shared part). The starts of
-    every ``STEP``-th chunk (_b) tell which stretch of them to look at."""
-    first = F.greatest(F.size(F.filter("_b", lambda b: b <= start)), F.lit(1))
-    last = F.size(F.filter("_b", lambda b: b < stop))
-    own = F.filter(F.slice("_c", (first - 1) * STEP + 1, (F.greatest(last, first) - first + 1) * STEP), lambda c: (c["start"] < stop) & (start < c["stop"]))
-
-    def part(c: Column) -> Column:
-        total = F.octet_length(c["text"])
-        share = lambda k: F.octet_length(c["text"].substr(F.lit(1), k)) / total
-        a, b = share(F.greatest(start, c["start"]) - c["start"]), share(F.least(stop, c["stop"]) - c["start"])
-        wide = geometry.width(c["bbox"])
-        return F.struct(c["chunk_index"].alias("chunk_index"), geometry.rect(c["bbox"]["l"] + wide * a, c["bbox"]["b"], c["bbox"]["l"] + wide * b, c["bbox"]["t"]).alias("rect"))
-
-    return F.transform(own, part)
-
-
-def _placed(pages: DataFrame) -> DataFrame:
-    """pages: doc_id, page_index, _c (chunks in order), _m (matches)."""
-    pages = pages.withColumn("_b", F.transform(F.sequence(F.lit(0), F.size("_c") - 1, F.lit(STEP)), lambda i: F.get("_c", i)["start"]))
-    rows = F.transform("_m", lambda m: F.struct(m["match_no"].alias("match_no"), m["start"].alias("start"), m["stop"].alias("stop"), m["matched"].alias("matched"), _overlap(m["start"], m["stop"]).alias("_r")))
-    r = lambda k, f: f(F.transform("_r", lambda x: x["rect"][k])).alias(k)
-    box = F.struct(r("l", F.array_min), r("b", F.array_min), r("r", F.array_max), r("t", F.array_max))
-    index = F.transform("_r", lambda x: x["chunk_index"])
-    return pages.select(*PAGE, F.inline(rows)).where(F.size("_r") > 0).select(*PAGE, "match_no", "start", "stop", "matched", F.array_min(index).alias("first_chunk"), F.array_max(index).alias("last_chunk"), F.size("_r").cast("bigint").alias("n_rects"), box.alias("bbox"))
-
-
 def boxes(c: Chunks, start: np.ndarray, stop: np.ndarray, page: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, list]:
     """Matches on the page-th page of a block from left to right, in order: which share characters with chunks, and of these the first and last
     chunk, the number of chunks, and the box of the shared parts (l, b, r, t)."""
@@ -242,9 +251,15 @@ def boxes(c: Chunks, start: np.ndarray, stop: np.ndarray, page: np.ndarray, left
     return good, [np.minimum.reduceat(index, at), np.maximum.reduceat(index, at), n, *box]
 
 
+#: what a match has besides its page and itself
+PLACED = "first_chunk int, last_chunk int, n_rects bigint, l double, b double, r double, t double"
+
+
 def find(chunks: DataFrame | Paged, pattern: str, **options) -> DataFrame:
     """Matches with geometry from chunks: the chunks of a page give its text, its matches and their boxes."""
-    if not options.get("regex"):
+    if options.get("regex"):
+        flat = _find_regex(paged(chunks), pattern, **options)
+    else:
         seek = literals(pattern, **options)
 
         def placed(c: Chunks, text: pa.Array, start: np.ndarray, stop: np.ndarray) -> list:
@@ -253,17 +268,43 @@ def find(chunks: DataFrame | Paged, pattern: str, **options) -> DataFrame:
             good, found = boxes(c, start, stop, page, left, right)
             return [*c.of_pages(c.page[top][page[good]]), no[good], left[good], right[good], matched.filter(pa.array(good)), *found]
 
-        flat = spans(chunks).map(placed, f"{MATCH}, first_chunk int, last_chunk int, n_rects bigint, l double, b double, r double, t double")
-        return flat.select(*PAGE, "match_no", "start", "stop", "matched", "first_chunk", "last_chunk", "n_rects", F.struct(*"lbrt").alias("bbox"))
+        flat = spans(chunks).map(placed, f"{MATCH}, {PLACED}")
+    return flat.select(*PAGE, "match_no", "start", "stop", "matched", "first_chunk", "last_chunk", "n_rects", F.struct(*"lbrt").alias("bbox"))
 
-    def make(c: Chunks, text: pa.Array, start: np.ndarray, stop: np.ndarray) -> list:
-        top = starts(c.page)
-        box = pa.StructArray.from_arrays([pa.array(c.n[k], pa.float64()) for k in "lbrt"], names=list("lbrt"))
-        row = pa.StructArray.from_arrays([pa.array(c.n["chunk_index"].astype(np.int32)), c.text, box, pa.array(start, pa.int64()), pa.array(stop, pa.int64())], names=["chunk_index", "text", "bbox", "start", "stop"])
-        return [*c.of_pages(c.page[top]), glue(text, top), lists(row, top)]
 
-    pages = spans(chunks).map(make, "text string, _c array<struct<chunk_index:int,text:string,bbox:struct<l:double,b:double,r:double,t:double>,start:bigint,stop:bigint>>")
-    return _placed(pages.select(*PAGE, "_c", _matches(pattern, **options).alias("_m")))
+def _find_regex(chunks: Paged, pattern: str, **options) -> DataFrame:
+    """Chunks go along with their pages' texts, packed, by Java's matches to a second worker; pages without a match stop before."""
+
+    def pack(c: Chunks, text: pa.Array, start: np.ndarray, stop: np.ndarray) -> list:
+        top = starts(c.page)
+        rows = np.empty(len(c.page), PACKED)
+        for k, x in {"size": pc.binary_length(text).to_numpy(), "start": start, "stop": stop, **{k: c.n[k] for k in ("chunk_index", *"lbrt")}}.items():
+            rows[k] = x
+        ends = np.append(np.flatnonzero(top), len(rows)) * PACKED.itemsize
+        packed = pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(rows.tobytes())])
+        return [*c.of_pages(c.page[top]), glue(text, top), packed]
+
+    def make(batch: pa.RecordBatch) -> list:
+        page, no, left, right, matched = _places(batch, **options)
+        c, start, stop = unpacked(batch)
+        good, found = boxes(c, start, stop, page, left, right)
+        return [*(k.take(pa.array(page[good])) for k in c.keys), no[good], left[good], right[good], matched.filter(pa.array(good)), *found]
+
+    pages = Spans(chunks.apart(PACK)).map(pack, "text string, _c binary").select(*PAGE, "text", "_c")
+    return _by_block(_pieces(pages, pattern, **options), make, f"{MATCH}, {PLACED}", "_c")
+
+
+def unpacked(batch: pa.RecordBatch) -> tuple[Chunks, np.ndarray, np.ndarray]:
+    """The chunks of pages, and where they start and stop in the texts."""
+    packed = batch.column("_c").to_pylist()
+    rows = np.frombuffer(b"".join(packed), PACKED)
+    page = np.repeat(np.arange(len(packed)), [len(x) // PACKED.itemsize for x in packed])
+    ends = np.append(0, np.cumsum(rows["size"], dtype=np.int64)).astype(np.int32)
+    text = pa.StringArray.from_buffers(len(rows), pa.py_buffer(ends), pa.py_buffer("".join(batch.column("text").to_pylist()).encode()))
+    start, stop = rows["start"].astype(np.int64), rows["stop"].astype(np.int64)
+    barrier = start > np.where(starts(page), 0, np.append(0, stop[:-1]))
+    text = pc.if_else(pa.array(barrier), pc.utf8_slice_codeunits(text, 1), text)
+    return Chunks([batch.column(k) for k in PAGE], page, text, {k: rows[k].astype(float) for k in ("chunk_index", *"lbrt")}), start, stop
 
 
 def in_region(found: DataFrame, region: Column) -> DataFrame:
