@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vellum import queries
-from vellum.operators import layout, search
+from vellum.operators import edits, layout, search
 from vellum.plans import grid
 from vellum.sources import pdf
 
@@ -146,3 +146,10 @@ def test_packed_chunks_in_small_blocks(spark, monkeypatch):
     c = grid.lay_out(*(paged.pa.array(x) for x in ([1, 2, 3], ["a b c d\n" * 50, "", "x\ny"])))
     assert [len(x.page) for x in paged.Paged(None, lambda _: iter([c]), "").apart(170).load(None)] == [160, 42]
     assert [len(x.page) for x in paged.Paged(None, lambda _: iter([c]), "").apart(1).load(None)] == [160, 40, 2]
+
+
+def test_redactions_of_one_long_page(spark):
+    # the boxes of numbers: each looked through the chunks of its page
+    pages = grid.paged(spark.createDataFrame([(1, "call 555-1234 " * 100_000), (2, "555-123")], "doc_id bigint, text string"))
+    got = edits.redactions(search.find(pages, "[0-9]{3}-[0-9]{4}", regex=True)).agg(F.count("*"), F.min("rect.l"), F.max("rect.r"), F.sum(F.col("rect.r") - F.col("rect.l"))).first()
+    assert tuple(got) == (100_000, 36 + 6 * 5 - 1, 36 + 6 * (14 * 100_000 - 1) + 1, 100_000 * (6 * 8 + 2))
