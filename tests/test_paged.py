@@ -153,3 +153,11 @@ def test_redactions_of_one_long_page(spark):
     pages = grid.paged(spark.createDataFrame([(1, "call 555-1234 " * 100_000), (2, "555-123")], "doc_id bigint, text string"))
     got = edits.redactions(search.find(pages, "[0-9]{3}-[0-9]{4}", regex=True)).agg(F.count("*"), F.min("rect.l"), F.max("rect.r"), F.sum(F.col("rect.r") - F.col("rect.l"))).first()
     assert tuple(got) == (100_000, 36 + 6 * 5 - 1, 36 + 6 * (14 * 100_000 - 1) + 1, 100_000 * (6 * 8 + 2))
+
+
+def test_matches_across_lines_of_one_long_page(spark):
+    # two blanks part chunks, so each match holds a barrier; each match copied the list of those before
+    pages = search.spans(grid.paged(spark.createDataFrame([(1, "x.  Ab " * 100_000)], "doc_id bigint, text string")))
+    found = search.matches(pages, "[.]\n[A-Z]", regex=True, ignore_case=False, across_lines=True)
+    assert tuple(found.agg(F.count("*"), F.max("match_no"), F.max("start"), F.min("matched"), F.max("matched")).first()) == (100_000, 99_999, 5 * 100_000 - 4, ".\nA", ".\nA")
+    assert search.matches(pages, "[.]\n[A-Z]", regex=True, ignore_case=False).count() == 0
