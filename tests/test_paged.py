@@ -161,3 +161,10 @@ def test_matches_across_lines_of_one_long_page(spark):
     found = search.matches(pages, "[.]\n[A-Z]", regex=True, ignore_case=False, across_lines=True)
     assert tuple(found.agg(F.count("*"), F.max("match_no"), F.max("start"), F.min("matched"), F.max("matched")).first()) == (100_000, 99_999, 5 * 100_000 - 4, ".\nA", ".\nA")
     assert search.matches(pages, "[.]\n[A-Z]", regex=True, ignore_case=False).count() == 0
+
+
+def test_first_matches_of_documents_with_long_pages(spark):
+    # all matches of a page are found before the first of the document are taken; each copied the list of those before
+    pages = search.spans(grid.paged(spark.createDataFrame([(k, ("\n" * 39 if k else "") + "one " * 100_000 + "\none one") for k in range(2)], "doc_id bigint, text string")))
+    got = search.first_overall(search.matches(pages, "on[a-z]", regex=True, ignore_case=False), 100_001)
+    assert {tuple(r) for r in got.groupBy("doc_id", "page_index").agg(F.count("*"), F.max("stop")).collect()} == {(0, 0, 100_001, 300_004), (1, 0, 100_000, 300_000), (1, 1, 1, 3)}
